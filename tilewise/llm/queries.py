@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, packing
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.op4,
+    "op5_pack": packing.op5,
     "op7_mix_sources": mixing.op7,
 }
 ORACLE_SQL = {
