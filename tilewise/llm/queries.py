@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing
+from . import exact_dedup, mixing, packing, warc
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.op4,
     "op5_pack": packing.op5,
     "op7_mix_sources": mixing.op7,
+    "op9_warc": warc.op9,
 }
 ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "op9_warc": warc.OP9_SQL,
 }
