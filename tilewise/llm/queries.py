@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, warc
+from . import exact_dedup, mixing, packing, parity_join, warc
 
 QUERIES = {
+    "op3_parity_join": parity_join.op3,
     "op4_exact_dedup": exact_dedup.op4,
     "op5_pack": packing.op5,
     "op7_mix_sources": mixing.op7,
