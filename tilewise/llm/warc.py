@@ -113,7 +113,7 @@ class _Archive:
             self.close()
             self.n, self.at, self.final = self.n + 1, 0, f"{self.name}-{self.n + 1:05d}.warc.gz"
             self.temp = f"{self.folder}/.{self.final}.{self.attempt}"
-            self.out = self.fs.open_output_stream(self.temp)
+            self.out = self.fs.open_output_stream(self.temp, compression=None)
         self.out.write(raw)
         self.at += len(raw)
         return self.final, self.at - len(raw), len(raw)
@@ -182,7 +182,7 @@ def write_index(lines: DataFrame, folder: str, block: int = BLOCK) -> DataFrame:
 
         def close_block():
             nonlocal at, out
-            out = out or fs.open_output_stream(f"{temp}.gz")
+            out = out or fs.open_output_stream(f"{temp}.gz", compression=None)
             raw = zlib.compress("\n".join(json.dumps(x) for x in held).encode(), 6)
             out.write(raw)
             blocks.append((held[0][0], held[0][1], at, len(raw)))
