@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, packing, parity_join, warc
+from . import exact_dedup, language_id, mixing, packing, parity_join, vp_search, warc
 
 QUERIES = {
+    "op1_vp_search": vp_search.op1,
     "op3_parity_join": parity_join.op3,
     "op4_exact_dedup": exact_dedup.op4,
     "op5_pack": packing.op5,
