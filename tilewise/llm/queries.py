@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, packing, parity_join, vp_search, warc
+from . import exact_dedup, language_id, mixing, packing, parity_join, suffix_dedup, vp_search, warc
 
 QUERIES = {
     "op1_vp_search": vp_search.op1,
     "op3_parity_join": parity_join.op3,
     "op4_exact_dedup": exact_dedup.op4,
     "op5_pack": packing.op5,
+    "op6_suffix_dedup": suffix_dedup.op6,
     "op7_mix_sources": mixing.op7,
     "op8_language_id": language_id.op8,
     "op9_warc": warc.op9,
