@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, packing, parity_join, suffix_dedup, vp_search, warc
+from . import exact_dedup, html_text, language_id, mixing, packing, parity_join, recurrent_lm, suffix_dedup, vp_search, warc
 
 QUERIES = {
     "op1_vp_search": vp_search.op1,
+    "op2_html_text": html_text.op2,
     "op3_parity_join": parity_join.op3,
     "op4_exact_dedup": exact_dedup.op4,
     "op5_pack": packing.op5,
@@ -13,6 +14,7 @@ QUERIES = {
     "op7_mix_sources": mixing.op7,
     "op8_language_id": language_id.op8,
     "op9_warc": warc.op9,
+    "op10_recurrent_lm": recurrent_lm.op10,
 }
 ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
