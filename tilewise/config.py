@@ -13,5 +13,10 @@ WEIGHTS = {"nir": -0.40, "swir": -0.30, "lst": -0.20, "nightlight": 0.10}
 BUILT_UP_CLASS, BUILT_UP_KEEP = 50, 0.05
 CLOUD_CLASSES, CLOUD_BITS = (1, 3, 8, 9, 10), (3, 4)
 DEGRADED_SHARE, ROLLBACK_SHARE = 0.20, 0.05
-RESIDENTIAL = ("house", "residential", "apartments", "detached", "semidetached_house", "terrace", "bungalow", "hut", "cabin", "dormitory")
-PRIVATE_KEYS = ("osm_id", "address", "building_id", "geometry_ring", "name", "owner", "phone", "email")
+# Building tags, keys of private data
+RESIDENTIAL = ("house", "residential", "detached", "semidetached_house", "terrace", "apartments", "bungalow", "cabin", "dormitory", "barracks")
+COMMERCIAL = ("commercial", "industrial", "warehouse", "supermarket", "retail", "office", "school", "kindergarten", "university", "college", "hospital", "church", "civic", "government", "public", "transportation", "depot", "manufacture")
+PRIVATE_KEYS = ("is_residential", "building_osm_id", "address", "addr:street", "addr:housenumber", "owner", "owner_name", "occupant")
+Z_BOUND = 5.0
+PANEL_BRIGHTNESS, PANEL_BLUE = (25, 140), (-25, 60)
+USUAL_KWH = {1: (80, 180), 2: (120, 280), 3: (180, 380), 4: (240, 480), 5: (300, 580), 6: (380, 700)}

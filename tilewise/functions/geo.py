@@ -122,13 +122,13 @@ def lonlat_to_pixel(px_lon, px_lat, lat, lon, pixels: int, half: float = C.HALF_
     return ((px_lon - (lon - half)) / (2 * half) * pixels).cast("int"), ((lat + half - px_lat) / (2 * half) * pixels).cast("int")
 
 
-def padded_bbox(ring, margin: float = 0.35) -> Column:
-    """A square box around a ring with a margin: struct(west, south, east, north)."""
+def padded_bbox(ring, pad_m: float = 60.0) -> Column:
+    """A box that is square in metres, pad_m larger than the ring on each side and twice pad_m wide at least."""
     b = bbox_of(F.array(F.array(ring)))
     lat, lon = (b["south"] + b["north"]) / 2, (b["west"] + b["east"]) / 2
-    k = F.cos(F.radians(lat))
-    side = F.greatest((b["east"] - b["west"]) * k, b["north"] - b["south"]) * (1 + 2 * margin) / 2
-    return F.struct((lon - side / k).alias("west"), (lat - side).alias("south"), (lon + side / k).alias("east"), (lat + side).alias("north"))
+    m_lon = F.lit(C.METRES_PER_DEGREE_SITE) * F.cos(F.radians(lat))
+    half = F.greatest(F.lit(pad_m), F.greatest((b["east"] - b["west"]) * m_lon, (b["north"] - b["south"]) * C.METRES_PER_DEGREE_SITE) / 2 + pad_m)
+    return F.struct((lon - half / m_lon).alias("west"), (lat - half / C.METRES_PER_DEGREE_SITE).alias("south"), (lon + half / m_lon).alias("east"), (lat + half / C.METRES_PER_DEGREE_SITE).alias("north"))
 
 
 def representative_point(polygons) -> Column:

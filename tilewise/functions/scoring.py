@@ -51,11 +51,15 @@ def combined_confidence(clip, color) -> Column:
     return F.lit(0.6) * clip + F.lit(0.4) * color
 
 
+def looks_like_panel(r, g, b) -> Column:
+    """Whether mean colours lie within the gates on brightness and blue bias."""
+    bright = (r + g + b) / 3
+    return (bright > C.PANEL_BRIGHTNESS[0]) & (bright < C.PANEL_BRIGHTNESS[1]) & (b - r > C.PANEL_BLUE[0]) & (b - r < C.PANEL_BLUE[1])
+
+
 def panel_color_score(r, g, b) -> Column:
-    """How much mean colours look like a panel: dark, a little blue."""
-    bright, blue = (r + g + b) / 3, b - (r + g) / 2
-    soft = F.greatest(F.lit(0.0), F.lit(1.0) - F.lit(0.5) * F.abs(bright - 70) / 60 - F.lit(0.5) * F.abs(blue - 8) / 30)
-    return F.when((bright > 130) | (bright < 15) | (blue < -10), 0.0).otherwise(soft)
+    """1 for the ideal panel (brightness 70, blue bias 8), less the further off, 0 at least."""
+    return F.greatest(F.lit(0.0), F.lit(1.0) - F.lit(0.5) * F.abs((r + g + b) / 3 - 70) / 60 - F.lit(0.5) * F.abs(b - r - 8) / 30)
 
 
 def panel_kwp(area_m2) -> Column:
@@ -69,11 +73,12 @@ def composite(nir, swir, lst, nightlight) -> Column:
 
 
 def composite_band(x) -> Column:
-    return F.when(x >= 1, "very high").when(x >= 0.5, "high").when(x > -0.5, "average").when(x > -1, "low").otherwise("very low")
+    return F.when(x >= 1, "strong").when(x >= 0.5, "above average").when(x > -0.5, "near baseline").when(x > -1, "below baseline").when(x <= -1, "well below baseline").otherwise("no signal")
 
 
 def shift_verdict(distance, floor) -> Column:
-    return F.when(distance <= floor + 0.005, "none").when(distance <= floor + 0.030, "moderate").otherwise("strong")
+    """How far a region's embeddings have moved from the reference, against what two samples of the reference differ by."""
+    return F.when(distance <= floor + 0.005, "within-envelope").when(distance > floor + 0.030, "severe-OOD").otherwise("moderate-shift")
 
 
 def roof_economics(area_m2, lat, rate, cost_per_kwp=55_000.0, base_yield=1350.0, monthly_kwh=None) -> dict[str, Column]:
@@ -94,16 +99,16 @@ def lifetime_value(annual_savings, cost, years: int = 25, fade: float = 0.005) -
     return total - cost
 
 
-def roof_score(area_m2, irradiance, aspect) -> Column:
-    """0 to 100 of log area, irradiance and shape."""
-    clamp = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
-    size = clamp((F.log10(F.greatest(area_m2, F.lit(1.0))) - 1) / 2)
-    shape = clamp(F.lit(1.0) - (aspect - 1) / 4)
-    return F.floor((size * 0.5 + clamp((irradiance - 4) / 2) * 0.3 + shape * 0.2) * 100 + 0.5)
+def roof_score(area_m2, lat, aspect) -> Column:
+    """0 to 100: half area (on a log scale), three tenths irradiance, two tenths shape."""
+    area = F.least(F.lit(100.0), F.lit(30.0) + F.lit(35.0) * F.log10(F.greatest(F.lit(20.0), area_m2) / 50))
+    sun = F.lit(70.0) + (F.lit(14.65) - lat) * 1.5
+    shape = F.greatest(F.lit(40.0), F.lit(90.0) - F.greatest(F.lit(0.0), aspect - 3) * 5)
+    return F.greatest(F.lit(0), F.least(F.lit(100), F.floor(F.lit(0.5) * area + F.lit(0.3) * sun + F.lit(0.2) * shape + 0.5)))
 
 
 def score_band(x) -> Column:
-    return F.when(x >= 80, "excellent").when(x >= 65, "good").when(x >= 50, "fair").when(x >= 35, "poor").otherwise("bad")
+    return F.when(x >= 80, "excellent").when(x >= 65, "good").when(x >= 50, "fair").when(x >= 35, "limited").otherwise("poor fit")
 
 
 def aspect_ratio(width_m, height_m) -> Column:

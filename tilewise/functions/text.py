@@ -17,11 +17,18 @@ def first_number(text, pattern: str) -> Column:
     return F.regexp_replace(F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")), ",", "").try_cast("double")
 
 
+INSTALLATIONS = r"(?i)(\d{1,3}(?:[,]\d{3})*|\d+)\s*(?:net[- ]metering)?\s*installations?"
+MEGAWATTS = r"(?i)(\d{1,4}(?:\.\d+)?)\s*(?:MW|megawatts?)"
+
+
 def verdict_class(text) -> Column:
-    """solar, not_solar or unclear, by the first phrase that occurs."""
+    """The class of a reviewer's remark, by the first rule that holds."""
     t = F.lower(text)
-    has = lambda *xs: F.greatest(*[t.contains(x) for x in xs]) if len(xs) > 1 else t.contains(xs[0])
-    return F.when(has("not solar", "no panel"), "not_solar").when(has("solar", "panel"), "solar").otherwise("unclear")
+    has = t.contains
+    return (
+        F.when(has("ground-mount") | has("ground mount"), "ground_mount").when(has("false positive"), "blue_roof_fp")
+        .when(has("real rooftop solar") | has("confirmed"), "rooftop").when(has("blue") & has("roof") & ~has("real rooftop"), "blue_roof_fp").otherwise("unknown")
+    )
 
 
 def table_cells(line) -> Column:
@@ -43,11 +50,10 @@ def name_key(text) -> Column:
 
 
 def name_variants(name) -> Column:
-    """Sorted spellings of a place name."""
-    bare = F.regexp_replace(name, r"(?i)\s+city$", "")
-    base = F.array(name, bare, F.concat(bare, F.lit(" City")), F.concat(F.lit("City of "), bare))
-    saints = F.flatten(F.transform(base, lambda x: F.array(x, F.regexp_replace(x, r"\bSanta\b", "Sta."), F.regexp_replace(x, r"\bSta\.", "Santa"), F.regexp_replace(x, r"\bSto\.", "Santo"))))
-    return F.array_sort(F.array_distinct(saints))
+    """Sorted spellings of a place name: with and without City, Santa and Sta., Sto. and Santo."""
+    city = F.when(name.endswith(" City"), F.regexp_replace(name, " City$", "")).otherwise(F.concat(name, F.lit(" City")))
+    saint = F.when(name.startswith("Santa "), F.concat(F.lit("Sta. "), F.substring(name, 7, 1000))).when(name.startswith("Sto. "), F.concat(F.lit("Santo "), F.substring(name, 6, 1000))).otherwise(name)
+    return F.array_sort(F.array_distinct(F.array(name, city, saint)))
 
 
 def stratum(src) -> Column:
