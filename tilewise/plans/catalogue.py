@@ -1,6 +1,6 @@
 """All queries of the domain, and their SQL."""
 
-from . import detection
+from . import detection, evaluation
 
-QUERIES = dict(detection.QUERIES)
-SQL = dict(detection.SQL)
+QUERIES = detection.QUERIES | evaluation.QUERIES
+SQL = detection.SQL | evaluation.SQL

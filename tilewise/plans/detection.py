@@ -73,10 +73,13 @@ def q_grid_todo(spark, d):
     return grid.todo(grid.grid(spark), G.log(spark, d)).select("iy", "ix", "tile_id")
 
 
-@query(f"""WITH {G.LOG}, o AS (SELECT ord, lat, lon, (lat - (1440e-2 + 216e-5 / 2e0)) / 216e-5 AS a, (lon - (12092e-2 + 224e-5 / 2e0)) / 224e-5 AS b FROM log)
+@query(f"""WITH {G.LOG}, p AS (SELECT ord, CASE WHEN ord % 2 = 0 THEN (1440e-2 + 216e-5 / 2e0) + iy * 216e-5 WHEN ord % 3 = 0 THEN lat + 1 ELSE lat END AS lat, CASE WHEN ord % 2 = 0 THEN (12092e-2 + 224e-5 / 2e0) + ix * 224e-5 ELSE lon END AS lon FROM log),
+o AS (SELECT ord, lat, lon, (lat - (1440e-2 + 216e-5 / 2e0)) / 216e-5 AS a, (lon - (12092e-2 + 224e-5 / 2e0)) / 224e-5 AS b FROM p)
 SELECT ord FROM o WHERE NOT (lat BETWEEN 1440e-2 AND 1478e-2 AND lon BETWEEN 12092e-2 AND 12113e-2) OR (abs(a - round_even(a, 0)) < 5e-5 AND abs(b - round_even(b, 0)) < 5e-5)""")
 def q_grid_overlap_dedupe(spark, d):
-    return grid.drop_overlap(G.log(spark, d)).select("ord")
+    even, lat, lon = F.col("ord") % 2 == 0, F.lit(14.40 + 0.00216 / 2) + F.col("iy") * F.lit(0.00216), F.lit(120.92 + 0.00224 / 2) + F.col("ix") * F.lit(0.00224)
+    rows = G.log(spark, d).select("ord", F.when(even, lat).when(F.col("ord") % 3 == 0, F.col("lat") + 1).otherwise(F.col("lat")).alias("lat"), F.when(even, lon).otherwise(F.col("lon")).alias("lon"))
+    return grid.drop_overlap(rows).select("ord")
 
 
 @query(DET_CITY + " SELECT city, count(*) FILTER (tier = 'high') AS n_high, count(*) FILTER (tier = 'candidate') AS n_candidate FROM placed GROUP BY city")
@@ -168,7 +171,7 @@ def q_exclude_near(spark, d):
 
 _SEGB = f"""{G.SEGMENTS}, {G.BUILDINGS}, one AS (SELECT seg_id, any_value(lat) AS lat, any_value(lon) AS lon, any_value(half) AS half FROM segments GROUP BY seg_id),
 pair AS (SELECT s.seg_id, b.osm_id, b.ord, least(s.lon + s.half, b.lon + b.half) - greatest(s.lon + -1 * s.half, b.lon + -1 * b.half) AS w, least(s.lat + s.half, b.lat + b.half) - greatest(s.lat + -1 * s.half, b.lat + -1 * b.half) AS h,
-(s.lon > b.lon + -1 * b.half AND s.lon < b.lon + b.half AND s.lat >= b.lat + -1 * b.half AND s.lat < b.lat + b.half) AS inside FROM one s JOIN buildings b ON abs(s.lat - b.lat) <= s.half + b.half AND abs(s.lon - b.lon) <= s.half + b.half)"""
+(s.lon >= b.lon + -1 * b.half AND s.lon < b.lon + b.half AND s.lat >= b.lat + -1 * b.half AND s.lat < b.lat + b.half) AS inside FROM one s JOIN buildings b ON abs(s.lat - b.lat) <= s.half + b.half AND abs(s.lon - b.lon) <= s.half + b.half)"""
 
 
 @query(f"WITH {_SEGB}, ranked AS (SELECT *, row_number() OVER (PARTITION BY seg_id ORDER BY inside DESC, CASE WHEN inside THEN ord END NULLS FIRST, CASE WHEN NOT inside THEN w * h END DESC NULLS LAST, ord) AS rn FROM pair WHERE inside OR (w > 0 AND h > 0)) SELECT seg_id, osm_id, inside FROM ranked WHERE rn = 1")
@@ -276,7 +279,7 @@ def q_topk_per_group(spark, d):
 
 
 @query("""WITH p AS (SELECT c_custkey AS pid, 1440e-2 + ((c_custkey * 5003) % 38000) / 100000e0 + 1e-5 AS lat, 12092e-2 + ((c_custkey * 9001) % 21000) / 100000e0 + 2e-5 AS lon FROM customer), """ + G.BUILDINGS + f""",
-x AS (SELECT p.pid, b.*, {G.haversine('p', 'b')} AS m, (p.lon < b.lon + b.half AND p.lon > b.lon + -1 * b.half AND p.lat < b.lat + b.half AND p.lat >= b.lat + -1 * b.half) AS inside, building_type IN ('house', 'apartments') AS home FROM p JOIN buildings b ON abs(p.lat - b.lat) < 3e-3 AND abs(p.lon - b.lon) < 3e-3),
+x AS (SELECT p.pid, b.*, {G.haversine('p', 'b')} AS m, (p.lon < b.lon + b.half AND p.lon >= b.lon + -1 * b.half AND p.lat < b.lat + b.half AND p.lat >= b.lat + -1 * b.half) AS inside, building_type IN ('house', 'apartments') AS home FROM p JOIN buildings b ON abs(p.lat - b.lat) < 3e-3 AND abs(p.lon - b.lon) < 3e-3),
 l AS (SELECT *, CASE WHEN inside AND home THEN 0 WHEN inside THEN 1 WHEN home AND m < 50 THEN 2 ELSE 3 END AS level FROM x WHERE m <= 200) SELECT pid, osm_id, inside, level FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY level, CASE WHEN level <= 1 THEN footprint_m2 ELSE m END, osm_id) AS rn FROM l) WHERE rn = 1""")
 def q_pick_building(spark, d):
     p = G.table(spark, d, "customer").select(F.col("c_custkey").alias("pid"), *G._place("c_custkey", 5003, 9001)).withColumn("lat", F.col("lat") + 1e-5).withColumn("lon", F.col("lon") + 2e-5)
