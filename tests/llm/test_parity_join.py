@@ -61,6 +61,7 @@ def test_groups_and_chains(spark, k, num, den):
             words[rng.randrange(100)] = f"y{rng.randrange(10**6)}"
         rows.append((2000 + i, " ".join(words)))
     rows += [(3000 + i, t) for i, t in enumerate(["", None, " \t\n", "one", "ONE", "one two", "two one", "a b c", "A\x0bB\x0cc", "É é", "a\xa0b"])]
+    rows += [(5000 + i, " ".join(base[:395] + [f"z{i}a", f"z{i}b", f"z{i}c", f"z{i}d", "end"])) for i in range(20)]
     rows += [(4000 + i, "same text as the others in this group " * 3) for i in range(30)]
     df = spark.createDataFrame([(i, t, "x", None) for i, t in rows], SCHEMA)
     assert got(near_components(df, k, (num, den))) == brute(rows, k, num, den)

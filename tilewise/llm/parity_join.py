@@ -12,7 +12,8 @@ more empty blocks than s use them as well, and so no pair is lost.
 From keys to links, with no step that makes all pairs of a group of copies: equal sets are one class; each key links its
 classes to the smallest and largest among them; these links are verified on the whole sets, for each class one at first
 and then those that still lie between two components; last, classes under one key that are in different components are
-paired and verified. The hashes of whole texts never leave the tasks but for classes that have a partner under some key.
+compared by sketches of SKETCH bits inside the tasks (a key with many classes in chunks, each pair of chunks a task's
+work of bounded size), and only pairs whose sketches are near enough come out, to be verified. The hashes of whole texts never leave the tasks but for classes that have a partner under some key.
 
 Defined results: texts that are null or without words have no set, no links, and are their own component; a null id is
 the component of no other row; rows that repeat an id are joined by their texts alone; an empty table gives an empty
@@ -35,6 +36,8 @@ from .common import sized, stored, table
 from .graph import components
 
 WORDS, THRESHOLD = 5, (8, 10)
+#: Bits of the sketches that are compared pair by pair, and most classes of a key in one task.
+SKETCH, CHUNK = 2048, 1000
 #: Band edges grow by a quarter.
 EDGES = [1]
 while EDGES[-1] < 1 << 40:
@@ -125,19 +128,82 @@ def profiles(docs: DataFrame, words: int, num: int, den: int, text: str, id_col:
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, words: int, text: str, id_col: str) -> DataFrame:
-    """node, set of the classes in wanted (node, doc_id: a document of it)."""
+    """node, set, sketch of the classes in wanted (node, doc_id: a document of it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 100):
                 part = batch.slice(lo, 100)
                 sets = shingles(part.column(0).to_pylist(), words)
-                yield pa.RecordBatch.from_arrays([pa.array([_node(h) for h in sets], pa.int64()), _longs(sets)], names=["node", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array([_node(h) for h in sets], pa.int64()), _longs(sets), pa.array([sketch(h) for h in sets])], names=["node", "set", "sketch"])
 
     ids = sized(wanted.select(F.col("doc_id").alias("_id")).distinct(), 1_000_000)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text).alias("text")).join(ids, "_id", "left_semi").select("text")
     # a repeated id brings rows of other classes along
-    return stored(rows.mapInArrow(run, "node long, set array<long>").join(sized(wanted.select("node")), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    return stored(rows.mapInArrow(run, "node long, set array<long>, sketch binary").join(sized(wanted.select("node")), "node", "left_semi").dropDuplicates(["node"]), "sets")
+
+
+def sketch(h: np.ndarray) -> bytes:
+    """The parity of how many hashes fall on each of SKETCH bits."""
+    bit = (h >> _U(64 - (SKETCH - 1).bit_length())).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=SKETCH) & 1).astype(bool)).tobytes()
+
+
+def _near(node, comp, chunk, size, bits, first: int, second: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of different components, one of each chunk, that sizes and sketches leave open."""
+    one, two = np.flatnonzero(chunk == first), np.flatnonzero(chunk == second)
+    found = [np.zeros((2, 0), np.int64)]
+    for lo in range(0, len(one), 64):
+        i = one[lo : lo + 64, None]
+        apart = np.bitwise_count(bits[i] ^ bits[two][None]).sum(2, dtype=np.int64)
+        a, b = size[i], size[two][None]
+        near = (apart * (num + den) <= (a + b) * (den - num)) & (np.minimum(a, b) * den >= np.maximum(a, b) * num) & (comp[i] != comp[two][None])
+        if first == second:
+            near &= i < two[None]
+        r, c = np.nonzero(near)
+        found.append(np.stack([node[one[lo + r]], node[two[c]]]))
+    pairs = np.concatenate(found, 1)
+    return pairs.min(0), pairs.max(0)
+
+
+def near_under_keys(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): classes under one key, in different components, that may be similar. rows: key, node, c, size, sketch, chunks."""
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    dealt = rows.withColumn("chunk", own).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int"))))
+    dealt = dealt.select("key", F.least("chunk", "other").alias("first"), F.greatest("chunk", "other").alias("second"), "node", "c", "chunk", "size", "sketch")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def groups():
+            """The rows of each (key, first, second), which lie together."""
+            held = []
+            for batch in batches:
+                key = np.stack([c.to_numpy() for c in batch.columns[:3]], 1)
+                cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+                for lo, hi in zip(cuts, cuts[1:], strict=False):
+                    if held and (held[-1][0] != key[lo]).any():
+                        yield [x for _, x in held]
+                        held = []
+                    if hi > lo:
+                        held.append((key[lo], batch.slice(lo, hi - lo)))
+            if held:
+                yield [x for _, x in held]
+
+        out_a, out_b = [], []
+        for parts in groups():
+            group = pa.Table.from_batches(parts)
+            node, comp, chunk, size = (group[c].to_numpy() for c in ("node", "c", "chunk", "size"))
+            bits = np.frombuffer(b"".join(group["sketch"].to_pylist()), _U).reshape(len(node), -1)
+            a, b = _near(node, comp, chunk, size, bits, group["first"][0].as_py(), group["second"][0].as_py(), num, den)
+            if len(a):
+                out_a.append(a)
+                out_b.append(b)
+            if len(out_a) > 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
+                out_a, out_b = [], []
+        if out_a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
+
+    return dealt.repartition("key", "first", "second").sortWithinPartitions("key", "first", "second").mapInArrow(compare, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -180,11 +246,9 @@ def near_components(docs: DataFrame, words: int = WORDS, threshold: tuple[int, i
     links = links.unionAll(verified(stored(rest, "rest"), sets, num, den))
     labels = components(links)
     named = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-    mixed = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-    named = stored(named.join(sized(stored(mixed, "mixed-keys")), "key", "left_semi"), "mixed")
-    one, two = (named.select("key", F.col("node").alias(k), F.col("c").alias(f"c_{k}")) for k in ("a", "b"))
-    pairs = one.join(two, "key").where("c_a <> c_b and a < b").select("a", "b").distinct()
-    pairs = stored(pairs.join(near, ["a", "b"], "left_anti"), "pairs")
+    mixed = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where("c0 < c1").select("key", F.ceil(F.col("n") / CHUNK).alias("chunks"))
+    named = named.join(sized(stored(mixed, "mixed-keys")), "key").join(sets.select("node", F.size("set").cast("long").alias("size"), "sketch"), "node")
+    pairs = stored(near_under_keys(named, num, den), "pairs")
     more = verified(pairs, sets, num, den)
     if not more.isEmpty():
         labels = components(links.unionAll(more))
