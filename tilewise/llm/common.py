@@ -77,3 +77,11 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def key_uniform(*cols, seed: int = 0):
     """A number in [0, 1) that follows from the columns alone."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11).cast("double") * F.lit(2.0**-53)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores added until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -69,7 +69,7 @@ def drop_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id", pre
     once = rows.where("_ties is null or _ties = 1").select("_row.*")
     if groups.where("ties > 1").isEmpty():
         return once
-    again = rows.where("_ties > 1").groupBy(*KEYS).agg(F.max(F.struct(F.to_json("_row").alias("_j"), F.col("_row"))).alias("_m")).select("_m._row.*")
+    again = rows.where("_ties > 1").groupBy(*KEYS).agg(F.max_by("_row", F.to_json("_row")).alias("_row")).select("_row.*")
     return once.unionByName(again)
 
 

@@ -12,10 +12,10 @@ that, and the language with the most decides. The score is its part of all corre
 The fit takes at most TRAIN_DOCS labelled documents of each language (fewer rows: all), chosen by a hash of the id; this
 bound is a parameter. The filter has SLOTS slots at any input size. Everything else covers whole texts and all rows.
 
-Defined results: text that is null or has no letter is `und` with score 0; so is a text none of whose n-grams is held by
-any language, if `und` is asked for by min_score, else it gets the first language; without any labelled document all are
-`und`; ties go to the language that is first by code point; rows that repeat get the same answer; an empty table gives
-an empty one; other columns are carried by `keep_known` and not read.
+Defined results: text that is null or has no letter is `und` with score 0; a text with letters none of whose n-grams any
+language holds gets the first language, with score 0; without any labelled document all are `und`; ties go to the language
+that is first by code point; rows that repeat get the same answer; an empty table gives an empty one; other columns are
+carried by `keep_known` and not read.
 """
 
 from __future__ import annotations
@@ -189,9 +189,9 @@ def predict(docs: DataFrame, model: Filter, text: str = "text") -> DataFrame:
                     support.append(float(min(1.0, hits[j, best[j]] / total[j])) if some and total[j] else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(support, pa.float64())], names=["_row", "lang_pred", "score", "support"])
 
-    rows = docs.select(F.col(text).cast("string").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("_row"))
+    rows = docs.select(F.col(text).cast("string").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text], F.lit(True).alias("_")).alias("_row"))
     schema = f"_row {rows.schema['_row'].dataType.simpleString()}, lang_pred string, score double, support double"
-    return rows.mapInArrow(run, schema).select("_row.*", "lang_pred", "score", "support")
+    return rows.mapInArrow(run, schema).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns if c != text], "lang_pred", "score", "support")
 
 
 def held_out(id_col: Column, folds: int) -> Column:

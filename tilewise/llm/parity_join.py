@@ -16,7 +16,8 @@ compared by sketches of SKETCH bits inside the tasks (a key with many classes in
 work of bounded size), and only pairs whose sketches are near enough come out, to be verified. The hashes of whole texts never leave the tasks but for classes that have a partner under some key.
 
 Defined results: texts that are null or without words have no set, no links, and are their own component; a null id is
-the component of no other row; rows that repeat an id are joined by their texts alone; an empty table gives an empty
+the component of no other row; rows that repeat an id are joined by their texts alone,
+and `one_of_each` keeps all rows that have the smallest id of their component; an empty table gives an empty
 one; other columns are carried by `one_of_each` and not read. 64-bit hashes stand for n-grams and sets; two different
 ones among k collide with probability k^2 / 2^65.
 """
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sized, stored, table
+from .common import sized, stored, table, unused
 from .graph import components
 
 WORDS, THRESHOLD = 5, (8, 10)
@@ -266,8 +267,9 @@ def near_components(docs: DataFrame, words: int = WORDS, threshold: tuple[int, i
 def one_of_each(docs: DataFrame, words: int = WORDS, threshold: tuple[int, int] = THRESHOLD, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of docs with the smallest id of their component, with all their columns; rows without an id or a set stay."""
     found = near_components(docs, words, threshold, text, id_col)
-    gone = stored(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(sized(gone, 1_000_000), F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    name = unused(docs, "_gone")
+    gone = stored(found.where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return docs.join(sized(gone, 1_000_000), F.col(f"`{id_col}`") == F.col(name), "left_anti")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
