@@ -1,6 +1,6 @@
 """All queries of the domain, and their SQL."""
 
-from . import detection, evaluation
+from . import assembly, detection, evaluation
 
-QUERIES = detection.QUERIES | evaluation.QUERIES
-SQL = detection.SQL | evaluation.SQL
+QUERIES = detection.QUERIES | evaluation.QUERIES | assembly.QUERIES
+SQL = detection.SQL | evaluation.SQL | assembly.SQL
