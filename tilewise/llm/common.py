@@ -17,6 +17,7 @@ BROADCAST_ROWS, BROADCAST_ROW_BYTES = 400_000, 64
 WORD = r"[^\x20\x09-\x0D]+"
 
 _local: list[str] = []
+_written: list = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, what: str) -> str:
-    """A path in the shared folder that no other call gets; it goes when the driver's Python ends."""
+    """A path in the shared folder that no other call gets; it goes with release(), at the latest when the driver's Python ends."""
     path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs, conf = hadoop.getFileSystem, spark.sparkContext._jsc.hadoopConfiguration()
@@ -51,10 +52,17 @@ def new_path(spark: SparkSession, what: str) -> str:
             if (p := urlparse(path)).scheme in ("", "file"):
                 shutil.rmtree(p.path, ignore_errors=True)
 
-    atexit.register(drop)
+    _written.append(drop)
     return path
 
 
+@atexit.register
+def release() -> None:
+    """Deletes all tables that this driver has written so far; DataFrames that read them can't be used any more."""
+    while _written:
+        _written.pop()()
+
+
 @atexit.register
 def _drop_local() -> None:
     for p in _local:
