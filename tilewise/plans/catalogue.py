@@ -1,6 +1,6 @@
 """All queries of the domain, and their SQL."""
 
-from . import assembly, detection, evaluation
+from . import assembly, detection, evaluation, site
 
-QUERIES = detection.QUERIES | evaluation.QUERIES | assembly.QUERIES
-SQL = detection.SQL | evaluation.SQL | assembly.SQL
+QUERIES = detection.QUERIES | evaluation.QUERIES | assembly.QUERIES | site.QUERIES
+SQL = detection.SQL | evaluation.SQL | assembly.SQL | site.SQL
