@@ -17,6 +17,7 @@ QUERIES = {
     "op10_recurrent_lm": recurrent_lm.op10,
 }
 ORACLE_SQL = {
+    "op3_parity_join": parity_join.OP3_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op9_warc": warc.OP9_SQL,
 }
