@@ -19,5 +19,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op3_parity_join": parity_join.OP3_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "op6_suffix_dedup": suffix_dedup.OP6_SQL,
     "op9_warc": warc.OP9_SQL,
 }

@@ -300,3 +300,18 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, te
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+p AS (SELECT doc_id, b, unnest(range(0, greatest(0, n - 399))) AS i FROM d),
+h AS (SELECT doc_id, i, md5(b[i + 1 : i + 400]) AS h FROM p),
+dup AS (SELECT doc_id, i FROM h WHERE h IN (SELECT h FROM h GROUP BY h HAVING count(*) > 1)),
+g AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER w + 400 OR lag(i) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM dup WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+k AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM g),
+sp AS (SELECT doc_id, min(i) AS lo, max(i) + 400 AS hi FROM k GROUP BY doc_id, k),
+c AS (SELECT doc_id, lo, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS fr FROM sp UNION ALL SELECT doc_id, n, coalesce(hi, 0) FROM d LEFT JOIN (SELECT doc_id, max(hi) AS hi FROM sp GROUP BY doc_id) USING (doc_id)),
+t AS (SELECT doc_id, string_agg(hex(b[fr + 1 : lo]), '' ORDER BY fr) AS kept FROM c JOIN d USING (doc_id) WHERE lo > fr GROUP BY doc_id),
+r AS (SELECT doc_id, sum(hi - lo) AS removed, count(*) AS spans FROM sp GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
