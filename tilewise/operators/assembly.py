@@ -5,13 +5,13 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewise import config as C
 from tilewise.functions import geo
 
-from .shared import first_per
+from .shared import first_per, numbered
 
 
 def training_sources(parts: list[tuple[str, DataFrame]], excluded: DataFrame | None = None) -> DataFrame:
@@ -22,8 +22,8 @@ def training_sources(parts: list[tuple[str, DataFrame]], excluded: DataFrame | N
     tagged = []
     for prefix, rows in parts:
         rows = rows if excluded is None else rows.join(excluded.select("key"), "key", "left_anti")
-        n = F.row_number().over(Window.orderBy("key"))
-        tagged.append(rows.select(F.concat(F.lit(f"{prefix}_"), F.lpad(n.cast("string"), 4, "0")).alias("src"), "key", "y", "lat", "lon"))
+        rows = numbered(rows, [F.col("key")], "_n")
+        tagged.append(rows.select(F.concat(F.lit(f"{prefix}_"), F.lpad(F.col("_n").cast("string"), 4, "0")).alias("src"), "key", "y", "lat", "lon"))
     return reduce(DataFrame.unionByName, tagged)
 
 

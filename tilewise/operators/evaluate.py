@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import running
+
 
 def ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b)
@@ -23,17 +25,16 @@ def prf_at(scores: DataFrame, threshold: float) -> DataFrame:
 
 
 def by_score(scores: DataFrame) -> DataFrame:
-    """Each distinct score as a threshold: counts by running sums over the grouped scores."""
+    """Each distinct score as a threshold, with its own pos and neg: counts by running sums over the grouped scores."""
     per = scores.groupBy("score").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     total = per.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
-    rows = per.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down)}).crossJoin(F.broadcast(total))
-    return rows.select(F.col("score").alias("threshold"), "tp", "fp", (F.col("all_pos") - F.col("tp")).alias("fn"), (F.col("all_neg") - F.col("fp")).alias("tn"))
+    rows = running(per, [F.desc("score")], {"tp": F.col("pos"), "fp": F.col("neg")}).crossJoin(F.broadcast(total))
+    return rows.select(F.col("score").alias("threshold"), "pos", "neg", "tp", "fp", (F.col("all_pos") - F.col("tp")).alias("fn"), (F.col("all_neg") - F.col("fp")).alias("tn"))
 
 
 def best_f1(scores: DataFrame) -> DataFrame:
     """The threshold with the highest F1, the lowest such on a tie."""
-    return _prf(by_score(scores)).orderBy(F.desc_nulls_last("f1"), "threshold").limit(1)
+    return _prf(by_score(scores).drop("pos", "neg")).orderBy(F.desc_nulls_last("f1"), "threshold").limit(1)
 
 
 def sweep(scores: DataFrame, steps: int = 100) -> DataFrame:
@@ -53,11 +54,11 @@ def sweep(scores: DataFrame, steps: int = 100) -> DataFrame:
 
 def roc_auc(scores: DataFrame) -> DataFrame:
     """Area under the ROC curve by trapezoids over the distinct scores."""
-    rows = by_score(scores).withColumns({"fpr": ratio(F.col("fp"), F.col("fp") + F.col("tn")), "tpr": ratio(F.col("tp"), F.col("tp") + F.col("fn"))})
-    w = Window.orderBy(F.desc("threshold"))
-    before = lambda c: F.coalesce(F.lag(c).over(w), F.lit(0.0))
-    rows = rows.withColumn("area", (F.col("fpr") - before("fpr")) * (F.col("tpr") + before("tpr")) / 2)
-    return rows.agg(F.sum("area").alias("auc"), F.count("*").alias("points"))
+    rows = by_score(scores)
+    n_pos, n_neg = F.col("tp") + F.col("fn"), F.col("fp") + F.col("tn")
+    # the point before a score has the counts without those of the score itself
+    area = ratio(F.col("neg"), n_neg) * (ratio(F.col("tp"), n_pos) + ratio(F.col("tp") - F.col("pos"), n_pos)) / 2
+    return rows.agg(F.sum(area).alias("auc"), F.count("*").alias("points"))
 
 
 def reliability(scores: DataFrame, bins: int = 10) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tilewise.functions import geo, text
 
-from .shared import first_per
+from .shared import first_per, numbered
 from .spatial import range_join
 
 
@@ -46,14 +46,14 @@ def density_rank(rows: DataFrame, key: str, density: str) -> DataFrame:
     """Place among the rows with a density, their number, and the share of a progress bar."""
     some = rows.where(F.col(density) > 0)
     total = some.agg(F.count("*").alias("total"))
-    ranked = some.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(density), key))).crossJoin(F.broadcast(total))
+    ranked = numbered(some, [F.desc(density), F.col(key)], "rank").crossJoin(F.broadcast(total))
     return ranked.select(key, density, "rank", "total", (F.lit(100.0) - (F.col("rank") - 1) / F.col("total") * 100).alias("bar"))
 
 
 def pages(rows: DataFrame, order: list, per_page: int = 9) -> DataFrame:
     """rows with page and cell of a review sheet."""
-    n = F.row_number().over(Window.orderBy(*order)) - 1
-    return rows.withColumn("_n", n).withColumns({"page": F.floor(F.col("_n") / per_page), "cell": F.col("_n") % per_page}).drop("_n")
+    n = F.col("_n") - 1
+    return numbered(rows, order, "_n").withColumns({"page": F.floor(n / per_page), "cell": n % per_page}).drop("_n")
 
 
 def top_per_group(rows: DataFrame, group: str, order: list, k: int) -> DataFrame:

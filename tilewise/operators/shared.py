@@ -27,3 +27,24 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def first_per(df: DataFrame, keys: list, order: list) -> DataFrame:
     """The first row of each key in the given order, which has to be total for a defined result."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
+
+
+def running(df: DataFrame, order: list, sums: dict) -> DataFrame:
+    """df with running sums (name -> column) in the given order, up to and with each row.
+
+    Rows are range-partitioned by the order and summed within partitions; the partitions' totals, one row each, give what
+    lies before them. No task sees all rows.
+    """
+    ranged = df.withColumns({f"_v_{n}": c for n, c in sums.items()}).repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = cut_lineage(ranged.withColumns({"_pid": F.spark_partition_id(), "_i": F.monotonically_increasing_id()}))
+    totals = ranged.groupBy("_pid").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_pid", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums])
+    here = Window.partitionBy("_pid").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    rows = ranged.join(F.broadcast(offsets), "_pid")  # one row per partition
+    return rows.select(*df.columns, *[(F.sum(f"_v_{n}").over(here) + F.col(f"_b_{n}")).alias(n) for n in sums])
+
+
+def numbered(df: DataFrame, order: list, name: str = "row") -> DataFrame:
+    """df with the place of each row, from 1, in a total order."""
+    return running(df, order, {name: F.lit(1)}).withColumn(name, F.col(name).cast("long"))
