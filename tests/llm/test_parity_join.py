@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from tilewise.llm.parity_join import keys, near_components, one_of_each, op3, shingles
+from tilewise.llm.parity_join import keys, near_components, one_of_each, op3, same_size, shingles, sketch
 
 SCHEMA = "doc_id long, text string, keys string, component_id string"
 
@@ -87,3 +87,14 @@ def test_empty_table_and_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e f", "", ""), (7, "a b c d e f", "", ""), (None, None, "", "")], SCHEMA)
     assert sorted(((r["doc_id"], r["n_shingles"]) for r in near_components(df).collect()), key=str) == [(7, 2), (None, 0), (None, 2)]
     assert len(shingles(["a b", "a  b"], 5)[0]) == 1
+
+
+def test_sketches_bound_the_difference_at_any_size():
+    rng = random.Random(8)
+    for n in (5, 1000, 1030, 3000):
+        a = {rng.getrandbits(64) for _ in range(n)}
+        b = set(sorted(a)[: n - n // 7]) | {rng.getrandbits(64) for _ in range(n // 9)}
+        x, y = (sketch(np.array(sorted(s), np.uint64)) for s in (a, b))
+        size = min(len(x), len(y))
+        apart = int(np.bitwise_count(same_size([x], size) ^ same_size([y], size)).sum())
+        assert apart <= len(a ^ b) and (len(a ^ b) - apart) % 2 == 0 and apart >= 0.6 * len(a ^ b)

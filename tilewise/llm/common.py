@@ -77,6 +77,14 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a table that stored() wrote, before release() would; df, and what was made of it and not stored, can't be used any more."""
+    files = df.inputFiles()
+    if files:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A stored df with a broadcast hint if its count permits; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.count() <= rows else df

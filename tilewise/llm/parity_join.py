@@ -11,12 +11,12 @@ more empty blocks than s use them as well, and so no pair is lost.
 
 From keys to links, with no step that makes all pairs of a group of copies: equal sets are one class; each key links its
 classes to the smallest and largest among them; these links are verified on the whole sets, for each class one at first
-and then those that still lie between two components; last, classes under one key that are in different components are
-compared by sketches of SKETCH bits inside the tasks (a key with many classes in chunks, each pair of chunks a task's
+and then those that still lie between two components (all of them only if sizes and sketches leave them open); last, classes under one key that are in different components are
+compared by sketches inside the tasks (a key with many classes in chunks, each pair of chunks a task's
 work of bounded size), and only pairs whose sketches are near enough come out, to be verified. The hashes of whole texts never leave the tasks but for classes that have a partner under some key.
 
-Defined results: texts that are null or without words have no set, no links, and are their own component; a null id is
-the component of no other row; rows that repeat an id are joined by their texts alone,
+Defined results: texts that are null or without words have no set, no links, and are their own component; a row with a
+null id is in the component of equal sets, links to no others and is the component of none; rows that repeat an id are joined by their texts alone,
 and `one_of_each` keeps all rows that have the smallest id of their component; an empty table gives an empty
 one; other columns are carried by `one_of_each` and not read. 64-bit hashes stand for n-grams and sets; two different
 ones among k collide with probability k^2 / 2^65.
@@ -33,16 +33,21 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sized, stored, table, unused
+from .common import discard, sized, stored, table, unused
 from .graph import components
 
 WORDS, THRESHOLD = 5, (8, 10)
-#: Bits of the sketches that are compared pair by pair, and most classes of a key in one task.
+#: Fewest bits of the sketches that are compared pair by pair (large sets have 1 to 2 bits for each element), and most
+#: classes of a key in one task.
 SKETCH, CHUNK = 2048, 1000
-#: Band edges grow by a quarter.
+#: Most rows of 24 bytes that are broadcast to find the members of shared keys.
+SHARED_ROWS = 2_500_000
+#: Most bytes of sketches that are broadcast.
+SKETCH_BYTES = 32 << 20
+#: Band edges grow by a half.
 EDGES = [1]
 while EDGES[-1] < 1 << 40:
-    EDGES.append(max(EDGES[-1] + 1, EDGES[-1] * 5 // 4))
+    EDGES.append(max(EDGES[-1] + 1, EDGES[-1] * 3 // 2))
 _EDGES = np.array(EDGES)
 _U = np.uint64
 
@@ -115,47 +120,62 @@ def _node(h: np.ndarray) -> int | None:
 
 
 def profiles(docs: DataFrame, words: int, num: int, den: int, text: str, id_col: str) -> DataFrame:
-    """doc_id, n_shingles, node (the class; null for empty sets), keys."""
+    """doc_id, n_shingles, node (the class; null for empty sets), sketch, keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 100):
                 part = batch.slice(lo, 100)
                 sets = shingles(part.column(1).to_pylist(), words)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array([_node(h) for h in sets], pa.int64()), _longs([keys(h, num, den) for h in sets])], names=["doc_id", "n_shingles", "node", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array([_node(h) for h in sets], pa.int64()), pa.array([sketch(h) for h in sets]), _longs([keys(h, num, den) for h in sets])], names=["doc_id", "n_shingles", "node", "sketch", "keys"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return stored(rows.mapInArrow(run, "doc_id long, n_shingles long, node long, keys array<long>"), "profiles")
+    return stored(rows.mapInArrow(run, "doc_id long, n_shingles long, node long, sketch binary, keys array<long>"), "profiles")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, words: int, text: str, id_col: str) -> DataFrame:
-    """node, set, sketch of the classes in wanted (node, doc_id: a document of it)."""
+    """node, set of the classes in wanted (node, doc_id: a document of it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 100):
                 part = batch.slice(lo, 100)
                 sets = shingles(part.column(0).to_pylist(), words)
-                yield pa.RecordBatch.from_arrays([pa.array([_node(h) for h in sets], pa.int64()), _longs(sets), pa.array([sketch(h) for h in sets])], names=["node", "set", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array([_node(h) for h in sets], pa.int64()), _longs(sets)], names=["node", "set"])
 
     ids = sized(wanted.select(F.col("doc_id").alias("_id")).distinct(), 1_000_000)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text).alias("text")).join(ids, "_id", "left_semi").select("text")
-    # a repeated id brings rows of other classes along
-    return stored(rows.mapInArrow(run, "node long, set array<long>, sketch binary").join(sized(wanted.select("node")), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    # a repeated id brings rows of other classes along, or of the same class once more
+    sets = stored(rows.mapInArrow(run, "node long, set array<long>").join(sized(wanted.select("node")), "node", "left_semi"), "sets")
+    n, distinct = sets.agg(F.count("*"), F.count_distinct("node")).first()
+    return sets if n == distinct else stored(sets.dropDuplicates(["node"]), "sets")
 
 
 def sketch(h: np.ndarray) -> bytes:
-    """The parity of how many hashes fall on each of SKETCH bits."""
-    bit = (h >> _U(64 - (SKETCH - 1).bit_length())).astype(np.int64)
-    return np.packbits((np.bincount(bit, minlength=SKETCH) & 1).astype(bool)).tobytes()
+    """The parity of how many hashes fall on each of SKETCH bits, or of more bits (a power of two) than there are hashes."""
+    log2 = max((SKETCH - 1).bit_length(), len(h).bit_length())
+    return np.packbits((np.bincount((h >> _U(64 - log2)).astype(np.int64), minlength=1 << log2) & 1).astype(bool)).tobytes()
+
+
+def same_size(sketches: list[bytes], size: int) -> np.ndarray:
+    """Sketches folded to so many bytes, as rows of 64-bit words: two neighbouring bits become their parity."""
+    out = np.empty((len(sketches), size), np.uint8)
+    for i, x in enumerate(sketches):
+        row = np.frombuffer(x, np.uint8)
+        while len(row) > size:
+            bits = np.unpackbits(row)
+            row = np.packbits(bits[::2] ^ bits[1::2])
+        out[i] = row
+    return out.view(_U)
 
 
 def _near(node, comp, chunk, size, bits, first: int, second: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of different components, one of each chunk, that sizes and sketches leave open."""
     one, two = np.flatnonzero(chunk == first), np.flatnonzero(chunk == second)
     found = [np.zeros((2, 0), np.int64)]
-    for lo in range(0, len(one), 64):
-        i = one[lo : lo + 64, None]
+    step = max(1, 2048 // bits.shape[1])
+    for lo in range(0, len(one), step):
+        i = one[lo : lo + step, None]
         apart = np.bitwise_count(bits[i] ^ bits[two][None]).sum(2, dtype=np.int64)
         a, b = size[i], size[two][None]
         near = (apart * (num + den) <= (a + b) * (den - num)) & (np.minimum(a, b) * den >= np.maximum(a, b) * num) & (comp[i] != comp[two][None])
@@ -193,7 +213,8 @@ def near_under_keys(rows: DataFrame, num: int, den: int) -> DataFrame:
         for parts in groups():
             group = pa.Table.from_batches(parts)
             node, comp, chunk, size = (group[c].to_numpy() for c in ("node", "c", "chunk", "size"))
-            bits = np.frombuffer(b"".join(group["sketch"].to_pylist()), _U).reshape(len(node), -1)
+            sketches = group["sketch"].to_pylist()
+            bits = same_size(sketches, min(map(len, sketches)))
             a, b = _near(node, comp, chunk, size, bits, group["first"][0].as_py(), group["second"][0].as_py(), num, den)
             if len(a):
                 out_a.append(a)
@@ -207,8 +228,33 @@ def near_under_keys(rows: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.repartition("key", "first", "second").sortWithinPartitions("key", "first", "second").mapInArrow(compare, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+def open_by_sketch(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches leave open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(lo, 1000) for whole in batches for lo in range(0, whole.num_rows, 1000)):
+            a, b, x, y = (batch.column(c).to_numpy() for c in ("a", "b", "size_a", "size_b"))
+            one, two = (batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b"))
+            length, apart = np.array([min(len(p), len(q)) for p, q in zip(one, two, strict=True)]), np.empty(len(a), np.int64)
+            for n in np.unique(length):
+                at = np.flatnonzero(length == n)
+                apart[at] = np.bitwise_count(same_size([one[i] for i in at], n) ^ same_size([two[i] for i in at], n)).sum(1, dtype=np.int64)
+            near = (apart * (num + den) <= (x + y) * (den - num)) & (np.minimum(x, y) * den >= np.maximum(x, y) * num)
+            yield pa.RecordBatch.from_arrays([pa.array(a[near]), pa.array(b[near])], names=["a", "b"])
+
+    # sketches grow with their sets, so it is their bytes that decide about a broadcast
+    few = (sketches.agg(F.sum(F.octet_length("sketch") + 32)).first()[0] or 0) <= SKETCH_BYTES
+    one, two = (sketches.select(F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in ("a", "b"))
+    one, two = (F.broadcast(x) if few else x for x in (one, two))
+    return stored(pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long"), "open")
+
+
+def verified(pairs: DataFrame, samples: DataFrame, docs: DataFrame, words: int, num: int, den: int, text: str, id_col: str) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough; samples: node, doc_id."""
+    if pairs.isEmpty():
+        return pairs
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = whole_sets(docs, stored(samples.join(nodes, "node", "left_semi"), "wanted"), words, text, id_col)
     one, two = (sets.select(F.col("node").alias(k), F.col("set").alias(f"set_{k}")) for k in ("a", "b"))
     both = pairs.join(one, "a").join(two, "b")
     same = F.size(F.array_intersect("set_a", "set_b"))
@@ -229,28 +275,31 @@ def near_components(docs: DataFrame, words: int = WORDS, threshold: tuple[int, i
     """doc_id, n_shingles, node (class of equal sets), component_id (the smallest id that links lead to)."""
     num, den = threshold
     rows = profiles(docs, words, num, den, text, id_col)
-    keyed = rows.where("node is not null").select("node", F.explode("keys").alias("key"))
+    keyed = rows.where("node is not null and doc_id is not null").select("node", F.explode("keys").alias("key"))
     # keys under which there is more than one class; copies of one class are summed up before the shuffle
     shared = stored(keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi"), "shared-keys")
-    members = stored(keyed.join(sized(shared, 1_000_000), "key").distinct(), "members")
+    members = stored(keyed.join(sized(shared, SHARED_ROWS), "key").distinct(), "members")
+    whole, rows = rows, stored(rows.drop("keys"), "classes-of-rows")
+    discard(whole)  # the keys have done their work
     near = members.select(F.explode(F.array(F.struct(F.least("node", "lo").alias("a"), F.greatest("node", "lo").alias("b")), F.struct(F.least("node", "hi").alias("a"), F.greatest("node", "hi").alias("b")))).alias("p")).select("p.*").where("a < b")
-    near = stored(near.distinct(), "near")
-    nodes = members.select("node").distinct()
-    sample = rows.where("node is not null").select("node", "doc_id").join(sized(stored(nodes, "nodes")), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sets = whole_sets(docs, stored(sample, "class-samples"), words, text, id_col)
+    nodes = sized(stored(members.select("node").distinct(), "nodes"))
+    samples = rows.where("node is not null and doc_id is not null").join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("x"))
+    samples = stored(samples.select("node", "x.doc_id", F.col("x.n_shingles").alias("size"), "x.sketch"), "class-samples")
+    near = open_by_sketch(near.distinct(), samples, num, den)
+
+    def check(pairs: DataFrame) -> DataFrame:
+        return verified(stored(pairs, "pairs"), samples, docs, words, num, den, text, id_col)
 
     # one link for each class, then the others that could still join two components, then pairs under a key
-    first = stored(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
-    links = verified(first, sets, num, den)
-    labels = components(links)
-    rest = _apart(near.join(first, ["a", "b"], "left_anti"), labels)
-    links = links.unionAll(verified(stored(rest, "rest"), sets, num, den))
+    first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = check(first)
+    links = links.unionAll(check(_apart(near.join(first, ["a", "b"], "left_anti"), components(links))))
     labels = components(links)
     named = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-    mixed = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where("c0 < c1").select("key", F.ceil(F.col("n") / CHUNK).alias("chunks"))
-    named = named.join(sized(stored(mixed, "mixed-keys")), "key").join(sets.select("node", F.size("set").cast("long").alias("size"), "sketch"), "node")
-    pairs = stored(near_under_keys(named, num, den), "pairs")
-    more = verified(pairs, sets, num, den)
+    # of up to three classes under a key, every pair has the smallest or the largest in it and is among the links above
+    mixed = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where("c0 < c1 and n > 3").select("key", F.ceil(F.col("n") / CHUNK).alias("chunks"))
+    named = named.join(sized(stored(mixed, "mixed-keys"), 1_000_000), "key").join(samples.select("node", "size", "sketch"), "node")
+    more = check(near_under_keys(named, num, den).join(near, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         labels = components(links.unionAll(more))
 
