@@ -37,7 +37,7 @@ from .common import stored, table
 
 LENGTH, END_ID = 2048, 1
 #: Entries of a worker's table of chunks that have been tokenised.
-CHUNKS = 600_000
+CHUNKS = 300_000
 TOKENS = "doc_id long, source string, pid int, before long, n long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
