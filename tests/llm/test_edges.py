@@ -321,3 +321,9 @@ def test_html_labeller_learns_from_context():
     losses = model.train(x[:120], y[:120], 8)
     right = [((s > 0.5) == t).mean() for s, t in zip(model.scores(x[120:]), y[120:], strict=True)]
     assert losses[-1] < losses[0] / 3 and np.mean(right) > 0.93
+
+
+def test_lm_scores_each_row_once_in_large_batches(spark):
+    df = spark.range(4000).selectExpr("id doc_id", "concat('word', id % 7, ' of ', id) text").coalesce(1)
+    got = recurrent_lm.score_documents(df).select("doc_id").collect()
+    assert sorted(r[0] for r in got) == list(range(4000))
