@@ -327,3 +327,25 @@ def test_lm_scores_each_row_once_in_large_batches(spark):
     df = spark.range(4000).selectExpr("id doc_id", "concat('word', id % 7, ' of ', id) text").coalesce(1)
     got = recurrent_lm.score_documents(df).select("doc_id").collect()
     assert sorted(r[0] for r in got) == list(range(4000))
+
+
+def test_lm_trains_on_whole_documents_of_any_length(spark, monkeypatch):
+    # a word that comes only late in the longest document is learnt from, and so is each token of every shard
+    rows = [(i, "aa bb " * 3) for i in range(30)] + [(100, "cc dd " * 60_000 + "zz yy " * 500)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    model, _ = recurrent_lm.fit(df, shard_tokens=2000)
+    rest, _ = recurrent_lm.fit(df.where("id < 100"), shard_tokens=2000)
+    word, tail, n = recurrent_lm.words_of(["zz yy " * 40])
+    code = model.codes(*model.ids(word, tail), n)
+    assert len(code) == 81 and code[-1] == 0 and all(code[:-1])
+    late = lambda m: m.likelihoods(*m.ids(word, tail), n)[0] / 80
+    assert late(model) > np.log(0.1) > late(rest)
+    shards = recurrent_lm._shards(df, model, 7).collect()
+    got = np.concatenate([np.frombuffer(r["codes"], np.uint16) for r in shards])
+    assert len(got) == sum(len(t.split()) + 1 for _, t in rows) and sum(got == 0) == len(rows)
+    seen = []
+    monkeypatch.setattr(model, "_backward", lambda c, i, p, f, h: (seen.append(c * model.items + i), (0.0, {}, h))[1])
+    for k in (1, 31, 100, 1003):
+        seen.clear()
+        model.train(got[:k])
+        assert sorted(np.concatenate([x.ravel() for x in seen])) == sorted(got[:k])

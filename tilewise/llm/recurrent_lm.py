@@ -7,8 +7,10 @@ its most frequent words and "another word", whose probability is shared by the s
 words (one more stands for all words never seen). Each factor sums to one over its choices, and so does their product.
 
 The weights of the GRU are trained in numpy by truncated backpropagation (windows of STEPS tokens, the state carried from
-window to window, set back where a document begins) on a sample of at most TRAIN_TOKENS words, a parameter; the counts,
-classes' sizes and scores cover all documents. Scoring goes through a batch of documents together, in windows, carrying
+window to window, set back where a document begins) on all training documents, each from its first token to its last.
+Documents are dealt to shards of about SHARD_TOKENS tokens by a hash of id and text. In each of EPOCHS rounds every shard
+is gone through by a task, from the weights that all start with, and the mean of the shards' weights, by their tokens, is
+what the next round starts with. Shards depend on the rows alone, and so do the weights. Scoring goes through a batch of documents together, in windows, carrying
 each document's state from its first token to its last, however long it is.
 
 A word's count is looked up in the vocabulary: up to VOCABULARY distinct words each worker reads it from the shared
@@ -21,6 +23,8 @@ Words stand for themselves by 64-bit hashes.
 
 from __future__ import annotations
 
+import copy
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import key_uniform, stored, table
+from .common import discard, stored, table
 from .language_id import held_out
 from .warc import file_system
 
-CLASSES, HEADS, HIDDEN, STEPS, STREAMS, EPOCHS, TRAIN_TOKENS, VOCABULARY, SMOOTH = 96, 7, 24, 16, 32, 3, 100_000, 16_000_000, 0.1
+CLASSES, HEADS, HIDDEN, STEPS, STREAMS, EPOCHS, SHARD_TOKENS, VOCABULARY, SMOOTH = 96, 7, 24, 16, 32, 3, 1_000_000, 16_000_000, 0.1
 END, REST = 0, 1  # classes
 COUNTED = "word long, tail int, n long"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -130,57 +134,59 @@ class Model:
         top = within.max(1)
         return out + within[np.arange(len(h)), item] - top - np.log(np.exp(within - top[:, None]).sum(1))
 
-    def train(self, docs: list[tuple[np.ndarray, np.ndarray]], epochs: int = EPOCHS, rate: float = 4e-3) -> list[float]:
-        """Truncated backpropagation over documents (class and item of each token, the end left out); mean loss of each epoch."""
-        if not docs:
-            return []
-        cls = np.concatenate([np.append(c, END) for c, _ in docs])
-        item = np.concatenate([np.append(i, 0) for _, i in docs])
-        first = np.zeros(len(cls), bool)
-        first[np.cumsum([0, *(len(c) + 1 for c, _ in docs[:-1])])] = True
-        prev = np.where(first, self.bos, np.roll(cls * self.items + item, 1))
-        streams = max(1, min(STREAMS, len(cls) // (2 * STEPS)))
-        length = len(cls) // streams
-        cut = lambda x: x[: length * streams].reshape(streams, length).T
-        cls, item, prev, first = map(cut, (cls, item, prev, first))
-        m, v, t, losses = {k: np.zeros_like(w) for k, w in self.p.items()}, {k: np.zeros_like(w) for k, w in self.p.items()}, 0, []
-        for epoch in range(epochs):
-            h, loss = np.zeros((streams, HIDDEN), np.float32), 0.0
-            for lo in range(0, length, STEPS):
-                s = slice(lo, lo + STEPS)
-                part, grads, h = self._backward(cls[s], item[s], prev[s], first[s], h)
-                loss, t = loss + part, t + 1
-                norm = np.sqrt(sum(float((g**2).sum()) for g in grads.values()))
-                step = rate * (1 - epoch / epochs * 0.7) * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
-                for k, g in grads.items():
-                    g *= min(1.0, 1.0 / (norm + 1e-8))
-                    m[k] += 0.1 * (g - m[k])
-                    v[k] += 0.001 * (g * g - v[k])
-                    self.p[k] -= step * m[k] / (np.sqrt(v[k]) + 1e-6)
-            losses.append(loss / (length * streams))
-        return losses
+    def codes(self, cls: np.ndarray, item: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The tokens of documents in a row, each document's end among them as 0; n: words of each document."""
+        out = np.zeros(len(cls) + len(n), np.uint16)
+        out[np.arange(len(cls)) + np.repeat(np.arange(len(n)), n)] = cls * self.items + item
+        return out
+
+    def train(self, codes: np.ndarray, epoch: int = 0, epochs: int = EPOCHS, rate: float = 4e-3) -> float:
+        """Truncated backpropagation over all tokens of codes(), once; their mean loss."""
+        codes = codes.astype(np.int64)
+        cls, item = np.divmod(codes, self.items)
+        first = np.append(True, codes[:-1] == END * self.items)[: len(codes)]
+        prev = np.where(first, self.bos, np.roll(codes, 1))
+        streams = max(1, min(STREAMS, len(codes) // (2 * STEPS)))
+        length, longer = divmod(len(codes), streams)  # the first streams have a token more
+        starts = np.arange(streams) * length + np.minimum(np.arange(streams), longer)
+        m, v, t, loss = {k: np.zeros_like(w) for k, w in self.p.items()}, {k: np.zeros_like(w) for k, w in self.p.items()}, 0, 0.0
+        h = np.zeros((streams, HIDDEN), np.float32)
+        windows = [(lo, min(lo + STEPS, length), streams) for lo in range(0, length, STEPS)] + [(length, length + 1, longer)] * (longer > 0)
+        for lo, hi, many in windows:
+            at = starts[:many] + np.arange(lo, hi)[:, None]
+            part, grads, h = self._backward(cls[at], item[at], prev[at], first[at], h[:many])
+            loss, t = loss + part, t + 1
+            norm = np.sqrt(sum(float((g**2).sum()) for g in grads.values()))
+            step = rate * (1 - epoch / epochs * 0.7) * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
+            for k, g in grads.items():
+                g *= min(1.0, 1.0 / (norm + 1e-8))
+                m[k] += 0.1 * (g - m[k])
+                v[k] += 0.001 * (g * g - v[k])
+                self.p[k] -= step * m[k] / (np.sqrt(v[k]) + 1e-6)
+        return loss / max(1, len(codes))
 
     def _backward(self, cls, item, prev, first, h):
         """(loss, gradients, last state) of one window, steps x streams."""
         p, n, steps, many = self.p, HIDDEN, len(cls), cls.shape[1]
-        kept = []
+        kept, e = [], p["E"][prev.ravel()]
+        inputs = (e @ p["Wx"] + p["b"]).reshape(steps, many, 3 * n)
         for t in range(steps):
             h = np.where(first[t][:, None], 0, h).astype(np.float32)
-            e = p["E"][prev[t]]
-            x = e @ p["Wx"] + p["b"]
+            x = inputs[t]
             gates = sigmoid(x[:, : 2 * n] + h @ p["U"][:, : 2 * n])
             z, r = gates[:, :n], gates[:, n:]
             new = np.tanh(x[:, 2 * n :] + (r * h) @ p["U"][:, 2 * n :])
-            kept.append((h, e, z, r, new))
+            kept.append((h, z, r, new))
             h = new + z * (h - new)
         last = h
-        out = np.stack([k[4] + k[2] * (k[0] - k[4]) for k in kept]).reshape(-1, n)
+        out = np.stack([new + z * (h - new) for h, z, _, new in kept]).reshape(-1, n)
         c, i, rows = cls.ravel(), item.ravel(), np.arange(steps * many)
         g = {k: np.zeros_like(w) for k, w in p.items()}
         logits = out @ p["Wc"] + p["bc"]
         soft = np.exp(logits - logits.max(1, keepdims=True))
         soft /= soft.sum(1, keepdims=True)
-        within = np.einsum("nh,nih->ni", out, p["Wi"][c]) + p["bi"][c]
+        flat, place = p["Wi"].reshape(-1, n), (c * self.items)[:, None] + np.arange(self.items)
+        within = (out @ flat.T)[rows[:, None], place] + p["bi"][c]
         inner = np.exp(within - within.max(1, keepdims=True))
         inner /= inner.sum(1, keepdims=True)
         loss = -float(np.log(soft[rows, c] + 1e-12).sum() + np.log(inner[rows, i] + 1e-12).sum())
@@ -189,23 +195,25 @@ class Model:
         scale = np.float32(1 / many)
         soft, inner = soft * scale, inner * scale
         g["Wc"], g["bc"] = out.T @ soft, soft.sum(0)
-        np.add.at(g["Wi"], c, inner[:, :, None] * out[:, None, :])
-        np.add.at(g["bi"], c, inner)
-        down = (soft @ p["Wc"].T + np.einsum("ni,nih->nh", inner, p["Wi"][c])).reshape(steps, many, n)
+        spread = np.zeros((len(rows), len(flat)), inner.dtype)
+        spread[rows[:, None], place] = inner
+        g["Wi"], g["bi"] = (spread.T @ out).reshape(p["Wi"].shape), spread.sum(0).reshape(p["bi"].shape)
+        down = (soft @ p["Wc"].T + spread @ flat).reshape(steps, many, n)
+        gated = np.empty((steps, many, 3 * n), down.dtype)
         back = np.zeros((many, n), np.float32)
         for t in reversed(range(steps)):
-            h, e, z, r, new = kept[t]
+            h, z, r, new = kept[t]
             d = down[t] + back
             dz, dn = d * (h - new) * z * (1 - z), d * (1 - z) * (1 - new**2)
             drh = dn @ p["U"][:, 2 * n :].T
             dr = drh * h * r * (1 - r)
-            da = np.concatenate([dz, dr, dn], 1)
+            da = gated[t] = np.concatenate([dz, dr, dn], 1)
             g["U"][:, : 2 * n] += h.T @ da[:, : 2 * n]
             g["U"][:, 2 * n :] += (r * h).T @ dn
-            g["Wx"] += e.T @ da
-            g["b"] += da.sum(0)
-            np.add.at(g["E"], prev[t], da @ p["Wx"].T)
             back = np.where(first[t][:, None], 0, d * z + drh * r + da[:, : 2 * n] @ p["U"][:, : 2 * n].T).astype(np.float32)
+        gated = gated.reshape(-1, 3 * n)
+        g["Wx"], g["b"] = e.T @ gated, gated.sum(0)
+        np.add.at(g["E"], prev.ravel(), gated @ p["Wx"].T)
         return loss, g, last
 
     def likelihoods(self, cls: np.ndarray, item: np.ndarray, n: np.ndarray, steps: int = 64) -> np.ndarray:
@@ -240,7 +248,74 @@ class Model:
         return out
 
 
-def fit(train: DataFrame, train_tokens: int = TRAIN_TOKENS) -> tuple[Model, DataFrame]:
+def _shards(train: DataFrame, model: Model, shards: int) -> DataFrame:
+    """shard, codes: the tokens of all documents, a row for each shard, documents in the order of a hash."""
+    names = ["shard", "at", "codes"]
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1500):
+                part = batch.slice(lo, 1500)
+                word, tail, n = words_of(part.column(2).to_pylist())
+                codes, ends = model.codes(*model.ids(word, tail), n), np.cumsum(n + 1)
+                texts = [codes[a:b].tobytes() for a, b in zip(ends - n - 1, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.binary())], names=names)
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, kept = None, []
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([b"".join(kept)], pa.binary())], names=["shard", "codes"])
+        for batch in batches:
+            for s, codes in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if s != shard and kept:
+                    yield row()
+                    kept = []
+                shard = s
+                kept.append(codes)
+        if kept:
+            yield row()
+
+    at = F.xxhash64(F.lit(10), "id", "text")
+    rows = train.select(F.pmod(at, F.lit(shards)).alias("shard"), F.xxhash64(F.lit(11), "id", "text").alias("at"), "text")
+    rows = rows.mapInArrow(coded, "shard long, at long, codes binary").repartition(shards, "shard").sortWithinPartitions(*names)
+    return stored(rows.mapInArrow(joined, "shard long, codes binary"), "shards")
+
+
+def _train(train: DataFrame, model: Model, shard_tokens: int) -> None:
+    """Trains model on all documents (id, text): EPOCHS rounds over all shards, whose weights are averaged after each."""
+    shards = max(1, round((int(model.words) + model.documents) / shard_tokens))
+    rows, groups = _shards(train, model, shards), math.ceil(math.sqrt(shards))
+    shapes = {k: w.shape for k, w in model.p.items()}
+
+    def unpacked(flat: np.ndarray) -> dict[str, np.ndarray]:
+        cuts = np.cumsum([math.prod(x) for x in shapes.values()])[:-1]
+        return {k: x.reshape(shapes[k]).astype(np.float32) for k, x in zip(shapes, np.split(flat, cuts), strict=True)}
+
+    for epoch in range(EPOCHS):
+        sent = train.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, epoch=epoch) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    m = copy.copy(sent.value)
+                    m.p = {k: w.copy() for k, w in m.p.items()}
+                    codes = np.frombuffer(batch.column(1)[i].as_py(), np.uint16)
+                    m.train(codes, epoch)
+                    total = np.concatenate([w.ravel() for w in m.p.values()]).astype(np.float64) * len(codes)
+                    shard = batch.column(0)[i].as_py()
+                    yield pa.RecordBatch.from_arrays([pa.array([shard % groups]), pa.array([shard]), pa.array([len(codes)]), pa.array([total.tobytes()], pa.binary())], names=["part", "shard", "tokens", "total"])
+
+        def summed(part: pd.DataFrame) -> pd.DataFrame:
+            total = sum(np.frombuffer(x) for x in part.sort_values("shard")["total"])
+            return pd.DataFrame({"part": part["part"].iloc[:1], "tokens": [part["tokens"].sum()], "total": [total.tobytes()]})
+
+        found = rows.mapInArrow(run, "part long, shard long, tokens long, total binary").groupBy("part").applyInPandas(summed, "part long, tokens long, total binary").collect()
+        sent.destroy()
+        found.sort(key=lambda r: r["part"])
+        model.p = unpacked(sum(np.frombuffer(r["total"]) for r in found) / sum(r["tokens"] for r in found))
+    discard(rows)
+
+
+def fit(train: DataFrame, shard_tokens: int = SHARD_TOKENS) -> tuple[Model, DataFrame]:
     """(model, vocabulary: COUNTED of all training words) of rows (id, text)."""
     vocabulary = stored(count_words(train.select("text")), "vocabulary")
     by_tail = vocabulary.groupBy("tail").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
@@ -262,16 +337,8 @@ def fit(train: DataFrame, train_tokens: int = TRAIN_TOKENS) -> tuple[Model, Data
             heads[r["word"]] = (c, per[c], r["n"])
     documents = train.count()
     model = Model(tails, heads, words, kinds, documents)
-    mean = max(1.0, (words.sum() + documents) / max(1, documents))
-    sample = train.where(key_uniform("id", seed=10) < min(1.0, 2 * train_tokens / mean / max(1, documents))).select("text").limit(int(2 * train_tokens / mean) + 1).collect()
-    docs, left = [], train_tokens
-    for (text,) in sorted(sample, key=lambda r: (len(r[0] or ""), r[0] or "")):
-        word, tail, _ = words_of([text])
-        if left > 0:
-            docs.append(model.ids(word[:left], tail[:left]))
-            left -= len(word) + 1
-    np.random.default_rng(11).shuffle(docs)
-    model.train(docs)
+    if documents:
+        _train(train, model, shard_tokens)
     return model, vocabulary
 
 
@@ -367,11 +434,11 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, most: int = VOCA
     return rows.select("_row", "n_tokens", (F.col("known") + end[1]).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), (F.col("base") + end[0]).alias("base_score"), (F.col("part") + F.col("others")).alias("score"))
 
 
-def score_documents(docs: DataFrame, folds: int = 10, text: str = "text", id_col: str = "doc_id", train_tokens: int = TRAIN_TOKENS, most: int = VOCABULARY) -> DataFrame:
+def score_documents(docs: DataFrame, folds: int = 10, text: str = "text", id_col: str = "doc_id", shard_tokens: int = SHARD_TOKENS, most: int = VOCABULARY) -> DataFrame:
     """SCORES of all documents, learnt from those that aren't held out."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     out = held_out(F.col("id"), folds)
-    model, vocabulary = fit(rows.where(~out), train_tokens)
+    model, vocabulary = fit(rows.where(~out), shard_tokens)
     scored = score(rows.select(F.struct(F.col("id").alias("doc_id"), out.alias("held_out")).alias("_row"), "text"), model, vocabulary, most)
     return scored.select("_row.*", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
