@@ -349,3 +349,13 @@ def test_lm_trains_on_whole_documents_of_any_length(spark, monkeypatch):
         seen.clear()
         model.train(got[:k])
         assert sorted(np.concatenate([x.ravel() for x in seen])) == sorted(got[:k])
+
+
+def test_html_self_closed_icons_hide_nothing():
+    read = lambda html: [b.text for b in html_text.Reader().read(html)]
+    assert read('<article><svg class="icon"/><p>All of the article.</p><p>Its end.</p></article><p>After</p>') == ["All of the article.", "Its end.", "After"]
+    assert read("<article><p>One <math/>two <svg/>three.</p><p>Four</p></article>") == ["One two three.", "Four"]
+    # what lies inside closes itself too, with names that are silent elsewhere, and the outer tag still hides it
+    assert read("<p>A<svg><g><path/><title/><style/><script/>x</g><circle/>y</svg>B</p>") == ["AB"]
+    # elsewhere the slash means nothing, as in browsers
+    assert read("<div hidden/>gone</div><p>kept</p>") == ["kept"]

@@ -33,6 +33,7 @@ TRAIN_PAGES, EPOCHS, HIDDEN, PATH_DIM, WORD_DIM, MEASURES = 250, 6, 20, 96, 48,
 BLOCK_TAGS = frozenset("address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT_TAGS = frozenset("script style noscript template svg math textarea select object canvas audio video iframe head title".split())
+FOREIGN_TAGS = frozenset(("svg", "math"))
 CLOSED_BY = {"p": BLOCK_TAGS - {"br", "button", "label"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 #: Names of containers, as tags, classes or ids.
 CONTENT = frozenset("article main content story post entry body-text articlebody prose".split())
@@ -96,7 +97,9 @@ class Reader(HTMLParser):
         self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
+        """The slash makes foreign elements, svg and math and what lies in them, empty; browsers ignore it on others."""
+        if tag not in FOREIGN_TAGS and not any(above in FOREIGN_TAGS for above, _, _ in self.stack):
+            self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK_TAGS:
