@@ -254,7 +254,8 @@ def q_platt_fit(spark, d):
 
 @query("WITH g AS (SELECT source AS src, text FROM documents), b AS (SELECT DISTINCT lower(substr(text, 1, 20)) AS k FROM benchmark) SELECT src, count(*) AS n FROM g WHERE lower(substr(text, 1, 20)) NOT IN (SELECT k FROM b) GROUP BY src")
 def q_holdout_antijoin(spark, d):
-    k = F.lower(F.substring("text", 1, 20)).alias("k")
+    """Documents whose whole text is no benchmark text, by source."""
+    k = F.sha2(F.lower("text"), 256).alias("k")
     docs = G.table(spark, d, "documents").select(F.col("source").alias("src"), k)
     return docs.join(G.table(spark, d, "benchmark").select(k).distinct(), "k", "left_anti").groupBy("src").agg(F.count("*").alias("n"))
 
