@@ -1,5 +1,10 @@
 """Queries that answer for whole tables, on fixtures and against SQL without the cuts."""
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tilewise.operators import model
 from tilewise.plans import catalogue
 
 
@@ -10,3 +15,28 @@ def test_holdout_compares_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, text), (2, text)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = catalogue.QUERIES["q_holdout_antijoin"](spark, str(tmp_path)).collect()
     assert {r["src"]: r["n"] for r in got} == {"begins": 1, "holds": 1, "other": 1}
+
+
+def brute_mmd2(x, y):
+    both = np.concatenate([x, y]).astype(float)
+    d2 = ((both[:, None] - both[None]) ** 2).sum(2)
+    up = np.triu(np.ones(d2.shape, bool), 1)
+    k = np.exp(-d2 / np.median(d2[up & (d2 > 0)]))
+    n, m = len(x), len(y)
+    inside = lambda part: part[np.triu_indices(len(part), 1)].mean()
+    return inside(k[:n, :n]) + inside(k[n:, n:]) - 2 * k[:n, n:].mean()
+
+
+def test_mmd_counts_all_vectors(spark, sf_dir):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(0, 1, (130, 4)), rng.normal(0.3, 1, (95, 4))
+    x[100:] += 2  # those with later ids lie elsewhere
+    x[3] = x[4]
+    rows = [(i, True, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, False, v.tolist()) for i, v in enumerate(y)]
+    df = spark.createDataFrame(rows, "id long, one boolean, v array<double>")
+    for block in (17, 60, 1000):
+        assert model.mmd2(df, F.col("one"), "id", "v", block=block).first()[0] == pytest.approx(brute_mmd2(x, y), abs=1e-12)
+    assert model.mmd2(df.where("id < 1"), F.col("one"), "id", "v").first()[0] is None
+    got = {label: np.array([r["embedding"] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(F.col("label") == label).collect()]) for label in (0, 1)}
+    assert min(map(len, got.values())) > 40
+    assert catalogue.QUERIES["q_mmd"](spark, sf_dir).first()["mmd2"] == pytest.approx(brute_mmd2(got[0], got[1]), abs=1e-6)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import array_to_vector
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 
 from tilewise.functions import scoring
 
+from .shared import cut_lineage
+
 
 def fit_head(rows: DataFrame, vector: str, y: str, c: float = 1.0):
     """Logistic regression with an L2 penalty of 1/c and classes weighed to balance; (coefficients, intercept)."""
@@ -80,20 +84,85 @@ def cross_validated_auc(rows: DataFrame, key: str, vector: str, y: str, folds: i
     return rows.sparkSession.createDataFrame([(round(auc, 6), folds)], "auc double, folds int")
 
 
-def mmd2(rows: DataFrame, first, key: str, vector: str, most: int) -> DataFrame:
-    """Unbiased squared MMD with an RBF kernel at the median distance, between the first `most` rows of two sets.
-
-    `most` bounds the sample, and with it the pairs.
+def _between(r) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances of the pairs of two blocks, and whether each pair counts: once, and never a key with itself."""
+    x, y = (np.frombuffer(v).reshape(n, -1) for v, n in ((r.v, r.n), (r.v2, r.n2)))
+    d2 = np.zeros((len(x), len(y)))
+    for i in range(x.shape[1]):
+        d2 += (x[:, i, None] - y[None, :, i]) ** 2
+    if r.b == r.b2:
+        order = np.frombuffer(r.k, np.int64)
+        return d2, order[:, None] < order[None, :]
+    return d2, np.ones(d2.shape, bool)
+
+
+def _middle(pairs: DataFrame) -> float | None:
+    """The median of all distances above 0: 16 bits of the two middle ones are found in each pass, from counts."""
+    ranks, prefixes = None, [0, 0]
+    for shift in (48, 32, 16, 0):
+        wanted = sorted(set(prefixes))
+
+        def run(batches, wanted=wanted, shift=shift):
+            counts = np.zeros((len(wanted), 1 << 16), np.int64)
+            for batch in batches:
+                for r in batch.itertuples(index=False):
+                    d2, on = _between(r)
+                    bits = d2[on & (d2 > 0)].view(np.int64) >> shift
+                    for i, p in enumerate(wanted):
+                        counts[i] += np.bincount(bits[bits >> 16 == p] & 0xFFFF, minlength=1 << 16)
+            for p, c in zip(wanted, counts, strict=True):
+                at = c.nonzero()[0]
+                yield pd.DataFrame({"prefix": np.full(len(at), p), "bits": at, "n": c[at]})
+
+        counts = np.zeros((len(wanted), 1 << 16), np.int64)
+        for r in pairs.mapInPandas(run, "prefix long, bits long, n long").groupBy("prefix", "bits").agg(F.sum("n").alias("n")).collect():
+            counts[wanted.index(r["prefix"]), r["bits"]] = r["n"]
+        if ranks is None:
+            n = int(counts.sum())
+            if not n:
+                return None
+            ranks = [(n - 1) // 2, n // 2]
+        for i in range(2):
+            upto = counts[wanted.index(prefixes[i])].cumsum()
+            bits = int(np.searchsorted(upto, ranks[i], "right"))
+            ranks[i] -= int(upto[bits - 1]) if bits else 0
+            prefixes[i] = prefixes[i] << 16 | bits
+    return float(np.array(prefixes, np.int64).view(np.float64).mean())
+
+
+def mmd2(rows: DataFrame, first, key: str, vector: str, block: int = 500) -> DataFrame:
+    """Unbiased squared MMD with an RBF kernel at the median distance, between all rows of two sets.
+
+    Vectors are dealt to blocks by a hash of the key. Tasks go through pairs of blocks and give counts and sums, so no
+    pair of vectors becomes a row.
     """
-    w = Window.partitionBy(first).orderBy(key)
-    some = rows.withColumn("a", first).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most).select(key, "a", F.col(vector).cast("array<double>").alias("v"))
-    other = some.select(F.col(key).alias("k2"), F.col("a").alias("a2"), F.col("v").alias("v2"))
-    d2 = F.aggregate(F.zip_with("v", "v2", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    pairs = some.join(F.broadcast(other), F.col(key) < F.col("k2")).select("a", "a2", d2.alias("d2"))
-    mid = pairs.where("d2 > 0").agg(F.percentile("d2", F.lit(0.5)).alias("mid"))
-    k = pairs.crossJoin(F.broadcast(mid)).withColumn("k", F.exp(-F.col("d2") / F.col("mid")))
-    mean = lambda c: F.avg(F.when(c, F.col("k")))
-    return k.agg((mean(F.col("a") & F.col("a2")) + mean(~F.col("a") & ~F.col("a2")) - 2 * mean(F.col("a") != F.col("a2"))).alias("mmd2"))
+    rows = rows.select(F.col(key).alias("k"), first.alias("a"), F.col(vector).cast("array<double>").alias("v"))
+    blocks = max(1, -(-rows.count() // block))
+
+    def packed(part: pd.DataFrame) -> pd.DataFrame:
+        order = part["k"].rank(method="dense").to_numpy(np.int64)
+        v = np.array(part["v"].tolist(), np.float64)
+        return pd.DataFrame({"b": part["b"].iloc[:1], "n": [len(part)], "k": [order.tobytes()], "a": [part["a"].to_numpy(bool).tobytes()], "v": [v.tobytes()]})
+
+    dealt = rows.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks))).groupBy("b").applyInPandas(packed, "b long, n long, k binary, a binary, v binary")
+    dealt = cut_lineage(dealt)
+    both = rows.sparkSession.range(blocks * blocks).select(F.expr(f"id div {blocks}").alias("b"), (F.col("id") % blocks).alias("b2")).where("b <= b2")
+    other = dealt.select(F.col("b").alias("b2"), F.col("n").alias("n2"), F.col("a").alias("a2"), F.col("v").alias("v2"))
+    pairs = both.join(dealt, "b").join(other, "b2").select("b", "n", "k", "a", "v", "b2", "n2", "a2", "v2")
+    mid = _middle(pairs)
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                d2, on = _between(r)
+                k, a, a2 = np.exp(-d2 / mid), np.frombuffer(r.a, bool)[:, None], np.frombuffer(r.a2, bool)[None, :]
+                yield pd.DataFrame([[x for c in (on & a & a2, on & ~a & ~a2, on & (a != a2)) for x in (float(k[c].sum()), int(c.sum()))]], columns=names)
+
+    names = ["s0", "n0", "s1", "n1", "s2", "n2"]
+    if mid is None:
+        return rows.sparkSession.createDataFrame([(None,)], "mmd2 double")
+    mean = lambda i: F.try_divide(F.sum(f"s{i}"), F.sum(f"n{i}"))
+    return pairs.mapInPandas(run, "s0 double, n0 long, s1 double, n1 long, s2 double, n2 long").agg((mean(0) + mean(1) - 2 * mean(2)).alias("mmd2"))
 
 
 def zero_shot(rows: DataFrame, vector: str, solar: list[float], other: list[float], group: str) -> DataFrame:

@@ -222,7 +222,7 @@ p AS (SELECT x.a AS ax, y.a AS ay, list_sum(list_transform(range(1, 65), lambda
 SELECT round(avg(k) FILTER (ax AND ay) + avg(k) FILTER (NOT ax AND NOT ay) - 2 * avg(k) FILTER (ax <> ay), 6) AS mmd2 FROM k""")
 def q_mmd(spark, d):
     rows = G.table(spark, d, "embeddings").where("label in (0, 1)")
-    return _rounded(model.mmd2(rows, F.col("label") == 0, "vec_id", "embedding", 40))
+    return _rounded(model.mmd2(rows, F.col("label") == 0, "vec_id", "embedding"))
 
 
 @query()
