@@ -1,10 +1,11 @@
 """Queries that answer for whole tables, on fixtures and against SQL without the cuts."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tilewise.operators import model
+from tilewise.operators import model, spatial
 from tilewise.plans import catalogue
 
 
@@ -40,3 +41,38 @@ def test_mmd_counts_all_vectors(spark, sf_dir):
     got = {label: np.array([r["embedding"] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(F.col("label") == label).collect()]) for label in (0, 1)}
     assert min(map(len, got.values())) > 40
     assert catalogue.QUERIES["q_mmd"](spark, sf_dir).first()["mmd2"] == pytest.approx(brute_mmd2(got[0], got[1]), abs=1e-6)
+
+
+def uncut(sf_dir, name, *cuts):
+    """The rows of a query's SQL without its cuts (pairs of what is there and what takes its place)."""
+    sql, db = catalogue.SQL[name], duckdb.connect()
+    for old, new in cuts:
+        sql = sql.replace(old, new)
+    for t in ("customer", "supplier", "events"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    rel = db.sql(sql)
+    return rel.columns, sorted(rel.fetchall())
+
+
+def test_nearest_cases_of_all_tags(spark, sf_dir):
+    columns, want = uncut(sf_dir, "q_nearest_cases", (" WHERE s_suppkey < 12", ""), (" WHERE o.osm_id % 7 = 0", ""))
+    got = catalogue.QUERIES["q_nearest_cases"](spark, sf_dir).select(*columns).collect()
+    assert sorted(tuple(r) for r in got) == want
+    assert len(got) == 3 * spark.read.parquet(f"{sf_dir}/customer.parquet").count()
+
+
+def test_nearest_k_far_few_and_tied(spark):
+    rng = np.random.default_rng(5)
+    place = lambda n, far: [(i, *map(float, rng.uniform((14, 120), (14.5, 120.5)) + (far if i % 10 == 0 else 0))) for i in range(n)]
+    a, b = place(60, 8), place(40, 3)
+    b += [(100 + i, *b[i][1:]) for i in range(5)]  # ties
+    left, right = spark.createDataFrame(a, "k long, lat double, lon double"), spark.createDataFrame(b, "r long, lat double, lon double")
+
+    def metres(p, q):
+        x, y, u, v = map(np.radians, (p[1], q[1], p[2], q[2]))
+        return 2 * 6371000 * np.arcsin(np.sqrt(np.sin((y - x) / 2) ** 2 + np.cos(x) * np.cos(y) * np.sin((v - u) / 2) ** 2))
+
+    for some, k in ((b, 3), (b[:2], 3), ([], 3)):
+        got = spatial.nearest_k(left, right.where(F.col("r").isin([r for r, *_ in some])), "k", "r", k).collect()
+        want = {(p[0], rank, r) for p in a for rank, (_, r) in enumerate(sorted((round(metres(p, q), 6), q[0]) for q in some)[:k], 1)}
+        assert {(r["k"], r["rank"], r["r"]) for r in got} == want and len(got) == len(want)

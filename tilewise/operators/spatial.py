@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewise import config as C
@@ -81,6 +81,27 @@ def nearest(left: DataFrame, right: DataFrame, key: str, r_key: str, start_m: fl
     return found.unionByName(none)
 
 
+def nearest_k(left: DataFrame, right: DataFrame, key: str, r_key: str, k: int, start_m: float = 500.0, growth: float = 4.0) -> DataFrame:
+    """The k nearest right rows (ties: smaller r_key) of each left row by rank, or all if there are fewer: key, r_key, rank, distance_m.
+
+    The radius grows for the left rows that have fewer than k within it.
+    """
+    rest, right = cut_lineage(left.select(key, "lat", "lon")), cut_lineage(right.select(r_key, "lat", "lon"))
+    need, found, metres = right.limit(k).count(), None, start_m
+    by = Window.partitionBy(key)
+    while need and metres < 80_000_000:
+        ranked = range_join(rest, right, metres).withColumn("rank", F.row_number().over(by.orderBy("distance_m", r_key))).where(F.col("rank") <= k)
+        got = cut_lineage(ranked.withColumn("_n", F.count("*").over(by)).where(F.col("_n") >= need).select(key, r_key, "rank", "distance_m"))
+        found = got if found is None else found.unionByName(got)
+        rest = cut_lineage(rest.join(got.select(key).distinct(), key, "left_anti"))
+        if rest.isEmpty():
+            break
+        metres *= growth
+    if found is None:
+        return rest.limit(0).select(key, F.lit(None).cast(right.schema[r_key].dataType).alias(r_key), F.lit(None).cast("int").alias("rank"), F.lit(None).cast("double").alias("distance_m"))
+    return found
+
+
 def exclude_near(left: DataFrame, right: DataFrame, key: str, metres: float) -> DataFrame:
     """left without the rows that have a right row nearer than so many metres."""
     return left.join(range_join(left.select(key, "lat", "lon"), right.select("lat", "lon"), metres, strict=True).select(key).distinct(), key, "left_anti")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tilewise import config as C
 from tilewise.functions import geo, scoring, text
-from tilewise.operators import composite, grid, lookup, rollup
+from tilewise.operators import composite, grid, rollup, spatial
 
 from . import geography as G
 
@@ -112,11 +112,10 @@ def q_key_join(spark, d):
 
 @query(f"WITH {G.OSM}, c AS (SELECT s_suppkey AS case_id, 1440e-2 + ((s_suppkey * 6007) % 38000) / 100000e0 AS lat, 12092e-2 + ((s_suppkey * 7001) % 21000) / 100000e0 AS lon FROM supplier WHERE s_suppkey < 12), x AS (SELECT o.osm_id AS pid, c.case_id, {G.haversine('o', 'c')} AS m FROM osm o, c WHERE o.osm_id % 7 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY m, case_id) AS rank FROM x) SELECT pid, case_id, rank, round(m, 3) AS distance_m FROM r WHERE rank <= 3")
 def q_nearest_cases(spark, d):
-    """The three nearest of a fixed dozen of case studies; the cases are the broadcast side by their definition."""
-    cases = G.table(spark, d, "supplier").where("s_suppkey < 12").select(F.col("s_suppkey").alias("case_id"), *G._place("s_suppkey", 6007, 7001)).withColumnsRenamed({"lat": "c_lat", "lon": "c_lon"})
-    rows = G.osm(spark, d).where("osm_id % 7 = 0").select(F.col("osm_id").alias("pid"), "lat", "lon").join(F.broadcast(cases), F.lit(True))
-    rows = rows.withColumn("m", geo.haversine_m(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon")))
-    return lookup.top_per_group(rows, "pid", ["m", "case_id"], 3).select("pid", "case_id", "rank", F.round("m", 3).alias("distance_m"))
+    """The three nearest of all case studies to each map tag."""
+    cases = G.table(spark, d, "supplier").select(F.col("s_suppkey").alias("case_id"), *G._place("s_suppkey", 6007, 7001))
+    points = G.osm(spark, d).select(F.col("osm_id").alias("pid"), "lat", "lon")
+    return spatial.nearest_k(points, cases, "pid", "case_id", 3).select("pid", "case_id", "rank", F.round("distance_m", 3).alias("distance_m"))
 
 
 @query("SELECT l_suppkey AS k, round(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) / count(*)::DOUBLE, 6) AS coverage, max(l_discount) AS top FROM lineitem GROUP BY 1")
