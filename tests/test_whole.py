@@ -76,3 +76,24 @@ def test_nearest_k_far_few_and_tied(spark):
         got = spatial.nearest_k(left, right.where(F.col("r").isin([r for r, *_ in some])), "k", "r", k).collect()
         want = {(p[0], rank, r) for p in a for rank, (_, r) in enumerate(sorted((round(metres(p, q), 6), q[0]) for q in some)[:k], 1)}
         assert {(r["k"], r["rank"], r["r"]) for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize(
+    "name, cuts",
+    [
+        ("q_nearby", [(" WHERE o.osm_id % 5 = 0", "")]),
+        ("q_capacity_labels", [(" WHERE (ord * 31) % 5 = 0", ""), ("printf('%.1f', score * 40e0)", "round((score * 40e0)::DECIMAL(28,6), 1)::DECIMAL(28,1)::VARCHAR")]),
+        ("q_training_sources", [("osm_id % 4 = 1", "osm_id % 4 <> 0")]),
+    ],
+)
+def test_query_answers_for_all_rows(spark, sf_dir, name, cuts):
+    columns, want = uncut(sf_dir, name, *cuts)
+    got = catalogue.QUERIES[name](spark, sf_dir).select(*columns).collect()
+    assert sorted(tuple(r) for r in got) == want
+
+
+def test_each_tag_has_a_class_and_each_detection_a_label(spark, sf_dir):
+    tags = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 9 <> 0").count()
+    assert catalogue.QUERIES["q_training_sources"](spark, sf_dir).select("key").distinct().count() == tags
+    labels = catalogue.QUERIES["q_capacity_labels"](spark, sf_dir).collect()
+    assert any((r["ord"] * 31) % 5 for r in labels)

@@ -28,7 +28,7 @@ def query(sql: str | None = None):
 SELECT 'pos_' || printf('%04d', row_number() OVER (ORDER BY key)) AS src, key, y FROM x UNION ALL SELECT 'neg_' || printf('%04d', row_number() OVER (ORDER BY key)), key, y FROM n""")
 def q_training_sources(spark, d):
     o = G.osm(spark, d).withColumnRenamed("osm_id", "key")
-    parts = [("pos", o.where("key % 4 = 0").withColumn("y", F.lit(1))), ("neg", o.where("key % 4 = 1").withColumn("y", F.lit(0)))]
+    parts = [("pos", o.where("key % 4 = 0").withColumn("y", F.lit(1))), ("neg", o.where("key % 4 <> 0").withColumn("y", F.lit(0)))]
     return assembly.training_sources(parts, o.where("key % 9 = 0")).select("src", "key", "y")
 
 

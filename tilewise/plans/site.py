@@ -34,8 +34,8 @@ def q_hero_strip(spark, d):
 @query(f"WITH {G.DET} SELECT ord, printf('%.1f', score * 40e0) || ' kWp' AS label, CASE WHEN score * 40e0 >= 38 THEN 'large' WHEN score * 40e0 >= 32 THEN 'medium' ELSE 'small' END AS size FROM det WHERE (ord * 31) % 5 = 0")
 def q_capacity_labels(spark, d):
     kwp = F.col("score") * 40.0
-    rows = G.det(spark, d).where("(ord * 31) % 5 = 0")
-    return rows.select("ord", F.concat(F.format_string("%.1f", kwp), F.lit(" kWp")).alias("label"), F.when(kwp >= 38, "large").when(kwp >= 32, "medium").otherwise("small").alias("size"))
+    shown = F.round(kwp.cast("decimal(28,6)"), 1).cast("string")
+    return G.det(spark, d).select("ord", F.concat(shown, F.lit(" kWp")).alias("label"), F.when(kwp >= 38, "large").when(kwp >= 32, "medium").otherwise("small").alias("size"))
 
 
 @query(f"WITH {G.SEGMENTS}, {G.LOG}, t AS (SELECT 't' || (ord % 97) AS tile_id, max(score) AS score, bool_or(ord % 5 = 0) AS confirmed FROM log GROUP BY 1), b AS (SELECT DISTINCT osm_id, tile_id FROM segments), j AS (SELECT osm_id, min(score) AS low, bool_or(confirmed AND score >= 0.99e0) AS conf FROM b JOIN t USING (tile_id) GROUP BY osm_id) SELECT osm_id, CASE WHEN low < 0.97e0 THEN 'candidate' WHEN conf THEN 'confirmed' ELSE 'new' END AS status FROM j")
