@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tilewise.functions import geo, scoring, text
-from tilewise.operators import dedupe, evaluate, gates, grid, raster, spatial
+from tilewise.operators import dedupe, evaluate, gates, grid, links, raster, shared, spatial
 from tilewise.sources import readers, sinks
 from tilewise.streaming import ingest
 
@@ -103,6 +103,38 @@ def test_connected_parts(spark):
     assert len({(seen[r["py"], r["px"]], r["part_py"], r["part_px"]) for r in got}) == want
 
 
+def test_parts_across_blocks(spark):
+    snake: list[tuple[int, int]] = []
+    for turn in range(25):  # 1,000 pixels that go to and fro
+        xs = range(38) if turn % 2 == 0 else range(37, -1, -1)
+        snake += [(2 * turn, x) for x in xs] + [(2 * turn + 1, 37 if turn % 2 == 0 else 0)]
+    far = [(-300, -5), (-299, -6), (10**6, 10**6), (70, 7)]
+    pixels = spark.createDataFrame([*snake, *far, snake[0], (None, 3), (3, None)], "py long, px long")
+    for block in (7, 256):
+        got = {(r["py"], r["px"]): (r["part_py"], r["part_px"]) for r in raster.connected_parts(pixels, block).collect()}
+        assert len(got) == len(set(snake + far)) and {got[p] for p in snake} == {(0, 0)}
+        assert got[-299, -6] == got[-300, -5] == (-300, -5) and got[10**6, 10**6] == (10**6, 10**6) and got[70, 7] == (70, 7)
+    assert raster.connected_parts(pixels.limit(0)).count() == 0
+
+
+def test_rounds_of_links_grow_with_the_logarithm(spark):
+    tables = []
+
+    def store(df):
+        tables.append(1)
+        return shared.cut_lineage(df)
+
+    rng = random.Random(9)
+    shuffled = list(range(1000))
+    rng.shuffle(shuffled)
+    for order in (list(range(1000)), shuffled):
+        tables.clear()
+        edges = list(zip(order, order[1:]))
+        got = links.components(spark.createDataFrame([*edges, (5, 5), (2000, 2001), (2001, None)], "a long, b long"), store=store).collect()
+        assert {r["node"]: r["component"] for r in got} == {i: 0 for i in range(1000)} | {2000: 2000, 2001: 2000}
+        assert len(tables) <= 60
+
+
 def test_evaluation_edges(spark):
     none = spark.createDataFrame([(0, 0.2), (0, 0.9)], "y int, score double")
     row = evaluate.prf_at(none, 0.95).first()

@@ -5,12 +5,15 @@ A pixel table has one row per scene, pixel and band (py, px, ...); neighbourhood
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewise import config as C
 
-from .shared import cut_lineage
+from .links import components
+from .shared import cut_lineage, sized
 
 
 def median_composite(pixels: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -66,33 +69,50 @@ def opening(pixels: DataFrame, radius: int) -> DataFrame:
     return focal(eroded, radius, F.max).select("py", "px", F.col("focal").alias("value"))
 
 
-def connected_parts(pixels: DataFrame) -> DataFrame:
-    """py, px, part of the set pixels (py, px), joined over sides and corners; a part is named by its first pixel.
-
-    Rows' runs of pixels are found with a window first; then runs that touch hook on to the smallest and links are
-    followed until none is left, so the rounds grow with the logarithm of a part's height and not with its size.
+def _label_block(block: pd.DataFrame) -> pd.DataFrame:
+    """part_py, part_px of each pixel: the first pixel of its part within the block."""
+    block = block.sort_values(["py", "px"], ignore_index=True)
+    y, x = block["py"].to_numpy(), block["px"].to_numpy()
+    new = np.append(True, (y[1:] != y[:-1]) | (x[1:] != x[:-1] + 1))[: len(y)]
+    at = np.flatnonzero(new)  # the runs of pixels in a row, in order
+    row, lo, hi = y[at].tolist(), x[at].tolist(), x[np.append(at[1:], len(y)) - 1].tolist()
+    parent = list(range(len(at)))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    above = 0
+    for i in range(len(at)):
+        while above < i and (row[above] < row[i] - 1 or row[above] == row[i] - 1 and hi[above] < lo[i] - 1):
+            above += 1
+        j = above
+        while j < i and row[j] == row[i] - 1 and lo[j] <= hi[i] + 1:
+            one, two = find(i), find(j)
+            parent[max(one, two)] = min(one, two)
+            j += 1
+    first = at[np.array([find(i) for i in range(len(at))], np.int64)][np.cumsum(new) - 1]
+    return block.assign(part_py=y[first], part_px=x[first])
+
+
+def connected_parts(pixels: DataFrame, block: int = 256) -> DataFrame:
+    """py, px, part_py, part_px of the set pixels (py, px), joined over sides and corners; a part is named by its first pixel.
+
+    Squares of block x block pixels are labelled in tasks of their own, whatever a part's size; then the labels that touch
+    over the edge of a square are joined as links between labels. A null coordinate makes a pixel that is in no part.
     """
-    w = Window.partitionBy("py").orderBy("px")
-    run = pixels.select("py", "px").distinct().withColumn("k", F.col("px") - F.row_number().over(w))
-    spans = run.groupBy("py", "k").agg(F.min("px").alias("lo"), F.max("px").alias("hi"))
-    spans = cut_lineage(spans.withColumn("id", F.struct("py", "lo")))
-    below = spans.select((F.col("py") - 1).alias("py"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("id").alias("b"))
-    edges = spans.join(below, "py").where("lo2 <= hi + 1 and hi2 >= lo - 1").select(F.col("id").alias("a"), "b")
-    labels = cut_lineage(spans.select("id", F.col("id").alias("part")))
-    left = cut_lineage(edges)
-    while not left.isEmpty():
-        both = left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = cut_lineage(both.groupBy("a").agg(F.least("a", F.min("b")).alias("to")).where("to < a"))
-        for _ in range(2):
-            step = hook.select(F.col("a").alias("_a"), F.col("to").alias("_to"))
-            hook = cut_lineage(hook.join(step, F.col("to") == F.col("_a"), "left").select("a", F.coalesce("_to", "to").alias("to")))
-        root = hook.select(F.col("a").alias("_a"), F.col("to").alias("_to"))
-        labels = cut_lineage(labels.join(root, F.col("part") == F.col("_a"), "left").select("id", F.coalesce("_to", "part").alias("part")))
-        left = left.join(root, F.col("a") == F.col("_a"), "left").select(F.coalesce("_to", "a").alias("a"), "b")
-        left = left.join(root, F.col("b") == F.col("_a"), "left").select("a", F.coalesce("_to", "b").alias("b"))
-        left = cut_lineage(left.where("a <> b").distinct())
-    named = run.join(spans.select("py", "k", "id"), ["py", "k"]).join(labels, "id")
-    return named.select("py", "px", F.col("part.py").alias("part_py"), F.col("part.lo").alias("part_px"))
+    square = [F.floor(F.col(c) / block).cast("long").alias(f"_{c}") for c in ("py", "px")]
+    rows = pixels.select(F.col("py").cast("long"), F.col("px").cast("long")).where("py is not null and px is not null").distinct().select("py", "px", *square)
+    labelled = cut_lineage(rows.groupBy("_py", "_px").applyInPandas(_label_block, "py long, px long, _py long, _px long, part_py long, part_px long").select("py", "px", "part_py", "part_px"))
+    place = lambda c: F.pmod(c, F.lit(block))
+    rim = labelled.where(place("py").isin(0, block - 1) | place("px").isin(0, block - 1)).withColumn("part", F.struct("part_py", "part_px"))
+    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))])
+    sent = rim.select("py", "px", F.col("part").alias("a"), F.explode(steps).alias("s")).select((F.col("py") + F.col("s.dy")).alias("py"), (F.col("px") + F.col("s.dx")).alias("px"), "a")
+    links = sent.join(rim.select("py", "px", F.col("part").alias("b")), ["py", "px"]).where("a <> b").select("a", "b").distinct()
+    joined = components(links).select(F.col("node.part_py").alias("part_py"), F.col("node.part_px").alias("part_px"), "component")
+    named = labelled.join(sized(joined), ["part_py", "part_px"], "left")
+    return named.select("py", "px", F.coalesce("component.part_py", "part_py").alias("part_py"), F.coalesce("component.part_px", "part_px").alias("part_px"))
 
 
 def largest_parts(parts: DataFrame, low: int, high: int, top: int) -> DataFrame:

@@ -2,25 +2,59 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if it was counted and has at most so many rows.
 BROADCAST_ROWS = 200_000
 
 
+_local: list[str] = []
+_written: list = []
+
+
+def _shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where that is unset, one of our own on a local master."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if found:
+        return found
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="tilewise-"))
+    return _local[0]
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in spark.checkpoint.dir, or in a folder of our own where that is unset."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tilewise-"))
-    return df.checkpoint()
+    """df, written once to the shared folder and read again, so that its size is that of its files and no executor is needed for it."""
+    spark = df.sparkSession
+    path = f"{_shared_dir(spark).rstrip('/')}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    _written.append(lambda: hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def release() -> None:
+    """Deletes what cut_lineage() has written so far; DataFrames that read it can't be used any more."""
+    while _written:
+        try:
+            _written.pop()()
+        except Exception:  # noqa: BLE001  the JVM is gone; a folder of our own goes below
+            continue
+    while _local:
+        shutil.rmtree(_local.pop(), ignore_errors=True)
 
 
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has few rows; it is counted, so it should be cheap or a checkpoint."""
+    """df with a broadcast hint if it has few rows; it is counted, so it should be cheap or written."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
