@@ -1,33 +1,14 @@
-"""Connected components over edges in a DataFrame."""
+"""Connected components over edges in a DataFrame, with tables in the shared folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import sized, stored
+from tilewise.operators import links
 
+from .common import stored
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): for each node of an edge the smallest node that it is joined with.
 
-    Every round hooks each component to its smallest neighbour, follows that link twice, and goes on with the edges that
-    still join two components. Both tables of a round are written to the shared folder; nothing goes to the driver but
-    whether edges are left.
-    """
-    left = stored(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), "edges")
-    labels = stored(left.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")), "labels")
-    while not left.isEmpty():
-        both = left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("to")).where("to < a"), "hooks")
-        hook = sized(hook)
-        for name in ("h1", "h2"):  # a chain of hooks gets shorter by a factor each time
-            step = hook.select(F.col("a").alias("_a"), F.col("to").alias("_to"))
-            far = hook.join(step, F.col("to") == F.col("_a"), "left").select("a", F.coalesce("_to", "to").alias("to"))
-            hook = sized(stored(far, name))
-        root = hook.select(F.col("a").alias("_a"), F.col("to").alias("_to"))
-        labels = stored(labels.join(root, F.col("component") == F.col("_a"), "left").select("node", F.coalesce("_to", "component").alias("component")), "labels")
-        moved = left.join(root, F.col("a") == F.col("_a"), "left").select(F.coalesce("_to", "a").alias("a"), "b")
-        moved = moved.join(root, F.col("b") == F.col("_a"), "left").select("a", F.coalesce("_to", "b").alias("b"))
-        left = stored(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    return labels
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component): for each node of an edge the smallest node that it is joined with, in a number of rounds that grows with the logarithm."""
+    return links.components(edges, a, b, lambda df: stored(df, "links"))
