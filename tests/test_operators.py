@@ -2,6 +2,7 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,7 +118,7 @@ def test_parts_across_blocks(spark):
     assert raster.connected_parts(pixels.limit(0)).count() == 0
 
 
-def test_rounds_of_links_grow_with_the_logarithm(spark):
+def test_rounds_of_links_grow_with_the_logarithm(spark, monkeypatch):
     tables = []
 
     def store(df):
@@ -127,12 +128,15 @@ def test_rounds_of_links_grow_with_the_logarithm(spark):
     rng = random.Random(9)
     shuffled = list(range(1000))
     rng.shuffle(shuffled)
-    for order in (list(range(1000)), shuffled):
+    for order, at_once in ((list(range(1000)), 2_000_000), (list(range(1000)), 0), (shuffled, 0)):
+        monkeypatch.setattr(links, "_contracted", (lambda x: x) if not at_once else links._contracted)
         tables.clear()
         edges = list(zip(order, order[1:]))
         got = links.components(spark.createDataFrame([*edges, (5, 5), (2000, 2001), (2001, None)], "a long, b long"), store=store).collect()
         assert {r["node"]: r["component"] for r in got} == {i: 0 for i in range(1000)} | {2000: 2000, 2001: 2000}
-        assert len(tables) <= 60
+        assert len(tables) <= (10 if at_once else 60)
+    one, two = np.array([5, 7, 1, 9, 9]), np.array([7, 8, 2, 5, 5])
+    assert [x.tolist() for x in links._forest(one, two)] == [[2, 7, 8, 9], [1, 5, 5, 5]]
 
 
 def test_evaluation_edges(spark):

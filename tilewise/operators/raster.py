@@ -100,19 +100,19 @@ def connected_parts(pixels: DataFrame, block: int = 256) -> DataFrame:
     """py, px, part_py, part_px of the set pixels (py, px), joined over sides and corners; a part is named by its first pixel.
 
     Squares of block x block pixels are labelled in tasks of their own, whatever a part's size; then the labels that touch
-    over the edge of a square are joined as links between labels. A null coordinate makes a pixel that is in no part.
+    over the edge of a square are joined as links between labels. Coordinates are within 32 bits; a pixel with a null one is in no part.
     """
     square = [F.floor(F.col(c) / block).cast("long").alias(f"_{c}") for c in ("py", "px")]
     rows = pixels.select(F.col("py").cast("long"), F.col("px").cast("long")).where("py is not null and px is not null").distinct().select("py", "px", *square)
     labelled = cut_lineage(rows.groupBy("_py", "_px").applyInPandas(_label_block, "py long, px long, _py long, _px long, part_py long, part_px long").select("py", "px", "part_py", "part_px"))
+    name = F.shiftleft("part_py", 32) + F.col("part_px") + (1 << 31)  # in the order of (part_py, part_px)
     place = lambda c: F.pmod(c, F.lit(block))
-    rim = labelled.where(place("py").isin(0, block - 1) | place("px").isin(0, block - 1)).withColumn("part", F.struct("part_py", "part_px"))
+    rim = labelled.where(place("py").isin(0, block - 1) | place("px").isin(0, block - 1)).withColumn("part", name)
     steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))])
     sent = rim.select("py", "px", F.col("part").alias("a"), F.explode(steps).alias("s")).select((F.col("py") + F.col("s.dy")).alias("py"), (F.col("px") + F.col("s.dx")).alias("px"), "a")
     links = sent.join(rim.select("py", "px", F.col("part").alias("b")), ["py", "px"]).where("a <> b").select("a", "b").distinct()
-    joined = components(links).select(F.col("node.part_py").alias("part_py"), F.col("node.part_px").alias("part_px"), "component")
-    named = labelled.join(sized(joined), ["part_py", "part_px"], "left")
-    return named.select("py", "px", F.coalesce("component.part_py", "part_py").alias("part_py"), F.coalesce("component.part_px", "part_px").alias("part_px"))
+    named = labelled.withColumn("node", name).join(sized(components(links)), "node", "left").withColumn("part", F.coalesce("component", "node"))
+    return named.select("py", "px", F.shiftright("part", 32).alias("part_py"), (F.col("part").bitwiseAND(F.lit((1 << 32) - 1)) - (1 << 31)).alias("part_px"))
 
 
 def largest_parts(parts: DataFrame, low: int, high: int, top: int) -> DataFrame:
