@@ -3,17 +3,21 @@
 A document's set holds the distinct hashes of its word n-grams. Each hash flips one bit of a sketch, so two sketches
 differ in no more bits than the sets differ in elements (an even number of flips cancels). For a similarity of t that
 difference is at most (a + b) * (1 - t) / (1 + t) for sets of a and b elements. Sizes fall into bands; a document
-enters its own band and the next where a partner of its size may lie there. The sketch of a band is cut into `d + 1 + s`
-blocks, d being the most bits in which partners of that band differ: at least s + 1 blocks are equal in both (pigeonhole).
-Blocks are kept as one 64-bit hash of the bits that are set, never as bit strings. Empty blocks say little, so they are
-no keys as long as a document has at most s of them, since one of the equal blocks then isn't empty; documents that have
-more empty blocks than s use them as well, and so no pair is lost.
-
-From keys to links, with no step that makes all pairs of a group of copies: equal sets are one class; each key links its
+enters its own band and the next where a partner of its size may lie there. The sketch of a band is cut into
+`d + 1 + e + h` blocks, d being the most bits in which partners of that band differ: at least e + h + 1 blocks are equal in
+both (pigeonhole). Blocks are kept as one 64-bit hash of the bits that are set, never as bit strings. Empty blocks say
+little, so they are no keys as long as a document has at most e of them; documents that have more use them as well. Either
+way partners share h + 1 keys, so each document may leave its h most frequent keys of a band aside: the least frequent
+key that two partners share is not among them, for either. That keeps documents with a common passage out of large groups.
+
+From keys to links, with no pair of a group as a row: equal sets are one class; each key links its
 classes to the smallest and largest among them; these links are verified on the whole sets, for each class one at first
-and then those that still lie between two components (all of them only if sizes and sketches leave them open); last, classes under one key that are in different components are
-compared by sketches inside the tasks (a key with many classes in chunks, each pair of chunks a task's
-work of bounded size), and only pairs whose sketches are near enough come out, to be verified. The hashes of whole texts never leave the tasks but for classes that have a partner under some key.
+and then those that still lie between two components (all of them only if sizes and sketches leave them open). Under keys
+that still have several components, classes are compared by sketches inside the tasks (a key with many classes in chunks,
+each pair of chunks a task's work of bounded size), and each class gives the nearest other one that its sketch leaves
+open. ROUNDS of that, each followed by verification, join what is similar; for classes that are left with an open one,
+the last round brings the whole sets to the task and gives the verified links of a spanning forest only. So rows grow with
+the classes under keys and not with their pairs. The hashes of whole texts never leave the tasks but for classes that have a partner under some key.
 
 Defined results: texts that are null or without words have no set, no links, and are their own component; a row with a
 null id is in the component of equal sets, links to no others and is the component of none; rows that repeat an id are joined by their texts alone,
@@ -30,16 +34,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, sized, stored, table, unused
 from .graph import components
 
 WORDS, THRESHOLD = 5, (8, 10)
-#: Fewest bits of the sketches that are compared pair by pair (large sets have 1 to 2 bits for each element), and most
-#: classes of a key in one task.
-SKETCH, CHUNK = 2048, 1000
+#: Fewest bits of the sketches that are compared pair by pair (large sets have 1 to 2 bits for each element), most classes
+#: of a key in one chunk where sketches are compared, and where whole sets are, with the most elements of those.
+SKETCH, CHUNK, SET_CHUNK, SET_ELEMENTS = 2048, 4000, 500, 1 << 20
+#: Rounds over sketches before the one over whole sets; classes of a key from which its members may leave it aside.
+ROUNDS, FREQUENT = 2, 32
 #: Most rows of 24 bytes that are broadcast to find the members of shared keys.
 SHARED_ROWS = 2_500_000
 #: Most bytes of sketches that are broadcast.
@@ -82,20 +88,24 @@ def band_of(size: int) -> int:
     return int(np.searchsorted(_EDGES, size, "right")) - 1
 
 
-def band_shape(band: int, num: int, den: int) -> tuple[int, int]:
-    """(most elements in which partners of the band differ, spare blocks)."""
+def band_shape(band: int, num: int, den: int) -> tuple[int, int, int]:
+    """(most elements in which partners of the band differ, spare blocks for empty ones, spare blocks for frequent keys)."""
     d = 2 * (EDGES[band + 1] - 1) * (den - num) // (den + num)
-    return d, 2 + d // 12
+    return d, 2 + d // 12, 1 + d // 24
+
+
+#: The low bits of a key hold its band.
+BAND_BITS = 7
 
 
 def keys(h: np.ndarray, num: int, den: int) -> np.ndarray:
     """The keys of one set, for all bands that it enters."""
     n, out = len(h), []
     for band in dict.fromkeys((band_of(n), band_of(n * den // num))) if n else ():
-        d, spare = band_shape(band, num, den)
+        d, spare, frequent = band_shape(band, num, den)
         if d == 0:  # partners are equal sets, which are one class
             continue
-        blocks = d + 1 + spare
+        blocks = d + 1 + spare + frequent
         block = ((h >> _U(32)) * _U(blocks)) >> _U(32)  # rises with h
         bit = mix((block << _U(20)) | (h & _U(0xFFFFF)))
         starts = np.flatnonzero(np.diff(block, prepend=_U(1 << 60)))
@@ -105,7 +115,7 @@ def keys(h: np.ndarray, num: int, den: int) -> np.ndarray:
         if blocks - len(place) > spare:
             empty = np.setdiff1d(np.arange(blocks, dtype=_U), place)
             place, value = np.concatenate([place, empty]), np.concatenate([value, np.zeros(len(empty), _U)])
-        out.append(mix(value ^ mix((_U(band) << _U(40)) + place + _U(1))))
+        out.append(mix(value ^ mix((_U(band) << _U(40)) + place + _U(1))) & ~_U((1 << BAND_BITS) - 1) | _U(band))
     return np.concatenate(out) if out else np.zeros(0, _U)
 
 
@@ -169,63 +179,119 @@ def same_size(sketches: list[bytes], size: int) -> np.ndarray:
     return out.view(_U)
 
 
-def _near(node, comp, chunk, size, bits, first: int, second: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of different components, one of each chunk, that sizes and sketches leave open."""
-    one, two = np.flatnonzero(chunk == first), np.flatnonzero(chunk == second)
-    found = [np.zeros((2, 0), np.int64)]
-    step = max(1, 2048 // bits.shape[1])
+def _open(comp, size, bits, one, two, num: int, den: int):
+    """For blocks of the rows of `one`: (their rows, those of `two` that sizes and sketches leave open and that are in another component, bits apart)."""
+    step = max(1, 4096 // bits.shape[1])
     for lo in range(0, len(one), step):
         i = one[lo : lo + step, None]
-        apart = np.bitwise_count(bits[i] ^ bits[two][None]).sum(2, dtype=np.int64)
         a, b = size[i], size[two][None]
-        near = (apart * (num + den) <= (a + b) * (den - num)) & (np.minimum(a, b) * den >= np.maximum(a, b) * num) & (comp[i] != comp[two][None])
-        if first == second:
-            near &= i < two[None]
-        r, c = np.nonzero(near)
-        found.append(np.stack([node[one[lo + r]], node[two[c]]]))
-    pairs = np.concatenate(found, 1)
-    return pairs.min(0), pairs.max(0)
+        fit = (np.minimum(a, b) * den >= np.maximum(a, b) * num) & (comp[i] != comp[two][None]) & (i != two[None])
+        r, c = np.nonzero(fit)
+        apart = np.empty(len(r), np.int64)
+        for at in range(0, len(r), 1 << 16):  # bounded however many fit
+            x, y = r[at : at + (1 << 16)], c[at : at + (1 << 16)]
+            apart[at : at + (1 << 16)] = np.bitwise_count(bits[i[x, 0]] ^ bits[two[y]]).sum(1, dtype=np.int64)
+        near = apart * (num + den) <= (size[i[r, 0]] + size[two[c]]) * (den - num)
+        yield i[r[near], 0], two[c[near]], apart[near]
+
+
+def _nearest_open(comp, size, bits, one, two, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, the nearest row that is open to it) for each row of both sides that has one; ties go to the smaller place."""
+    best, partner = np.full(len(comp), 1 << 62), np.full(len(comp), -1)
+    for i, j, apart in _open(comp, size, bits, one, two, num, den):
+        for x, y in ((i, j), (j, i)):
+            order = np.lexsort((y, apart, x))
+            x, y, d = x[order], y[order], apart[order]
+            lead = np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)])
+            x, y, d = x[lead], y[lead], d[lead]
+            less = d < best[x]
+            best[x[less]], partner[x[less]] = d[less], y[less]
+    rows = np.flatnonzero(partner >= 0)
+    return rows, partner[rows]
+
+
+def _verified_forest(comp, size, bits, sets, one, two, num: int, den: int) -> tuple[list[int], list[int]]:
+    """Pairs of rows whose whole sets are similar and that join two components, nearest of each block first."""
+    name, number = np.unique(comp, return_inverse=True)
+    parent = list(range(len(name)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    a, b = [], []
+    for i, j, apart in _open(comp, size, bits, one, two, num, den):
+        order = np.argsort(apart, kind="stable")
+        for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+            p, q = find(number[x]), find(number[y])
+            if p == q:
+                continue
+            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if both * den >= (len(sets[x]) + len(sets[y]) - both) * num:
+                parent[p] = q
+                a.append(x)
+                b.append(y)
+    return a, b
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each (key, first, second), which lie together and are the first three columns."""
+    held = []
+    for batch in batches:
+        key = np.stack([c.to_numpy() for c in batch.columns[:3]], 1)
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if held and (held[-1][0] != key[lo]).any():
+                yield pa.Table.from_batches([x for _, x in held])
+                held = []
+            if hi > lo:
+                held.append((key[lo], batch.slice(lo, hi - lo)))
+    if held:
+        yield pa.Table.from_batches([x for _, x in held])
+
+
+def _dealt(rows: DataFrame, *carried: str) -> DataFrame:
+    """rows (key, node, c, chunks), each class of a key in one chunk, for every pair of chunks that it is in: key, first, second, node, c, chunk, carried."""
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    dealt = rows.withColumn("chunk", own).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int"))))
+    return dealt.select("key", F.least("chunk", "other").alias("first"), F.greatest("chunk", "other").alias("second"), "node", "c", "chunk", *carried)
+
+
+def _sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    chunk, first, second = group["chunk"].to_numpy(), group["first"][0].as_py(), group["second"][0].as_py()
+    return np.flatnonzero(chunk == first), np.flatnonzero(chunk == second)
 
 
 def near_under_keys(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): classes under one key, in different components, that may be similar. rows: key, node, c, size, sketch, chunks."""
-    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    dealt = rows.withColumn("chunk", own).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int"))))
-    dealt = dealt.select("key", F.least("chunk", "other").alias("first"), F.greatest("chunk", "other").alias("second"), "node", "c", "chunk", "size", "sketch")
+    """(key, node, other): the nearest class that is open to a class, of another component under the key. rows: key, node, c, size, sketch, chunks."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def groups():
-            """The rows of each (key, first, second), which lie together."""
-            held = []
-            for batch in batches:
-                key = np.stack([c.to_numpy() for c in batch.columns[:3]], 1)
-                cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
-                for lo, hi in zip(cuts, cuts[1:], strict=False):
-                    if held and (held[-1][0] != key[lo]).any():
-                        yield [x for _, x in held]
-                        held = []
-                    if hi > lo:
-                        held.append((key[lo], batch.slice(lo, hi - lo)))
-            if held:
-                yield [x for _, x in held]
-
-        out_a, out_b = [], []
-        for parts in groups():
-            group = pa.Table.from_batches(parts)
-            node, comp, chunk, size = (group[c].to_numpy() for c in ("node", "c", "chunk", "size"))
+        for group in _groups(batches):
+            node, comp, size = (group[c].to_numpy() for c in ("node", "c", "size"))
             sketches = group["sketch"].to_pylist()
-            bits = same_size(sketches, min(map(len, sketches)))
-            a, b = _near(node, comp, chunk, size, bits, group["first"][0].as_py(), group["second"][0].as_py(), num, den)
-            if len(a):
-                out_a.append(a)
-                out_b.append(b)
-            if len(out_a) > 1000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
-                out_a, out_b = [], []
-        if out_a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
+            x, y = _nearest_open(comp, size, same_size(sketches, min(map(len, sketches))), *_sides(group), num, den)
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), group["key"][0].as_py())), pa.array(node[x]), pa.array(node[y])], names=["key", "node", "other"])
+
+    dealt = _dealt(rows, "size", "sketch")
+    return stored(dealt.repartition("key", "first", "second").sortWithinPartitions("key", "first", "second").mapInArrow(compare, "key long, node long, other long"), "near")
+
+
+def links_under_keys(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): verified links between components, for each key and pair of chunks those of a forest. rows: key, node, c, sketch, set, chunks."""
 
-    return dealt.repartition("key", "first", "second").sortWithinPartitions("key", "first", "second").mapInArrow(compare, "a long, b long").distinct()
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            node, comp, sketches = group["node"].to_numpy(), group["c"].to_numpy(), group["sketch"].to_pylist()
+            sets = [np.array(x.values) for x in (group["set"][i] for i in range(group.num_rows))]
+            size = np.array([len(x) for x in sets])
+            x, y = _verified_forest(comp, size, same_size(sketches, min(map(len, sketches))), sets, *_sides(group), num, den)
+            if x:
+                yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], names=["a", "b"])
+
+    dealt = _dealt(rows, "sketch", "set")
+    return stored(dealt.repartition("key", "first", "second").sortWithinPartitions("key", "first", "second").mapInArrow(compare, "a long, b long").distinct(), "links")
 
 
 def open_by_sketch(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
@@ -271,6 +337,16 @@ def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
 
 
+def _infrequent(members: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, node) of members (key, node, n), without the most frequent keys of each class and band, as many as are spare."""
+    spare = F.array(*[F.lit(band_shape(band, num, den)[2]) for band in range(min(len(EDGES) - 1, 1 << BAND_BITS))])
+    band = F.col("key").bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int")
+    frequent = F.col("n") >= FREQUENT
+    w = Window.partitionBy("node", band).orderBy(F.desc("n"), "key")
+    ranked = members.where(frequent).withColumn("rank", F.row_number().over(w)).where(F.col("rank") > F.element_at(spare, band + 1))
+    return members.where(~frequent).select("key", "node").unionAll(ranked.select("key", "node"))
+
+
 def near_components(docs: DataFrame, words: int = WORDS, threshold: tuple[int, int] = THRESHOLD, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, node (class of equal sets), component_id (the smallest id that links lead to)."""
     num, den = threshold
@@ -295,13 +371,25 @@ def near_components(docs: DataFrame, words: int = WORDS, threshold: tuple[int, i
     links = check(first)
     links = links.unionAll(check(_apart(near.join(first, ["a", "b"], "left_anti"), components(links))))
     labels = components(links)
-    named = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
     # of up to three classes under a key, every pair has the smallest or the largest in it and is among the links above
-    mixed = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where("c0 < c1 and n > 3").select("key", F.ceil(F.col("n") / CHUNK).alias("chunks"))
-    named = named.join(sized(stored(mixed, "mixed-keys"), 1_000_000), "key").join(samples.select("node", "size", "sketch"), "node")
-    more = check(near_under_keys(named, num, den).join(near, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        labels = components(links.unionAll(more))
+    left = stored(_infrequent(members.join(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 3"), "key"), num, den), "left")
+    for turn in range(ROUNDS + 1):
+        named = left.join(labels.select("node", F.col("component").alias("c")), "node", "left").select("key", "node", F.coalesce("c", "node").alias("c"))
+        named = stored(named.join(samples.select("node", "size"), "node"), "named")
+        mixed = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n"), F.sum("size").alias("elements")).where("c0 < c1")
+        chunks = F.ceil(F.col("n") / CHUNK) if turn < ROUNDS else F.greatest(F.ceil(F.col("n") / SET_CHUNK), F.ceil(F.col("elements") / SET_ELEMENTS))
+        mixed = stored(mixed.select("key", chunks.alias("chunks")), "mixed-keys")
+        if mixed.isEmpty():
+            break
+        named = named.join(sized(mixed, 1_000_000), "key").join(samples.select("node", "sketch"), "node")
+        if turn < ROUNDS:
+            near = near_under_keys(named, num, den)
+            links = links.unionAll(check(near.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()))
+            left = near.select("key", "node").distinct()
+        else:
+            wanted = stored(samples.join(named.select("node").distinct(), "node", "left_semi"), "wanted")
+            links = links.unionAll(links_under_keys(named.join(whole_sets(docs, wanted, words, text, id_col), "node"), num, den))
+        labels = components(links)
 
     # the smallest id of each class, then of each component
     classes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
