@@ -4,13 +4,13 @@ A page is read into blocks, the runs of text between block-level tags, each with
 block's vector holds its hashed tag path, its hashed words and a few measures (length, links, punctuation, place). A
 bidirectional LSTM in numpy reads the page's blocks in order, so each is labelled in the light of the whole document.
 
-Training is on at most TRAIN_PAGES pages, a parameter, chosen by a hash of the url and labelled by their own markup
+Training is on at most TRAIN_PAGES pages, a parameter, those with the smallest hashes of url and html, labelled by their own markup
 (containers of content and of everything around it), and on as many made-up pages that put the same texts into other
-layouts, with comments, forms, notices and side bars; in a part of both the telling tags and names are taken away, so
-that words, links and context have to do. Labelling covers all pages and whole texts.
+layouts, with comments, forms, notices and side bars; in a part of both the telling tags and names are taken away, or
+others put beside them, so that words, links and context have to do. Labelling covers all pages and whole texts.
 
 Defined results: a null or empty html, or one without content blocks, gives an empty text; markup that is broken is
-closed as browsers do; rows that repeat give the same; a null url or id is carried; a table without pages gives an empty
+closed as browsers do (a head by what can't be in it, elements more than DEPTH deep are not nested further); rows that repeat give the same; a null url or id is carried; a table without pages gives an empty
 one; columns other than page_id, url and html are not read.
 """
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -34,16 +35,58 @@ BLOCK_TAGS = frozenset("address article aside blockquote body br button caption
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT_TAGS = frozenset("script style noscript template svg math textarea select object canvas audio video iframe head title".split())
 FOREIGN_TAGS = frozenset(("svg", "math"))
+#: What a head may hold; anything else ends it.
+HEAD_TAGS = frozenset("base link meta noscript script style template title".split())
+#: Most elements above one another that are told apart, as in browsers; most blocks and most padded blocks that are scored at once.
+DEPTH, BLOCKS, CELLS, STEPS = 512, 20_000, 32_768, 512
 CLOSED_BY = {"p": BLOCK_TAGS - {"br", "button", "label"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 #: Names of containers, as tags, classes or ids.
 CONTENT = frozenset("article main content story post entry body-text articlebody prose".split())
 AROUND = frozenset("nav header footer aside form menu navbar navigation sidebar side ad ads advert advertisement banner promo sponsor sponsored cookie cookies consent gdpr notice alert popup modal overlay comment comments reply replies discussion disqus share social related recommended breadcrumb breadcrumbs widget subscribe newsletter pagination pager copyright disclaimer login search toolbar masthead legal button".split())
 
 
+_buckets: dict[str, int] = {}
+
+
+def _bucket(name: str) -> int:
+    if (b := _buckets.get(name)) is None:
+        b = zlib.crc32(name.encode("utf-8", "surrogatepass"))
+        if len(_buckets) < 200_000:
+            _buckets[name] = b
+    return b
+
+
+class Path:
+    """The names of the elements above a block: what vectors and labels need of them, made from the path above by its own names alone."""
+
+    __slots__ = ("buckets", "tail", "kind", "plain", "below")
+
+    def __init__(self, above: Path | None, names: list[str], plain: bool = True):
+        self.buckets = above.buckets.copy() if above else np.zeros(PATH_DIM, bool)
+        self.buckets[[_bucket(n) % PATH_DIM for n in names]] = True
+        self.tail = ((above.tail if above else ()) + tuple(names))[-3:]
+        kind = above.kind if above else None
+        for n in (n.lstrip(".") for n in names):
+            # a header inside the content holds its headline; what lies around stays around
+            kind = 0 if n in AROUND and not (n == "header" and kind) else 1 if n in CONTENT and kind is None else kind
+        #: 1 inside content, 0 around it, None if nothing tells.
+        self.kind = kind
+        #: The same path without the names of containers.
+        self.plain = Path(above.plain if above else None, ["div" if n in CONTENT or n in AROUND else n for n in names if not (n[0] == "." and n[1:] in CONTENT | AROUND)], False) if plain else None
+        self.below: dict[tuple[str, ...], Path] = {}
+
+    def child(self, names: list[str]) -> Path:
+        """The path of an element of these names in this one; alike elements have one path."""
+        key = tuple(names)
+        if (path := self.below.get(key)) is None:
+            path = self.below[key] = Path(self, names)
+        return path
+
+
 class Block:
     __slots__ = ("path", "text", "linked")
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: int):
+    def __init__(self, path: Path, text: str, linked: int):
         self.path, self.text, self.linked = path, text, linked
 
 
@@ -55,7 +98,9 @@ class Reader(HTMLParser):
 
     def read(self, html: str) -> list[Block]:
         self.reset()
-        self.stack: list[tuple[str, tuple[str, ...], bool]] = []
+        self.stack: list[tuple[str, Path, bool]] = []
+        self.deep: Counter[str] = Counter()
+        self.top = Path(None, [])
         self.blocks, self.parts, self.linked, self.silent, self.links = [], [], 0, 0, 0
         self.feed(html)
         self.close()
@@ -66,7 +111,7 @@ class Reader(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.blocks.append(Block(tuple(n for _, names, _ in self.stack for n in names), text, self.linked))
+                self.blocks.append(Block(self.stack[-1][1] if self.stack else self.top, text, self.linked))
         self.parts, self.linked = [], 0
 
     def _pop(self, to: int) -> None:
@@ -75,9 +120,18 @@ class Reader(HTMLParser):
             self.silent -= tag in SILENT_TAGS or hidden
             self.links -= tag == "a"
 
+    def _close(self, tags: tuple[str, ...]) -> None:
+        """Ends an open element of one of these tags that nothing but such elements is in."""
+        while self.stack and self.stack[-1][0] in tags:
+            self._pop(len(self.stack) - 1)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in HEAD_TAGS:
+            self._close(("head", "title"))
         if tag in BLOCK_TAGS:
             self._flush()
+            if tag not in ("option", "hr", "button", "legend"):
+                self._close(("option", "optgroup", "select"))
             for i in range(len(self.stack) - 1, -1, -1):
                 above = self.stack[i][0]
                 if tag in CLOSED_BY.get(above, ()):
@@ -92,7 +146,10 @@ class Reader(HTMLParser):
             if k in ("class", "id", "role") and v:
                 names += [f".{x}" for x in re.split(r"[^a-z0-9]+", v.lower()) if x]
             hidden |= k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and "display:none" in (v or "").replace(" ", "").lower()
-        self.stack.append((tag, tuple(names), hidden))
+        if len(self.stack) >= DEPTH and tag not in SILENT_TAGS and not hidden:
+            self.deep[tag] += 1
+            return
+        self.stack.append((tag, (self.stack[-1][1] if self.stack else self.top).child(names), hidden))
         self.silent += tag in SILENT_TAGS or hidden
         self.links += tag == "a"
 
@@ -104,37 +161,35 @@ class Reader(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK_TAGS:
             self._flush()
+        if self.deep[tag] > 0:
+            self.deep[tag] -= 1
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
                 self._pop(i)
                 break
 
     def handle_data(self, data: str) -> None:
+        if self.stack and self.stack[-1][0] == "head" and data.strip():
+            self._close(("head",))
         if not self.silent:
             self.parts.append(data)
             if self.links:
                 self.linked += len(data)
 
 
-_buckets: dict[str, int] = {}
-
-
-def _bucket(name: str) -> int:
-    if (b := _buckets.get(name)) is None:
-        b = zlib.crc32(name.encode("utf-8", "surrogatepass"))
-        if len(_buckets) < 200_000:
-            _buckets[name] = b
-    return b
-
-
-def vectors(blocks: list[Block]) -> np.ndarray:
-    """One row per block: tag path, words, measures."""
+def vectors(blocks: list[Block], noise: random.Random | None = None) -> np.ndarray:
+    """One row per block: tag path, words, measures; noise: of the names that tell nothing, which pages are full of, on some paths."""
+    others: dict[int, list[int]] = {}
     out = np.zeros((len(blocks), PATH_DIM + WORD_DIM + MEASURES), np.float32)
     for i, b in enumerate(blocks):
         row, words = out[i], b.text.lower().split()
-        for a in b.path:
-            row[_bucket(a) % PATH_DIM] = 1
-        for a, c in zip(b.path[-3:], b.path[-2:], strict=False):
+        row[:PATH_DIM] = b.path.buckets
+        if noise:
+            if (some := others.get(id(b.path))) is None:
+                some = others[id(b.path)] = [noise.randrange(PATH_DIM) for _ in range(noise.randint(0, 4))]
+            row[some] = 1
+        for a, c in zip(b.path.tail, b.path.tail[1:], strict=False):
             row[_bucket(f"{a}>{c}") % PATH_DIM] = 1
         h = np.array([_bucket(w) for w in words], np.int64)
         row[PATH_DIM : PATH_DIM + WORD_DIM] = np.bincount(h % WORD_DIM, 1.0 - 2 * (h >> 20 & 1), WORD_DIM) / np.sqrt(len(words))
@@ -159,19 +214,22 @@ class Labeller:
         at = np.arange(x.shape[1])[None]
         return np.take_along_axis(x, np.where(at < n[:, None], n[:, None] - 1 - at, at)[:, :, None], 1)
 
-    def _run(self, x: np.ndarray, d: str) -> tuple[np.ndarray, list]:
+    def _run(self, x: np.ndarray, d: str, keep: bool = True) -> tuple[np.ndarray, list]:
+        """The states of all steps, and what the way back needs of each if that is to be kept."""
         h, (pages, steps, _), n = np.zeros((len(x), self.hidden), np.float32), x.shape, self.hidden
         c, out, kept = h, np.empty((pages, steps, n), np.float32), []
-        gates = x @ self.p["W" + d] + self.p["b" + d]
-        for t in range(steps):
-            a = gates[:, t] + h @ self.p["U" + d]
-            s = 1 / (1 + np.exp(-a[:, : 3 * n]))
-            i, f, o, g = s[:, :n], s[:, n : 2 * n], s[:, 2 * n :], np.tanh(a[:, 3 * n :])
-            before, c = c, f * c + i * g
-            tc = np.tanh(c)
-            kept.append((h, before, i, f, o, g, tc))
-            h = o * tc
-            out[:, t] = h
+        for lo in range(0, steps, STEPS):
+            gates = x[:, lo : lo + STEPS] @ self.p["W" + d] + self.p["b" + d]
+            for t in range(gates.shape[1]):
+                a = gates[:, t] + h @ self.p["U" + d]
+                s = 1 / (1 + np.exp(-a[:, : 3 * n]))
+                i, f, o, g = s[:, :n], s[:, n : 2 * n], s[:, 2 * n :], np.tanh(a[:, 3 * n :])
+                before, c = c, f * c + i * g
+                tc = np.tanh(c)
+                if keep:
+                    kept.append((h, before, i, f, o, g, tc))
+                h = o * tc
+                out[:, lo + t] = h
         return out, kept
 
     def _back(self, x: np.ndarray, kept: list, d_out: np.ndarray, d: str, grads: dict) -> None:
@@ -192,10 +250,14 @@ class Labeller:
         """The probability of each block of each page that it is content."""
         out: list[np.ndarray] = [np.zeros(0)] * len(pages)
         order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i]))
-        for lo in range(0, len(order), batch):
-            some = order[lo : lo + batch]
+        while order:
+            # the longest of a batch are its last, so the cells of a batch are bounded unless a page alone has more
+            k = 1
+            while k < min(batch, len(order)) and (k + 1) * len(pages[order[k]]) <= CELLS:
+                k += 1
+            some, order = order[:k], order[k:]
             x, n = self._padded([pages[i] for i in some])
-            y = self._forward(x, n)[0]
+            y = self._forward(x, n, keep=False)[0]
             for i, row, k in zip(some, y, n, strict=True):
                 out[i] = row[:k]
         return out
@@ -208,10 +270,10 @@ class Labeller:
             row[: len(p)] = p
         return x, n
 
-    def _forward(self, x: np.ndarray, n: np.ndarray):
+    def _forward(self, x: np.ndarray, n: np.ndarray, keep: bool = True):
         turned = self._turned(x, n)
-        fw, kf = self._run(x, "f")
-        bw, kb = self._run(turned, "b")
+        fw, kf = self._run(x, "f", keep)
+        bw, kb = self._run(turned, "b", keep)
         both = np.concatenate([fw, self._turned(bw, n)], 2)
         y = 1 / (1 + np.exp(-(both @ self.p["o"] + self.p["c"])[:, :, 0]))
         return y, turned, kf, kb, both
@@ -248,14 +310,7 @@ class Labeller:
 
 def markup_labels(blocks: list[Block]) -> list[int]:
     """1 for blocks whose innermost telling container is one of content; without any, for long blocks with few links."""
-    told = []
-    for b in blocks:
-        kind = None
-        for name in b.path:
-            name = name.lstrip(".")
-            # a header inside the content holds its headline; what lies around stays around
-            kind = 0 if name in AROUND and not (name == "header" and kind) else 1 if name in CONTENT and kind is None else kind
-        told.append(kind)
+    told = [b.path.kind for b in blocks]
     if 1 in told:
         return [int(k == 1) for k in told]
     return [int(k is None and len(b.text.split()) >= 8 and b.linked < len(b.text) / 3) for k, b in zip(told, blocks, strict=True)]
@@ -263,7 +318,7 @@ def markup_labels(blocks: list[Block]) -> list[int]:
 
 def hidden_names(blocks: list[Block]) -> list[Block]:
     """The blocks without the names of containers."""
-    return [Block(tuple("div" if n in CONTENT or n in AROUND else n for n in b.path if not (n[0] == "." and n[1:] in CONTENT | AROUND)), b.text, b.linked) for b in blocks]
+    return [Block(b.path.plain, b.text, b.linked) for b in blocks]
 
 
 def made_up_page(rng: random.Random, content: list[str], around: list[str]) -> tuple[list[Block], list[int]]:
@@ -272,7 +327,7 @@ def made_up_page(rng: random.Random, content: list[str], around: list[str]) -> t
     pick = lambda xs: rng.choice(xs) if xs else "text"
 
     def put(path: list[str], text: str, label: int, linked: bool = False) -> None:
-        blocks.append(Block(("html", "body", *path), text, len(text) if linked else 0))
+        blocks.append(Block(Path(None, ["html", "body", *path]), text, len(text) if linked else 0))
         labels.append(label)
 
     def short(a: int, b: int) -> str:
@@ -309,18 +364,23 @@ def made_up_page(rng: random.Random, content: list[str], around: list[str]) -> t
 def fit(pages: DataFrame, train_pages: int = TRAIN_PAGES, epochs: int = EPOCHS) -> Labeller:
     """A labeller from a bounded sample of pages (url, html), and no more made-up pages than those (30 at least)."""
     n = pages.count()
-    sample = pages.where(F.col("html").isNotNull()).where(key_uniform("url", F.length("html"), seed=2) < min(1.0, 2 * train_pages / max(1, n))).select("html").limit(train_pages).collect()
+    key = key_uniform("url", "html", seed=2)
+    # twice as many as are wanted pass the first cut, so that it leaves some to spare; the order decides, not the layout
+    some = pages.where(F.col("html").isNotNull()).where(key < min(1.0, (2 * train_pages + 100) / max(1, n)))
+    sample = some.orderBy(key, "url", "html").select("html").limit(train_pages).collect()
     rng, reader, x, y, content, around = random.Random(20), Reader(), [], [], [], []
     for (html,) in sorted(sample):
         blocks = reader.read(html)
         labels = markup_labels(blocks)
         for b, label in zip(blocks, labels, strict=True):
             (content if label else around).append(b.text)
-        x.append(vectors(blocks if rng.random() < 0.7 else hidden_names(blocks)))
+        plain = rng.random() < 0.5
+        x.append(vectors(hidden_names(blocks) if plain else blocks, rng if plain or rng.random() < 0.4 else None))
         y.append(np.array(labels, np.float32))
     for _ in range(max(30, len(sample))):
         blocks, labels = made_up_page(rng, content, around)
-        x.append(vectors(blocks if rng.random() < 0.85 else hidden_names(blocks)))
+        plain = rng.random() < 0.5
+        x.append(vectors(hidden_names(blocks) if plain else blocks, rng if plain or rng.random() < 0.4 else None))
         y.append(np.array(labels, np.float32))
     model = Labeller()
     model.train(x, y, epochs if len(sample) > 50 else 4 * epochs)
@@ -335,12 +395,17 @@ def main_text(pages: DataFrame, model: Labeller, cut: float = 0.5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, m = Reader(), sent.value
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                blocks = [reader.read(h or "") for h in part.column(2).to_pylist()]
+            lo, blocks, held = 0, [], 0
+            for row, html in enumerate(batch.column(2)):
+                blocks.append(reader.read(html.as_py() or ""))
+                held += len(blocks[-1])
+                if held < BLOCKS and len(blocks) < 256 and row + 1 < batch.num_rows:
+                    continue
+                part, lo = batch.slice(lo, len(blocks)), row + 1
                 kept = [[b.text for b, s in zip(bs, ss, strict=True) if s > cut] for bs, ss in zip(blocks, m.scores([vectors(bs) for bs in blocks]), strict=True)]
                 texts = [" ".join(k) for k in kept]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(b) for b in blocks], pa.int64()), pa.array([len(k) for k in kept], pa.int64())], names=[f.split()[0] for f in schema.split(", ")])
+                blocks, held = [], 0
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, schema)
 
