@@ -8,9 +8,10 @@ words (one more stands for all words never seen). Each factor sums to one over i
 
 The weights of the GRU are trained in numpy by truncated backpropagation (windows of STEPS tokens, the state carried from
 window to window, set back where a document begins) on all training documents, each from its first token to its last.
-Documents are dealt to shards of about SHARD_TOKENS tokens by a hash of id and text. In each of EPOCHS rounds every shard
-is gone through by a task, from the weights that all start with, and the mean of the shards' weights, by their tokens, is
-what the next round starts with. Shards depend on the rows alone, and so do the weights. Scoring goes through a batch of documents together, in windows, carrying
+Documents are dealt to shards of about SHARD_TOKENS tokens by a hash of id and text, and a shard's documents, in the order
+of a hash, to ROUNDS parts. In each round a task goes through one part of each shard, from the weights that all start
+with, and the mean of the shards' weights, by their tokens, is what the next round starts with; PASSES times all tokens
+are gone through in that way. Shards depend on the rows alone, and so do the weights. Scoring goes through a batch of documents together, in windows, carrying
 each document's state from its first token to its last, however long it is.
 
 A word's count is looked up in the vocabulary: up to VOCABULARY distinct words each worker reads it from the shared
@@ -37,7 +38,14 @@ from .common import discard, stored, table
 from .language_id import held_out
 from .warc import file_system
 
-CLASSES, HEADS, HIDDEN, STEPS, STREAMS, EPOCHS, SHARD_TOKENS, VOCABULARY, SMOOTH = 96, 7, 24, 16, 32, 3, 1_000_000, 16_000_000, 0.1
+CLASSES, HEADS, HIDDEN, STEPS, SMOOTH = 96, 7, 24, 16, 0.1
+PASSES, ROUNDS, SHARD_TOKENS, VOCABULARY = 1, 3, 1_000_000, 16_000_000
+#: Most texts that go through a shard side by side, and the fewest windows that a part of a shard is to have if that permits.
+STREAMS, WINDOWS = 512, 60
+#: Texts that are scored side by side.
+TEXTS = 4000
+#: Step size of the first round; later ones take smaller steps.
+RATE = 1e-2
 END, REST = 0, 1  # classes
 COUNTED = "word long, tail int, n long"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -74,7 +82,7 @@ def count_words(rows: DataFrame) -> DataFrame:
 
 
 def sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+    return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
 class Model:
@@ -120,19 +128,38 @@ class Model:
     def step(self, x: np.ndarray, h: np.ndarray) -> np.ndarray:
         """The next state; x: the inputs' share of the gates."""
         n, u = HIDDEN, self.p["U"]
-        gates = sigmoid(x[:, : 2 * n] + h @ u[:, : 2 * n])
-        z, r = gates[:, :n], gates[:, n:]
-        new = np.tanh(x[:, 2 * n :] + (r * h) @ u[:, 2 * n :])
-        return new + z * (h - new)
+        gates = h @ u[:, : 2 * n]
+        gates += x[:, : 2 * n]
+        gates = sigmoid(gates)
+        new = (gates[:, n:] * h) @ u[:, 2 * n :]
+        new += x[:, 2 * n :]
+        np.tanh(new, out=new)
+        return new + gates[:, :n] * (h - new)
+
+    @staticmethod
+    def _by_class(cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """(an order by class, (class, from, to) of each class that occurs)."""
+        order = np.argsort(cls.astype(np.uint16), kind="stable")
+        ends = np.cumsum(np.bincount(cls))
+        return order, [(c, int(hi - k), int(hi)) for c, (hi, k) in enumerate(zip(ends, np.diff(ends, prepend=0), strict=True)) if k]
 
     def output(self, h: np.ndarray, cls: np.ndarray, item: np.ndarray) -> np.ndarray:
         """log P(class) + log P(item | class) for each state."""
-        logits = h @ self.p["Wc"] + self.p["bc"]
-        top = logits.max(1)
-        out = logits[np.arange(len(h)), cls] - top - np.log(np.exp(logits - top[:, None]).sum(1))
-        within = np.einsum("nh,nih->ni", h, self.p["Wi"][cls], optimize=False) + self.p["bi"][cls]
-        top = within.max(1)
-        return out + within[np.arange(len(h)), item] - top - np.log(np.exp(within - top[:, None]).sum(1))
+        logits = h @ self.p["Wc"]
+        logits += self.p["bc"]
+        logits -= logits.max(1, keepdims=True)
+        out = logits[np.arange(len(h)), cls]
+        out -= np.log(np.exp(logits, out=logits).sum(1))
+        order, parts = self._by_class(cls)
+        states, within = h[order], np.empty((len(h), self.items), h.dtype)
+        for c, lo, hi in parts:
+            np.matmul(states[lo:hi], self.p["Wi"][c].T, out=within[lo:hi])
+            within[lo:hi] += self.p["bi"][c]
+        within -= within.max(1, keepdims=True)
+        inside = within[np.arange(len(h)), item[order]]
+        inside -= np.log(np.exp(within, out=within).sum(1))
+        out[order] += inside
+        return out
 
     def codes(self, cls: np.ndarray, item: np.ndarray, n: np.ndarray) -> np.ndarray:
         """The tokens of documents in a row, each document's end among them as 0; n: words of each document."""
@@ -140,13 +167,13 @@ class Model:
         out[np.arange(len(cls)) + np.repeat(np.arange(len(n)), n)] = cls * self.items + item
         return out
 
-    def train(self, codes: np.ndarray, epoch: int = 0, epochs: int = EPOCHS, rate: float = 4e-3) -> float:
+    def train(self, codes: np.ndarray, rate: float = RATE) -> float:
         """Truncated backpropagation over all tokens of codes(), once; their mean loss."""
         codes = codes.astype(np.int64)
         cls, item = np.divmod(codes, self.items)
         first = np.append(True, codes[:-1] == END * self.items)[: len(codes)]
         prev = np.where(first, self.bos, np.roll(codes, 1))
-        streams = max(1, min(STREAMS, len(codes) // (2 * STEPS)))
+        streams = max(1, min(STREAMS, len(codes) // (WINDOWS * STEPS)))
         length, longer = divmod(len(codes), streams)  # the first streams have a token more
         starts = np.arange(streams) * length + np.minimum(np.arange(streams), longer)
         m, v, t, loss = {k: np.zeros_like(w) for k, w in self.p.items()}, {k: np.zeros_like(w) for k, w in self.p.items()}, 0, 0.0
@@ -156,96 +183,119 @@ class Model:
             at = starts[:many] + np.arange(lo, hi)[:, None]
             part, grads, h = self._backward(cls[at], item[at], prev[at], first[at], h[:many])
             loss, t = loss + part, t + 1
-            norm = np.sqrt(sum(float((g**2).sum()) for g in grads.values()))
-            step = rate * (1 - epoch / epochs * 0.7) * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
+            norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
+            step = rate * np.sqrt(1 - 0.99**t) / (1 - 0.9**t)
             for k, g in grads.items():
                 g *= min(1.0, 1.0 / (norm + 1e-8))
                 m[k] += 0.1 * (g - m[k])
-                v[k] += 0.001 * (g * g - v[k])
+                v[k] += 0.01 * (g * g - v[k])
                 self.p[k] -= step * m[k] / (np.sqrt(v[k]) + 1e-6)
         return loss / max(1, len(codes))
 
     def _backward(self, cls, item, prev, first, h):
         """(loss, gradients, last state) of one window, steps x streams."""
         p, n, steps, many = self.p, HIDDEN, len(cls), cls.shape[1]
-        kept, e = [], p["E"][prev.ravel()]
-        inputs = (e @ p["Wx"] + p["b"]).reshape(steps, many, 3 * n)
+        kept, (u, un) = [], (np.ascontiguousarray(p["U"][:, : 2 * n]), np.ascontiguousarray(p["U"][:, 2 * n :]))
+        inputs = (p["E"] @ p["Wx"] + p["b"])[prev]
+        out = np.empty((steps, many, n), inputs.dtype)
         for t in range(steps):
-            h = np.where(first[t][:, None], 0, h).astype(np.float32)
-            x = inputs[t]
-            gates = sigmoid(x[:, : 2 * n] + h @ p["U"][:, : 2 * n])
+            h = h * ~first[t][:, None]
+            gates = h @ u
+            gates += inputs[t, :, : 2 * n]
+            gates = sigmoid(gates)
             z, r = gates[:, :n], gates[:, n:]
-            new = np.tanh(x[:, 2 * n :] + (r * h) @ p["U"][:, 2 * n :])
-            kept.append((h, z, r, new))
+            rh = r * h
+            new = np.tanh(inputs[t, :, 2 * n :] + rh @ un)
+            kept.append((h, z, r, rh, new))
             h = new + z * (h - new)
-        last = h
-        out = np.stack([new + z * (h - new) for h, z, _, new in kept]).reshape(-1, n)
+            out[t] = h
+        last, out = h, out.reshape(-1, n)
         c, i, rows = cls.ravel(), item.ravel(), np.arange(steps * many)
         g = {k: np.zeros_like(w) for k, w in p.items()}
-        logits = out @ p["Wc"] + p["bc"]
-        soft = np.exp(logits - logits.max(1, keepdims=True))
+        scale = out.dtype.type(1 / many)
+        soft = out @ p["Wc"]
+        soft += p["bc"]
+        soft -= soft.max(1, keepdims=True)
+        np.exp(soft, out=soft)
         soft /= soft.sum(1, keepdims=True)
-        flat, place = p["Wi"].reshape(-1, n), (c * self.items)[:, None] + np.arange(self.items)
-        within = (out @ flat.T)[rows[:, None], place] + p["bi"][c]
-        inner = np.exp(within - within.max(1, keepdims=True))
-        inner /= inner.sum(1, keepdims=True)
-        loss = -float(np.log(soft[rows, c] + 1e-12).sum() + np.log(inner[rows, i] + 1e-12).sum())
+        loss = -float(np.log(soft[rows, c] + 1e-12).sum())
         soft[rows, c] -= 1
-        inner[rows, i] -= 1
-        scale = np.float32(1 / many)
-        soft, inner = soft * scale, inner * scale
+        soft *= scale
         g["Wc"], g["bc"] = out.T @ soft, soft.sum(0)
-        spread = np.zeros((len(rows), len(flat)), inner.dtype)
-        spread[rows[:, None], place] = inner
-        g["Wi"], g["bi"] = (spread.T @ out).reshape(p["Wi"].shape), spread.sum(0).reshape(p["bi"].shape)
-        down = (soft @ p["Wc"].T + spread @ flat).reshape(steps, many, n)
+        down = soft @ p["Wc"].T
+        # within the classes: the tokens of a class lie together
+        order, parts = self._by_class(c)
+        states, inner, below = out[order], np.empty((len(rows), self.items), out.dtype), np.empty_like(out)
+        for k, lo, hi in parts:
+            np.matmul(states[lo:hi], p["Wi"][k].T, out=inner[lo:hi])
+            inner[lo:hi] += p["bi"][k]
+        inner -= inner.max(1, keepdims=True)
+        np.exp(inner, out=inner)
+        inner /= inner.sum(1, keepdims=True)
+        loss -= float(np.log(inner[rows, i[order]] + 1e-12).sum())
+        inner[rows, i[order]] -= 1
+        inner *= scale
+        for k, lo, hi in parts:
+            d = inner[lo:hi]
+            np.matmul(d.T, states[lo:hi], out=g["Wi"][k])
+            g["bi"][k] = d.sum(0)
+            np.matmul(d, p["Wi"][k], out=below[lo:hi])
+        down[order] += below
+        down = down.reshape(steps, many, n)
         gated = np.empty((steps, many, 3 * n), down.dtype)
-        back = np.zeros((many, n), np.float32)
+        back = np.zeros((many, n), down.dtype)
         for t in reversed(range(steps)):
-            h, z, r, new = kept[t]
-            d = down[t] + back
-            dz, dn = d * (h - new) * z * (1 - z), d * (1 - z) * (1 - new**2)
-            drh = dn @ p["U"][:, 2 * n :].T
-            dr = drh * h * r * (1 - r)
-            da = gated[t] = np.concatenate([dz, dr, dn], 1)
-            g["U"][:, : 2 * n] += h.T @ da[:, : 2 * n]
-            g["U"][:, 2 * n :] += (r * h).T @ dn
-            back = np.where(first[t][:, None], 0, d * z + drh * r + da[:, : 2 * n] @ p["U"][:, : 2 * n].T).astype(np.float32)
-        gated = gated.reshape(-1, 3 * n)
-        g["Wx"], g["b"] = e.T @ gated, gated.sum(0)
-        np.add.at(g["E"], prev.ravel(), gated @ p["Wx"].T)
+            h, z, r, rh, new = kept[t]
+            d, da = down[t] + back, gated[t]
+            da[:, :n] = d * (h - new) * z * (1 - z)
+            da[:, 2 * n :] = d * (1 - z) * (1 - new * new)
+            drh = da[:, 2 * n :] @ un.T
+            da[:, n : 2 * n] = drh * rh * (1 - r)
+            back = d * z + drh * r + da[:, : 2 * n] @ u.T
+            back *= ~first[t][:, None]
+        gated, was = gated.reshape(-1, 3 * n), np.stack([x[0] for x in kept]).reshape(-1, n)
+        g["U"][:, : 2 * n] = was.T @ gated[:, : 2 * n]
+        g["U"][:, 2 * n :] = np.stack([x[3] for x in kept]).reshape(-1, n).T @ gated[:, 2 * n :]
+        # what each input has got, over all places where it stands
+        order = np.argsort(prev.ravel().astype(np.uint16), kind="stable")
+        seen = prev.ravel()[order]
+        lead = np.flatnonzero(np.append(True, seen[1:] != seen[:-1])[: len(seen)])
+        table = np.zeros((len(p["E"]), 3 * n), gated.dtype)
+        table[seen[lead]] = np.add.reduceat(gated[order], lead, axis=0)
+        g["E"], g["Wx"], g["b"] = table @ p["Wx"].T, p["E"].T @ table, table.sum(0)
         return loss, g, last
 
     def likelihoods(self, cls: np.ndarray, item: np.ndarray, n: np.ndarray, steps: int = 64) -> np.ndarray:
         """The sum of log P over each document's tokens and its end; n: words of each document, cls and item of all in a row."""
-        many = len(n)
-        starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+        many, total = len(n), n + 1
         order = np.argsort(-n, kind="stable")
+        rank = np.empty(many, np.int64)
+        rank[order] = np.arange(many)
+        # the tokens by their place in the document, and in each place those of longer documents first
+        on = np.cumsum(np.bincount(total, minlength=int(total.max(initial=0)) + 1)[::-1])[::-1][1:]  # documents that have the place
+        first = np.concatenate([[0], np.cumsum(on)])
+        ends = np.cumsum(total)
+        place = np.arange(ends[-1] if many else 0) - np.repeat(ends - total, total)
+        codes = np.empty(len(place), np.int32)
+        codes[first[place] + np.repeat(rank, total)] = self.codes(cls, item, n)
+        del place
         gates = self.p["E"] @ self.p["Wx"] + self.p["b"]
-        out, h = np.zeros(many), np.zeros((many, HIDDEN), np.float32)
-        prev, total = np.full(many, self.bos), n[order] + 1
-        for lo in range(0, int(n.max(initial=-1)) + 1, steps):
-            live = int(np.searchsorted(-total, -lo, "left"))  # documents with tokens from here on
-            h, states, targets, whose = h[:live], [], [], []
-            for t in range(lo, lo + steps):
-                on = int(np.searchsorted(-total, -t, "left"))
-                if not on:
-                    break
-                h[:on] = self.step(gates[prev[:on]], h[:on])
-                at = starts[order[:on]] + t
-                ended = total[:on] == t + 1
-                at = np.where(ended, 0, at)
-                c = np.where(ended, END, cls[at] if len(cls) else END)
-                i = np.where(ended, 0, item[at] if len(item) else 0)
-                states.append(h[:on].copy())
-                targets.append((c, i))
-                whose.append(order[:on])
-                prev[:on] = c * self.items + i
-            states, whose = np.concatenate(states), np.concatenate(whose)
-            c, i = (np.concatenate([x[k] for x in targets]) for k in (0, 1))
-            got = np.concatenate([self.output(states[a : a + 8192], c[a : a + 8192], i[a : a + 8192]) for a in range(0, len(states), 8192)])
-            out += np.bincount(whose, got, many)
-        return out
+        out, h, before = np.zeros(many), np.zeros((many, HIDDEN), np.float32), np.full(many, self.bos)
+        lo = 0
+        while lo < len(on):
+            hi = min(len(on), lo + steps)
+            states = np.empty((first[hi] - first[lo], HIDDEN), gates.dtype)
+            for t in range(lo, hi):
+                k = on[t]
+                h = self.step(gates[before[:k]], h[:k])
+                states[first[t] - first[lo] : first[t + 1] - first[lo]] = h
+                before = codes[first[t] : first[t + 1]]
+            c, i = np.divmod(codes[first[lo] : first[hi]], self.items)
+            got = np.concatenate([self.output(states[a : a + 16384], c[a : a + 16384], i[a : a + 16384]) for a in range(0, len(states), 16384)])
+            for t in range(lo, hi):
+                out[: on[t]] += got[first[t] - first[lo] : first[t + 1] - first[lo]]
+            lo = hi
+        return out[rank]
 
 
 def _shards(train: DataFrame, model: Model, shards: int) -> DataFrame:
@@ -280,8 +330,17 @@ def _shards(train: DataFrame, model: Model, shards: int) -> DataFrame:
     return stored(rows.mapInArrow(joined, "shard long, codes binary"), "shards")
 
 
+def _part(codes: np.ndarray, part: int) -> np.ndarray:
+    """One of the ROUNDS parts of a shard, of whole documents: each goes where its middle lies."""
+    ends = np.flatnonzero(codes == END) + 1
+    middle = (np.concatenate([[0], ends[:-1]]) + ends) / 2
+    cut = lambda k: int(np.searchsorted(middle, k * len(codes) / ROUNDS))
+    lo, hi = cut(part), cut(part + 1) if part + 1 < ROUNDS else len(ends)
+    return codes[ends[lo - 1] if lo else 0 : ends[hi - 1] if hi else 0]
+
+
 def _train(train: DataFrame, model: Model, shard_tokens: int) -> None:
-    """Trains model on all documents (id, text): EPOCHS rounds over all shards, whose weights are averaged after each."""
+    """Trains model on all documents (id, text): rounds over parts of all shards, whose weights are averaged after each."""
     shards = max(1, round((int(model.words) + model.documents) / shard_tokens))
     rows, groups = _shards(train, model, shards), math.ceil(math.sqrt(shards))
     shapes = {k: w.shape for k, w in model.p.items()}
@@ -290,16 +349,18 @@ def _train(train: DataFrame, model: Model, shard_tokens: int) -> None:
         cuts = np.cumsum([math.prod(x) for x in shapes.values()])[:-1]
         return {k: x.reshape(shapes[k]).astype(np.float32) for k, x in zip(shapes, np.split(flat, cuts), strict=True)}
 
-    for epoch in range(EPOCHS):
+    for turn in range(PASSES * ROUNDS):
         sent = train.sparkSession.sparkContext.broadcast(model)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, epoch=epoch) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i in range(batch.num_rows):
                     m = copy.copy(sent.value)
                     m.p = {k: w.copy() for k, w in m.p.items()}
-                    codes = np.frombuffer(batch.column(1)[i].as_py(), np.uint16)
-                    m.train(codes, epoch)
+                    codes = _part(np.frombuffer(batch.column(1)[i].as_py(), np.uint16), turn % ROUNDS)
+                    if not len(codes):
+                        continue
+                    m.train(codes, RATE * (1 - 0.6 * turn / (PASSES * ROUNDS)))
                     total = np.concatenate([w.ravel() for w in m.p.values()]).astype(np.float64) * len(codes)
                     shard = batch.column(0)[i].as_py()
                     yield pa.RecordBatch.from_arrays([pa.array([shard % groups]), pa.array([shard]), pa.array([len(codes)]), pa.array([total.tobytes()], pa.binary())], names=["part", "shard", "tokens", "total"])
@@ -310,6 +371,8 @@ def _train(train: DataFrame, model: Model, shard_tokens: int) -> None:
 
         found = rows.mapInArrow(run, "part long, shard long, tokens long, total binary").groupBy("part").applyInPandas(summed, "part long, tokens long, total binary").collect()
         sent.destroy()
+        if not found:  # few documents, all of them in other parts
+            continue
         found.sort(key=lambda r: r["part"])
         model.p = unpacked(sum(np.frombuffer(r["total"]) for r in found) / sum(r["tokens"] for r in found))
     discard(rows)
@@ -392,15 +455,16 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, most: int = VOCA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1500):
-                part = batch.slice(lo, 1500)
+            for lo in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(lo, TEXTS)
                 word, tail, n = words_of(part.column(1).to_pylist())
                 cls, item = m.ids(word, tail)
                 columns = [part.column(0), pa.array(n + 1), pa.array(m.likelihoods(cls, item, n) / np.log(10))]
                 if local:
                     known, counts = _vocabulary(folder) if folder else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-                    at = np.minimum(np.searchsorted(known, word), max(0, len(known) - 1))
-                    count = np.where(known[at] == word, counts[at], 0) if len(known) else np.zeros(len(word), np.int64)
+                    distinct_words, place = np.unique(word, return_inverse=True)
+                    at = np.minimum(np.searchsorted(known, distinct_words), max(0, len(known) - 1))
+                    count = (np.where(known[at] == distinct_words, counts[at], 0) if len(known) else np.zeros(len(distinct_words), np.int64))[place]
                     owner = np.repeat(np.arange(len(n)), n)
                     columns += [pa.array(np.bincount(owner, x, len(n)).astype(k)) for x, k in zip(_sums(word, item, cls, count, np.ones(len(word)), m, total), (np.int64, float, float), strict=True)]
                 else:
