@@ -1,19 +1,22 @@
 """Nearest neighbours by vantage-point trees, one per shard.
 
 Vectors are dealt to shards by a hash of the id; a shard's task builds a tree over its distinct vectors (equal vectors
-are one point with its smallest ids, as many as a query could need) and takes blocks of queries through it together.
+are one point with its smallest ids, as many as a query could need) and takes all queries through it, in blocks.
 A node splits its points at the median distance from its vantage point. A query first goes down to the leaf on its own
 side of every boundary; then it enters each half that it isn't in if (distance to the boundary) * factor <= (distance of
 its k-th neighbour so far): with the factor 1 that is the triangle inequality and the search is exact, larger factors
 leave out more. Distances that decide are those of the
 original vectors in double precision. Each shard returns k per query, and the k smallest of those are kept.
 
-A task gets one shard and one block of queries; both are bounded by parameters, whatever the table's size. The queries
-are sent to every shard, a stated query set against all rows.
+Each vector goes through the shuffle once, to its shard, and each tree is built once. The queries are written to the
+shared folder, from which every shard's task reads them block by block, a stated query set against all rows. The number of
+shards follows from the number of vectors alone, so that the answer is the same on any cluster; a task holds one shard and
+one block, both bounded by parameters. Tasks with several shards merge what they have found before the last shuffle.
 
 Defined results: vectors that are null, empty, zero, or hold a null or a component that isn't finite take no part, as
 candidate or as query; vectors are compared with those of the same length; ties go to the smaller id; a query's own id
-is no candidate, in any row that has it; rows that repeat id and vector are one candidate; a null id is neither query
+is no candidate, in any row that has it; rows that repeat id and vector are one candidate; of a query's rows the smallest
+vector of each length asks; a null id is neither query
 nor candidate; an empty table gives an empty one; other columns are not read.
 """
 
@@ -22,14 +25,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
+from .warc import file_system
 
-#: A shard holds at most SHARD_ROWS vectors, and SPREAD_ROWS where that gives no more shards than there are cores.
-K, FACTOR, LEAF, SHARD_ROWS, SPREAD_ROWS, QUERY_ROWS = 10, 2.0, 128, 100_000, 2_000, 20_000
+#: A shard holds about SHARD_ROWS vectors; QUERY_ROWS queries go through a tree together.
+K, FACTOR, LEAF, SHARD_ROWS, QUERY_ROWS = 10, 2.0, 128, 50_000, 20_000
 FOUND = "query_id long, vec_id long, score double"
 #: Stands for no id; greater than all.
 NONE = np.iinfo(np.int64).max
@@ -136,29 +140,51 @@ class Tree:
         self.best[who[changed]], self.best_id[who[changed]] = np.take_along_axis(score, order, 1), np.take_along_axis(named, order, 1)
 
 
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of each (shard, dim), which are the first two columns and in whose order the rows come."""
+    now, held = None, []
+    for batch in batches:
+        key = np.stack([batch.column(i).to_numpy() for i in (0, 1)], 1)
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if hi == lo:
+                continue
+            if held and tuple(key[lo]) != now:
+                yield tuple(map(np.concatenate, zip(*held, strict=True)))
+                held = []
+            now, part = tuple(key[lo]), batch.slice(lo, hi - lo)
+            held.append((part.column(2).to_numpy(), part.column(3).flatten().to_numpy().reshape(hi - lo, -1)))
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float = FACTOR, id_col: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS, shards: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest vectors of each query (fewer, if there aren't as many)."""
     v, q = usable(vectors, id_col, vector), usable(queries, id_col, vector)
-    n, nq = v.count(), q.count()
-    cores = vectors.sparkSession.sparkContext.defaultParallelism
-    shards, blocks = shards or max(1, -(-n // shard_rows), min(cores, -(-n // SPREAD_ROWS))), max(1, -(-nq // query_rows))
-    place = lambda m, seed: F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(m)).cast("int")
-    numbers = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    v = v.select("id", "v", F.size("v").alias("dim"), place(shards, 1).alias("shard"), numbers(blocks).alias("block"))
-    q = q.select("id", "v", F.size("v").alias("dim"), place(blocks, 2).alias("block"), numbers(shards).alias("shard"))
-
-    def run(points: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        if points.empty or asked.empty:
-            return empty
-        tree = Tree(points["id"].to_numpy(), np.stack(points["v"].to_list()).astype(float), k + 1)
-        asked = asked.drop_duplicates("id")
-        score, ids = tree.search(asked["id"].to_numpy(), np.stack(asked["v"].to_list()).astype(float), k, factor)
-        full = ids != NONE
-        return pd.DataFrame({"query_id": np.repeat(asked["id"].to_numpy(), k)[full.ravel()], "vec_id": ids[full], "score": score[full]})
-
-    keys = ["shard", "block", "dim"]
-    found = v.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInPandas(run, FOUND)
+    shards = shards or max(1, -(-v.count() // shard_rows))
+    asked = stored(q.groupBy("id", F.size("v").alias("dim")).agg(F.min("v").alias("v")), "queries")
+    files = asked.inputFiles()
+    folder = files[0].rsplit("/", 1)[0] if files else None
+    if folder:
+        file_system(folder)  # fails here, and not in a task, where the shared folder is one that only Spark reads
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.dataset as ds
+
+        for ids, x in _shards(batches):
+            tree = Tree(ids, x, k + 1)
+            fs, path = file_system(folder)
+            rows = ds.dataset(path, filesystem=fs, format="parquet")
+            for batch in rows.to_batches(columns=["id", "v"], filter=ds.field("dim") == x.shape[1], batch_size=query_rows, use_threads=False, batch_readahead=0, fragment_readahead=0):
+                if batch.num_rows:
+                    qids = batch.column(0).to_numpy()
+                    score, found = tree.search(qids, batch.column(1).flatten().to_numpy().reshape(len(qids), -1), k, factor)
+                    full = found != NONE
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, k)[full.ravel()]), pa.array(found[full]), pa.array(score[full])], names=["query_id", "vec_id", "score"])
+
+    dealt = v.select(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(shards)).cast("int").alias("shard"), F.size("v").alias("dim"), "id", "v")
+    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "dim") if folder else dealt.limit(0)
+    found = dealt.mapInArrow(run, FOUND)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
