@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from tilewise.llm import parity_join
 from tilewise.llm.parity_join import keys, near_components, one_of_each, op3, same_size, shingles, sketch
 
 SCHEMA = "doc_id long, text string, keys string, component_id string"
@@ -70,6 +71,43 @@ def test_groups_and_chains(spark, k, num, den):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, _, c in brute(rows, k, num, den)})
 
 
+@pytest.mark.parametrize("nearest", [1, 4])
+def test_near_groups_in_chunks_and_rounds(spark, monkeypatch, nearest):
+    # many texts around the threshold under the same keys, in chunks of a few: some pairs are left to the last round
+    for name, value in (("CHUNK", 7), ("SET_CHUNK", 5), ("NEAREST", nearest), ("ROUNDS", 1), ("FREQUENT", 4)):
+        monkeypatch.setattr(parity_join, name, value)
+    rng, rows = random.Random(17), []
+    for g in range(3):
+        words = [f"g{g}w{j}" for j in range(120)]
+        for i in range(30):
+            own = words[:]
+            for j in rng.sample(range(120), rng.randint(1, 6)):
+                own[j] = f"n{rng.randrange(10**6)}"
+            rows.append((100 * g + i, " ".join(own)))
+    common = " ".join(f"c{j}" for j in range(60))  # a passage that all of these share and nothing else
+    rows += [(1000 + i, " ".join(f"u{i}x{j}" for j in range(90)) + " " + common) for i in range(40)]
+    df = spark.createDataFrame([(i, t, "x", None) for i, t in rows], SCHEMA)
+    assert got(near_components(df, 5, (8, 10))) == brute(rows, 5, 8, 10)
+
+
+def test_open_pairs_equal_all_pairs():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 400).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: 400 - k], rng.integers(0, 2**63, k).astype(np.uint64)])) for k in rng.integers(0, 80, 60)]
+    bits, size, comp = same_size([sketch(x) for x in sets], 64), np.array(list(map(len, sets))), rng.integers(0, 20, 60)
+    apart = np.array([[int(np.bitwise_count(a ^ b).sum()) for b in bits] for a in bits])
+    for one, two in ((np.arange(60), np.arange(60)), (np.arange(25), np.arange(25, 60))):
+        want = {(i, j) for i in one for j in two if comp[i] != comp[j] and apart[i, j] * 18 <= (size[i] + size[j]) * 2 and min(size[i], size[j]) * 10 >= max(size[i], size[j]) * 8}
+        both = want | {(j, i) for i, j in want}
+        x, y, more = parity_join._nearest_open(comp, size, bits, one, two, 8, 10, 3)
+        for i in range(60):
+            near = sorted((apart[i, j], j) for k, j in both if k == i)
+            assert [int(v) for v in y[x == i]] == [j for _, j in near[:3]] and all(more[x == i] == (len(near) > 3))
+        a, b = parity_join._verified_forest(comp, size, bits, sets, one, two, 8, 10)
+        similar = {(i, j) for i, j in want if 10 * len(np.intersect1d(sets[i], sets[j])) >= 8 * len(np.union1d(sets[i], sets[j]))}
+        assert set(zip(a, b)) <= similar and len(a) < len(np.unique(comp))
+
+
 def test_similar_sets_share_a_key():
     rng = random.Random(5)
     for trial in range(400):

@@ -14,10 +14,10 @@ From keys to links, with no pair of a group as a row: equal sets are one class;
 classes to the smallest and largest among them; these links are verified on the whole sets, for each class one at first
 and then those that still lie between two components (all of them only if sizes and sketches leave them open). Under keys
 that still have several components, classes are compared by sketches inside the tasks (a key with many classes in chunks,
-each pair of chunks a task's work of bounded size), and each class gives the nearest other one that its sketch leaves
-open. ROUNDS of that, each followed by verification, join what is similar; for classes that are left with an open one,
-the last round brings the whole sets to the task and gives the verified links of a spanning forest only. So rows grow with
-the classes under keys and not with their pairs. The hashes of whole texts never leave the tasks but for classes that have a partner under some key.
+each pair of chunks a task's work of bounded size), and each class gives the NEAREST other ones that its sketch leaves
+open. Classes with more of them than that go through a second round, after what was given has been verified and joined,
+and for those that still have more the last round brings the whole sets to the task and gives the verified links of a
+spanning forest only. So rows grow with the classes under keys and not with their pairs. The hashes of whole texts never leave the tasks but for classes that have a partner under some key.
 
 Defined results: texts that are null or without words have no set, no links, and are their own component; a row with a
 null id is in the component of equal sets, links to no others and is the component of none; rows that repeat an id are joined by their texts alone,
@@ -41,11 +41,12 @@ from .common import discard, sized, stored, table, unused
 from .graph import components
 
 WORDS, THRESHOLD = 5, (8, 10)
-#: Fewest bits of the sketches that are compared pair by pair (large sets have 1 to 2 bits for each element), most classes
+#: Fewest bits of the sketches that are compared pair by pair (large sets have 1.25 to 2.5 bits for each element), most classes
 #: of a key in one chunk where sketches are compared, and where whole sets are, with the most elements of those.
-SKETCH, CHUNK, SET_CHUNK, SET_ELEMENTS = 2048, 4000, 500, 1 << 20
-#: Rounds over sketches before the one over whole sets; classes of a key from which its members may leave it aside.
-ROUNDS, FREQUENT = 2, 32
+SKETCH, CHUNK, SET_CHUNK, SET_ELEMENTS = 512, 4000, 500, 1 << 20
+#: Open classes that a class gives under a key; rounds over sketches before the one over whole sets; classes of a key from
+#: which its members may leave it aside.
+NEAREST, ROUNDS, FREQUENT = 4, 2, 32
 #: Most rows of 24 bytes that are broadcast to find the members of shared keys.
 SHARED_ROWS = 2_500_000
 #: Most bytes of sketches that are broadcast.
@@ -162,8 +163,8 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, words: int, text: str, id_col
 
 
 def sketch(h: np.ndarray) -> bytes:
-    """The parity of how many hashes fall on each of SKETCH bits, or of more bits (a power of two) than there are hashes."""
-    log2 = max((SKETCH - 1).bit_length(), len(h).bit_length())
+    """The parity of how many hashes fall on each of SKETCH bits, or of a power of two of bits, more than 5/4 of the hashes."""
+    log2 = max((SKETCH - 1).bit_length(), (len(h) * 5 // 4).bit_length())
     return np.packbits((np.bincount((h >> _U(64 - log2)).astype(np.int64), minlength=1 << log2) & 1).astype(bool)).tobytes()
 
 
@@ -181,33 +182,38 @@ def same_size(sketches: list[bytes], size: int) -> np.ndarray:
 
 def _open(comp, size, bits, one, two, num: int, den: int):
     """For blocks of the rows of `one`: (their rows, those of `two` that sizes and sketches leave open and that are in another component, bits apart)."""
-    step = max(1, 4096 // bits.shape[1])
+    step = max(1, (1 << 20) // max(1, len(two)))
+    words, far = np.ascontiguousarray(bits[two].T), size[two]
     for lo in range(0, len(one), step):
-        i = one[lo : lo + step, None]
-        a, b = size[i], size[two][None]
-        fit = (np.minimum(a, b) * den >= np.maximum(a, b) * num) & (comp[i] != comp[two][None]) & (i != two[None])
-        r, c = np.nonzero(fit)
-        apart = np.empty(len(r), np.int64)
-        for at in range(0, len(r), 1 << 16):  # bounded however many fit
-            x, y = r[at : at + (1 << 16)], c[at : at + (1 << 16)]
-            apart[at : at + (1 << 16)] = np.bitwise_count(bits[i[x, 0]] ^ bits[two[y]]).sum(1, dtype=np.int64)
-        near = apart * (num + den) <= (size[i[r, 0]] + size[two[c]]) * (den - num)
-        yield i[r[near], 0], two[c[near]], apart[near]
-
-
-def _nearest_open(comp, size, bits, one, two, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, the nearest row that is open to it) for each row of both sides that has one; ties go to the smaller place."""
-    best, partner = np.full(len(comp), 1 << 62), np.full(len(comp), -1)
+        i = one[lo : lo + step]
+        apart = np.zeros((len(i), len(two)), np.int32)
+        for w, other in enumerate(words):
+            apart += np.bitwise_count(bits[i, w][:, None] ^ other[None])
+        r, c = np.nonzero(apart * (num + den) <= (size[i][:, None] + far[None]) * (den - num))
+        x, y = i[r], two[c]
+        a, b = size[x], size[y]
+        near = (np.minimum(a, b) * den >= np.maximum(a, b) * num) & (comp[x] != comp[y])
+        yield x[near], y[near], apart[r[near], c[near]]
+
+
+def _nearest_open(comp, size, bits, one, two, num: int, den: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, a row that is open to it, whether there are more than those given) for the `most` nearest of each row; ties go to the smaller place."""
+    x = y = d = np.zeros(0, np.int64)
+    found = np.zeros(len(comp), np.int64)
+    same = len(one) == len(two) and (one == two).all()
     for i, j, apart in _open(comp, size, bits, one, two, num, den):
-        for x, y in ((i, j), (j, i)):
-            order = np.lexsort((y, apart, x))
-            x, y, d = x[order], y[order], apart[order]
-            lead = np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)])
-            x, y, d = x[lead], y[lead], d[lead]
-            less = d < best[x]
-            best[x[less]], partner[x[less]] = d[less], y[less]
-    rows = np.flatnonzero(partner >= 0)
-    return rows, partner[rows]
+        if not len(i):
+            continue
+        # within one chunk each pair comes from both of its ends
+        new = ((i, j),) if same else ((i, j), (j, i))
+        found += np.bincount(np.concatenate([p for p, _ in new]), minlength=len(comp))
+        x, y, d = (np.concatenate(v) for v in zip((x, y, d), *((p, q, apart) for p, q in new), strict=True))
+        order = np.lexsort((y, d, x))
+        x, y, d = x[order], y[order], d[order]
+        starts = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+        place = np.arange(len(x)) - np.repeat(starts, np.diff(np.append(starts, len(x))))
+        x, y, d = x[place < most], y[place < most], d[place < most]
+    return x, y, found[x] > most
 
 
 def _verified_forest(comp, size, bits, sets, one, two, num: int, den: int) -> tuple[list[int], list[int]]:
@@ -264,18 +270,19 @@ def _sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def near_under_keys(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(key, node, other): the nearest class that is open to a class, of another component under the key. rows: key, node, c, size, sketch, chunks."""
+    """(key, node, other, more): the NEAREST classes that are open to a class, of other components under the key, and whether it has more of them. rows: key, node, c, size, sketch, chunks."""
+    most = NEAREST
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
             node, comp, size = (group[c].to_numpy() for c in ("node", "c", "size"))
             sketches = group["sketch"].to_pylist()
-            x, y = _nearest_open(comp, size, same_size(sketches, min(map(len, sketches))), *_sides(group), num, den)
+            x, y, more = _nearest_open(comp, size, same_size(sketches, min(map(len, sketches))), *_sides(group), num, den, most)
             if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), group["key"][0].as_py())), pa.array(node[x]), pa.array(node[y])], names=["key", "node", "other"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), group["key"][0].as_py())), pa.array(node[x]), pa.array(node[y]), pa.array(more)], names=["key", "node", "other", "more"])
 
     dealt = _dealt(rows, "size", "sketch")
-    return stored(dealt.repartition("key", "first", "second").sortWithinPartitions("key", "first", "second").mapInArrow(compare, "key long, node long, other long"), "near")
+    return stored(dealt.repartition("key", "first", "second").sortWithinPartitions("key", "first", "second").mapInArrow(compare, "key long, node long, other long, more boolean"), "near")
 
 
 def links_under_keys(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -385,7 +392,8 @@ def near_components(docs: DataFrame, words: int = WORDS, threshold: tuple[int, i
         if turn < ROUNDS:
             near = near_under_keys(named, num, den)
             links = links.unionAll(check(near.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()))
-            left = near.select("key", "node").distinct()
+            # a pair that hasn't been verified has two ends that gave only part of what there was
+            left = near.where("more").select("key", "node").distinct()
         else:
             wanted = stored(samples.join(named.select("node").distinct(), "node", "left_semi"), "wanted")
             links = links.unionAll(links_under_keys(named.join(whole_sets(docs, wanted, words, text, id_col), "node"), num, den))
