@@ -24,7 +24,7 @@ def query(sql: str | None = None):
     return add
 
 
-@query(f"""WITH {G.OSM}, x AS (SELECT osm_id AS key, 1 AS y, lat, lon FROM osm WHERE osm_id % 4 = 0 AND osm_id % 9 <> 0), n AS (SELECT osm_id AS key, 0 AS y, lat, lon FROM osm WHERE osm_id % 4 = 1 AND osm_id % 9 <> 0)
+@query(f"""WITH {G.OSM}, x AS (SELECT osm_id AS key, 1 AS y, lat, lon FROM osm WHERE osm_id % 4 = 0 AND osm_id % 9 <> 0), n AS (SELECT osm_id AS key, 0 AS y, lat, lon FROM osm WHERE osm_id % 4 <> 0 AND osm_id % 9 <> 0)
 SELECT 'pos_' || printf('%04d', row_number() OVER (ORDER BY key)) AS src, key, y FROM x UNION ALL SELECT 'neg_' || printf('%04d', row_number() OVER (ORDER BY key)), key, y FROM n""")
 def q_training_sources(spark, d):
     o = G.osm(spark, d).withColumnRenamed("osm_id", "key")

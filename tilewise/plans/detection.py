@@ -287,7 +287,7 @@ def q_pick_building(spark, d):
     return lookup.pick_building(p, b.select("osm_id", "lat", "lon", "ring", "area_m2", "is_residential"))
 
 
-@query(f"WITH {G.DET}, {G.OSM}, x AS (SELECT o.osm_id AS pid, t.ord AS tile, t.tier, {G.haversine('o', 't')} AS m FROM osm o JOIN det t ON abs(o.lat - t.lat) < 2e-2 AND abs(o.lon - t.lon) < 2e-2 WHERE o.osm_id % 5 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY tier <> 'high', m, tile) AS rank FROM x WHERE m <= 1500) SELECT pid, rank, tile, tier, round(m, 3) AS distance_m FROM r WHERE rank <= 8")
+@query(f"WITH {G.DET}, {G.OSM}, x AS (SELECT o.osm_id AS pid, t.ord AS tile, t.tier, {G.haversine('o', 't')} AS m FROM osm o JOIN det t ON abs(o.lat - t.lat) < 2e-2 AND abs(o.lon - t.lon) < 2e-2), r AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY tier <> 'high', m, tile) AS rank FROM x WHERE m <= 1500) SELECT pid, rank, tile, tier, round(m, 3) AS distance_m FROM r WHERE rank <= 8")
 def q_nearby(spark, d):
     points = G.osm(spark, d).select(F.col("osm_id").alias("pid"), "lat", "lon")
     return lookup.nearby(points, G.det(spark, d).select(F.col("ord").alias("tile"), "tier", "lat", "lon")).withColumn("distance_m", F.round("distance_m", 3))

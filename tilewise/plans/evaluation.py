@@ -217,7 +217,7 @@ def q_centroid_shift(spark, d):
     return rows.select("label", F.round("cosine", 6).alias("cosine"), F.round("euclidean", 6).alias("euclidean"), scoring.shift_verdict(F.col("cosine"), F.lit(0.05)).alias("verdict"))
 
 
-@query("""WITH s AS (SELECT vec_id, embedding, label = 0 AS a FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings WHERE label IN (0, 1)) WHERE rn <= 40),
+@query("""WITH s AS (SELECT vec_id, embedding, label = 0 AS a FROM embeddings WHERE label IN (0, 1)),
 p AS (SELECT x.a AS ax, y.a AS ay, list_sum(list_transform(range(1, 65), lambda i: pow(x.embedding[i]::DOUBLE - y.embedding[i]::DOUBLE, 2))) AS d2 FROM s x JOIN s y ON x.vec_id < y.vec_id), m AS (SELECT quantile_cont(d2, 0.5) AS med FROM p WHERE d2 > 0), k AS (SELECT ax, ay, exp(-d2 / med) AS k FROM p, m)
 SELECT round(avg(k) FILTER (ax AND ay) + avg(k) FILTER (NOT ax AND NOT ay) - 2 * avg(k) FILTER (ax <> ay), 6) AS mmd2 FROM k""")
 def q_mmd(spark, d):
@@ -252,7 +252,7 @@ def q_platt_fit(spark, d):
     return model.platt_fit(G.scores(spark, d).withColumn("z", F.col("score")))
 
 
-@query("WITH g AS (SELECT source AS src, text FROM documents), b AS (SELECT DISTINCT lower(substr(text, 1, 20)) AS k FROM benchmark) SELECT src, count(*) AS n FROM g WHERE lower(substr(text, 1, 20)) NOT IN (SELECT k FROM b) GROUP BY src")
+@query("SELECT source AS src, count(*) AS n FROM documents d WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE lower(b.text) = lower(d.text)) GROUP BY source")
 def q_holdout_antijoin(spark, d):
     """Documents whose whole text is no benchmark text, by source."""
     k = F.sha2(F.lower("text"), 256).alias("k")

@@ -31,7 +31,7 @@ def q_hero_strip(spark, d):
     return G.det(spark, d).agg(F.count_if(high).alias("tiles"), F.round(kwp, 4).alias("kwp"), F.count_distinct(F.when(high, F.col("user_id") % 25)).alias("areas"), F.max("score").alias("best"))
 
 
-@query(f"WITH {G.DET} SELECT ord, printf('%.1f', score * 40e0) || ' kWp' AS label, CASE WHEN score * 40e0 >= 38 THEN 'large' WHEN score * 40e0 >= 32 THEN 'medium' ELSE 'small' END AS size FROM det WHERE (ord * 31) % 5 = 0")
+@query(f"WITH {G.DET} SELECT ord, round((score * 40e0)::DECIMAL(28,6), 1)::DECIMAL(28,1)::VARCHAR || ' kWp' AS label, CASE WHEN score * 40e0 >= 38 THEN 'large' WHEN score * 40e0 >= 32 THEN 'medium' ELSE 'small' END AS size FROM det")
 def q_capacity_labels(spark, d):
     kwp = F.col("score") * 40.0
     shown = F.round(kwp.cast("decimal(28,6)"), 1).cast("string")
@@ -110,7 +110,7 @@ def q_key_join(spark, d):
     return G.log(spark, d).select("tile_id").distinct().join(o, "tile_id")
 
 
-@query(f"WITH {G.OSM}, c AS (SELECT s_suppkey AS case_id, 1440e-2 + ((s_suppkey * 6007) % 38000) / 100000e0 AS lat, 12092e-2 + ((s_suppkey * 7001) % 21000) / 100000e0 AS lon FROM supplier WHERE s_suppkey < 12), x AS (SELECT o.osm_id AS pid, c.case_id, {G.haversine('o', 'c')} AS m FROM osm o, c WHERE o.osm_id % 7 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY m, case_id) AS rank FROM x) SELECT pid, case_id, rank, round(m, 3) AS distance_m FROM r WHERE rank <= 3")
+@query(f"WITH {G.OSM}, c AS (SELECT s_suppkey AS case_id, 1440e-2 + ((s_suppkey * 6007) % 38000) / 100000e0 AS lat, 12092e-2 + ((s_suppkey * 7001) % 21000) / 100000e0 AS lon FROM supplier), x AS (SELECT o.osm_id AS pid, c.case_id, {G.haversine('o', 'c')} AS m FROM osm o, c), r AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY m, case_id) AS rank FROM x) SELECT pid, case_id, rank, round(m, 3) AS distance_m FROM r WHERE rank <= 3")
 def q_nearest_cases(spark, d):
     """The three nearest of all case studies to each map tag."""
     cases = G.table(spark, d, "supplier").select(F.col("s_suppkey").alias("case_id"), *G._place("s_suppkey", 6007, 7001))
