@@ -129,3 +129,7 @@ def hsv(r, g, b) -> tuple[Column, Column, Column]:
     d = top - low
     hue = F.when(d == 0, 0.0).when(top == r, F.pmod((g - b) / d, F.lit(6.0))).when(top == g, (b - r) / d + 2).otherwise((r - g) / d + 4) * 60
     return hue, F.when(top > 0, d / top).otherwise(0.0), top
+
+
+def size_word(kwp: Column) -> Column:
+    return F.when(kwp >= 500, "utility").when(kwp >= 100, "large").when(kwp >= 30, "medium").otherwise("small")

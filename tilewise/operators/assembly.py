@@ -150,3 +150,43 @@ def partial_choice(rows: DataFrame, key: str, ord_col: str, fields: list[str]) -
 def quarter_manifest(old: DataFrame, new: DataFrame) -> DataFrame:
     """A manifest's quarters with new ones put in, sorted, each once."""
     return old.unionByName(new).groupBy("name").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("quarters")))).alias("quarters"))
+
+
+def placed(elements: DataFrame) -> DataFrame:
+    """elements (lat, lon, center) with lat and lon from the centre where they are missing or 0; those without a place go."""
+    at = lambda c: F.coalesce(F.nullif(F.col(c), F.lit(0.0)), F.col(f"center.{c}"))
+    return elements.withColumns({"lat": at("lat"), "lon": at("lon")}).where("lat is not null and lon is not null").drop("center")
+
+
+def smallest_relation(points: DataFrame, name: str = "name", relation: str = "relation") -> DataFrame:
+    """Per name the relation whose points (lat, lon) have the smallest box in square degrees, ties to the smaller id: name, relation, area."""
+    box = points.groupBy(name, relation).agg(((F.max("lat") - F.min("lat")) * (F.max("lon") - F.min("lon"))).alias("area"))
+    return box.groupBy(name).agg(F.min(F.struct("area", relation)).alias("b")).select(name, f"b.{relation}", "b.area")
+
+
+def holdout_rows(rows: DataFrame, wanted: DataFrame, key: str, row: str) -> DataFrame:
+    """key, row of the wanted keys that are among rows; of rows that repeat a key the last."""
+    return rows.join(wanted.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.max(row).alias(row))
+
+
+def with_geometry(cities: DataFrame, polygons: DataFrame, code: str) -> tuple[DataFrame, DataFrame]:
+    """(cities with their polygon's geometry, codes of the cities that are skipped: no polygon, or one without geometry); of polygons that repeat a code the last by ord."""
+    last = polygons.where(F.col(code).isNotNull()).groupBy(code).agg(F.max_by("geometry", "ord").alias("geometry"))
+    have = last.where("geometry is not null")
+    return cities.join(have, code), cities.select(code).join(have.select(code), code, "left_anti")
+
+
+def first_raster(cells: DataFrame, rasters: DataFrame, key: str) -> DataFrame:
+    """key, raster of each cell (key, lat, lon): the first (by ord) of rasters (raster, ord, south, west, north, east) that covers it; cells outside all go.
+
+    Rasters are squares of whole degrees, so they are met by degree and not by comparing all pairs.
+    """
+    cover = rasters.withColumn("_y", F.explode(F.sequence(F.floor("south"), F.floor("north")))).withColumn("_x", F.explode(F.sequence(F.floor("west"), F.floor("east"))))
+    met = cells.withColumns({"_y": F.floor("lat"), "_x": F.floor("lon")}).join(cover, ["_y", "_x"]).where("lat between south and north and lon between west and east")
+    return met.groupBy(key).agg(F.min_by("raster", "ord").alias("raster"))
+
+
+def top_up(n_have: int, least: int = 200, copies: int = 4) -> tuple[int, int]:
+    """(negatives to add so that there are at least so many, rows they make with their augmented copies)."""
+    more = max(0, least - n_have)
+    return more, more * (copies + 1)

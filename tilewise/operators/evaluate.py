@@ -116,3 +116,22 @@ def audit(results: DataFrame, expected: DataFrame, limit: float) -> DataFrame:
     rows = expected.groupBy("grp").agg(F.count("*").alias("expected")).join(got, "grp", "left").na.fill(0)
     rows = rows.withColumns({"missing": F.col("expected") - F.col("judged"), "fp_share": ratio(F.col("fp"), F.col("judged"))})
     return rows.withColumn("decision", F.when(F.col("fp_share") >= limit, "rollback").otherwise("keep"))
+
+
+def operating_points(scores: DataFrame, fixed: float = 0.85) -> DataFrame:
+    """point, threshold, tp, fp, fn, tn, precision, recall, f1: what a head may be run at; a point that no threshold meets has no row.
+
+    high_precision: the lowest distinct score with a precision of 0.90 and a recall of 0.50 or more; target: the lowest
+    step of the sweep with 0.99 and 0.50; deployed: the fixed threshold.
+    """
+    first = lambda rows, name, p: _prf(rows).where((F.col("precision") >= p) & (F.col("recall") >= 0.5)).orderBy("threshold").limit(1).withColumn("point", F.lit(name))
+    steps = sweep(scores).drop("precision", "recall", "f1")
+    rows = first(by_score(scores).drop("pos", "neg"), "high_precision", 0.9).unionByName(first(steps, "target", 0.99))
+    return rows.unionByName(prf_at(scores, fixed).withColumns({"threshold": F.lit(fixed), "point": F.lit("deployed")}))
+
+
+def worst(rows: DataFrame, key: str, n: int = 15) -> DataFrame:
+    """The n negatives with the highest scores and the n positives with the lowest: y, key, score, rank; ties to the smaller key."""
+    parts = [rows.where(F.col("y") == y).select("y", key, "score").orderBy(order, key).limit(n) for y, order in ((0, F.desc("score")), (1, F.asc("score")))]
+    w = Window.partitionBy("y").orderBy(F.when(F.col("y") == 0, -F.col("score")).otherwise(F.col("score")), key)  # over 2n rows
+    return parts[0].unionByName(parts[1]).withColumn("rank", F.row_number().over(w))

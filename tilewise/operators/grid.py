@@ -50,3 +50,8 @@ def raster_tiles(spark: SparkSession, bbox) -> DataFrame:
     corner = lambda a, b: list(range(math.floor(a / 3) * 3, math.ceil(b / 3) * 3, 3))
     rows = [(float(y), float(x)) for y in corner(s, n) for x in corner(w, e)]
     return spark.createDataFrame(rows, "lat double, lon double").select(geo.raster_tile(F.col("lat"), F.col("lon")).alias("raster_tile"))
+
+
+def first_cells(cells: DataFrame, n: int) -> DataFrame:
+    """The first n cells of a grid, row by row from the south-west."""
+    return cells.orderBy("iy", "ix").limit(n)

@@ -119,3 +119,9 @@ def largest_parts(parts: DataFrame, low: int, high: int, top: int) -> DataFrame:
     """Parts with more than low and fewer than high pixels: size and centre of the largest."""
     rows = parts.groupBy("part_py", "part_px").agg(F.count("*").alias("pixels"), F.avg("py").alias("cy"), F.avg("px").alias("cx")).where((F.col("pixels") > low) & (F.col("pixels") < high))
     return rows.orderBy(F.desc("pixels"), "part_py", "part_px").limit(top)
+
+
+def fingerprint(pixels: DataFrame, keys: list[str], nir: float = -250.0, swir: float = -250.0) -> DataFrame:
+    """keys of the built-up pixels (keys, band, delta, built) whose nir and swir both fell by more than that; one band alone says little."""
+    wide = pixels.where("built").groupBy(*keys).agg(*[F.max(F.when(F.col("band") == b, F.col("delta"))).alias(b) for b in ("nir", "swir")])
+    return wide.where((F.col("nir") < nir) & (F.col("swir") < swir))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tilewise import config as C
 from tilewise.functions import scoring
 
+from .shared import numbered
 from .spatial import contains_join, range_join
 
 #: Exact sums: measures are added as decimals, in any order.
@@ -105,3 +106,28 @@ def retier(det: DataFrame, calibrated: DataFrame, tier_of) -> DataFrame:
     rows = det.join(calibrated.select("tile_id", "score_calibrated"), "tile_id", "left")
     has = F.col("score_calibrated").isNotNull()
     return rows.withColumn("tier", F.when(has, tier_of(F.col("score_calibrated"))).otherwise(F.col("tier"))).withColumn("calibrated", has)
+
+
+def city_report(det: DataFrame, city: str = "city") -> DataFrame:
+    """city, n_high, n_candidate, n_new_high, sum_kwp_high, place: as first published, before tags and buildings are joined.
+
+    Until then each high detection counts as new and no capacity is known; places go by n_high, then by name.
+    """
+    rows = city_counts(det, city).withColumns({"n_new_high": F.col("n_high"), "sum_kwp_high": F.lit(0.0)})
+    return numbered(rows, [F.desc("n_high"), F.col(city)], "place")
+
+
+def top_capacity(rows: DataFrame, name: str, kwp: str, n: int = 15) -> DataFrame:
+    """The first n rows with capacity, in order of capacity, then of name."""
+    return rows.where(F.col(kwp) > 0).orderBy(F.desc(kwp), name).limit(n)
+
+
+def capacity_summary(buildings: DataFrame, kwp: str = "kwp") -> DataFrame:
+    return buildings.agg(F.count("*").alias("n"), F.coalesce(exact_sum(F.col(kwp)), F.lit(0.0)).alias("sum_kwp"), F.max(kwp).alias("max_kwp"))
+
+
+def building_status(buildings: DataFrame, tiles: DataFrame, cut: float = C.HIGH) -> DataFrame:
+    """osm_id, status of buildings (osm_id, tile_score, tile_ids): candidate below the cut, else confirmed if one of its tiles is (tiles: tile_id, confirmed), else new."""
+    of = buildings.select("osm_id", "tile_score", F.explode_outer("tile_ids").alias("tile_id")).join(tiles.groupBy("tile_id").agg(F.bool_or("confirmed").alias("confirmed")), "tile_id", "left")
+    rows = of.groupBy("osm_id").agg(F.min("tile_score").alias("s"), F.coalesce(F.bool_or("confirmed"), F.lit(False)).alias("c"))
+    return rows.select("osm_id", F.when(F.col("s") < cut, "candidate").when(F.col("c"), "confirmed").otherwise("new").alias("status"))

@@ -1,6 +1,6 @@
 """All queries of the domain, and their SQL."""
 
-from . import assembly, detection, evaluation, site
+from . import assembly, detection, evaluation, reports, site
 
-QUERIES = detection.QUERIES | evaluation.QUERIES | assembly.QUERIES | site.QUERIES
-SQL = detection.SQL | evaluation.SQL | assembly.SQL | site.SQL
+QUERIES = detection.QUERIES | evaluation.QUERIES | assembly.QUERIES | site.QUERIES | reports.QUERIES
+SQL = detection.SQL | evaluation.SQL | assembly.SQL | site.SQL | reports.SQL
