@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -66,3 +67,35 @@ def test_nulls_and_empty_table(spark):
     assert dedup_substrings(spark.createDataFrame([], SCHEMA)).count() == 0
     got = dedup_substrings(spark.createDataFrame([(None, None, "", ""), (1, "q" * 500, "", "")], SCHEMA)).collect()
     assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"]) for r in got) == [(0, 0, 0), (500, 500, 1)]
+
+
+def test_periodic_text_takes_bounded_memory():
+    data = np.frombuffer(b"ab" * 100_000 + b"a\0" * 1000 + b"abc" * 50_000, np.uint8)
+    tracemalloc.start()
+    order = suffix_array(data, 400)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    raw = data.tobytes()
+    assert sorted(order.tolist()) == list(range(len(data))) and peak < 120 * len(data)
+    some = [raw[i : i + 400] for i in order[::37]]
+    assert some == sorted(some)
+
+
+def test_planted_passages_around_the_length(spark):
+    # 52 words of 6 letters are 363 bytes and stay; 60 are 419 and go from all documents; all else is left alone
+    rng = random.Random(8)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    short, exact, long = words(52), words(58)[:400], words(60)
+    docs = {}
+    for i in range(40):
+        passage = (None, short, exact, long)[i % 4]
+        docs[i] = (words(80), passage, words(70))
+    # what stands beside a passage is another letter in each document
+    rows = [(i, f"{a}{chr(48 + i)}{p}{chr(48 + i)}{b}" if p else f"{a} {b}") for i, (a, p, b) in docs.items()]
+    got = {r["doc_id"]: r for r in dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), with_kept=True).collect()}
+    for i, (a, p, b) in docs.items():
+        text = dict(rows)[i]
+        if i % 4 < 2:
+            assert got[i]["n_removed"] == 0 and bytes(got[i]["kept"]) == text.encode()
+        else:
+            assert got[i]["n_removed"] == len(p) and got[i]["n_spans"] == 1 and bytes(got[i]["kept"]).decode() == text.replace(p, "")

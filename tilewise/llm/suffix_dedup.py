@@ -91,19 +91,21 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
         d = differs[at[inside]]
         smaller[: inside.sum()] = data[d] < data[d + 1]
     # stage one: by eight bytes at once, and where those are equal by the whole prefix
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    words = np.ndarray((n,), ">u8", padded.tobytes(), strides=(1,))
+    padded = np.concatenate([data, np.zeros(depth + 8, np.uint8)])
+    words = np.ndarray((n + depth,), ">u8", padded.tobytes(), strides=(1,))
     direct = np.flatnonzero(smaller)
-    key = words[direct].astype(_U)
-    order = np.argsort(key, kind="stable")
-    direct, key = direct[order], key[order]
-    if len(direct):
-        cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-        size, raw = np.diff(cuts), data.tobytes()
-        for lo, hi in zip(cuts[:-1][size > 1].tolist(), cuts[1:][size > 1].tolist(), strict=True):
-            tied = direct[lo:hi].tolist()
-            tied.sort(key=lambda i: raw[i : i + depth])
-            direct[lo:hi] = tied
+    group, live, at = np.zeros(len(direct), np.int64), np.arange(len(direct)), 0
+    # places that are tied so far, and eight bytes more of them in each pass: memory stays a few numbers a suffix, however periodic the text
+    while len(live) and at < depth + 8:
+        # last of all the end, which sorts before a zero
+        key = words[direct[live] + at].astype(_U) if at < depth else np.minimum(n - direct[live], depth).astype(_U)
+        order = np.lexsort((key, group[live]))
+        direct[live], key = direct[live][order], key[order]
+        g = group[live]
+        new = np.append(True, (g[1:] != g[:-1]) | (key[1:] != key[:-1]))
+        group[live] = live[np.flatnonzero(new)][np.cumsum(new) - 1]
+        live = live[~(new & np.append(new[1:], True))]
+        at += 8
     bounds = np.searchsorted(data[direct], np.arange(257))
     # stage two: the buckets in order; what a bucket holds puts the larger suffixes before it into theirs
     larger: list[list[np.ndarray]] = [[] for _ in range(256)]
