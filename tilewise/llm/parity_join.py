@@ -50,7 +50,7 @@ NEAREST, ROUNDS, FREQUENT = 4, 2, 32
 #: Most rows of 24 bytes that are broadcast to find the members of shared keys.
 SHARED_ROWS = 2_500_000
 #: Most bytes of sketches that are broadcast.
-SKETCH_BYTES = 32 << 20
+SKETCH_BYTES = 4 << 20
 #: Band edges grow by a half.
 EDGES = [1]
 while EDGES[-1] < 1 << 40:
