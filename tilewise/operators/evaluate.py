@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import running
+from .shared import numbered_within, running
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -78,20 +78,18 @@ def source_max(rows: DataFrame, source: str = "src") -> DataFrame:
 
 def folds(sources: DataFrame, k: int = 5) -> DataFrame:
     """Sources (src, y) of each class dealt to k folds in order."""
-    return sources.withColumn("fold", (F.row_number().over(Window.partitionBy("y").orderBy("src")) - 1) % k)
+    return numbered_within(sources, "y", [F.col("src")], "_rn", "_n").withColumn("fold", (F.col("_rn") - 1) % k).drop("_rn", "_n")
 
 
 def holdout(sources: DataFrame, share: float = 0.2, seed: int = 4242, at_least: int = 0) -> DataFrame:
     """Sources (src, y) of each class in the order of a hash; the first share of them is held out, if there are enough."""
-    w, every = Window.partitionBy("y").orderBy(F.xxhash64(F.lit(seed), "src"), "src"), Window.partitionBy("y")
-    n = F.count("*").over(every)
-    return sources.withColumns({"_rn": F.row_number().over(w), "_n": n}).withColumn("held_out", (F.col("_n") >= at_least) & (F.col("_rn") <= F.floor(F.col("_n") * share + 0.5))).drop("_rn", "_n")
+    rows = numbered_within(sources, "y", [F.xxhash64(F.lit(seed), "src"), F.col("src")], "_rn", "_n")
+    return rows.withColumn("held_out", (F.col("_n") >= at_least) & (F.col("_rn") <= F.floor(F.col("_n") * share + 0.5))).drop("_rn", "_n")
 
 
 def five_numbers(rows: DataFrame, group: str, x: str) -> DataFrame:
     """Minimum, nearest-rank quartiles (places 0, n/4, n/2, 3n/4) and maximum per group."""
-    w = Window.partitionBy(group).orderBy(x)
-    ranked = rows.select(group, x, (F.row_number().over(w) - 1).alias("_i"), F.count("*").over(Window.partitionBy(group)).alias("_n"))
+    ranked = numbered_within(rows.select(group, x), group, [F.col(x)], "_i", "_n").withColumn("_i", F.col("_i") - 1)
     at = lambda place: F.max(F.when(F.col("_i") == place, F.col(x)))
     n = F.col("_n")
     return ranked.groupBy(group).agg(F.min(x).alias("low"), at(F.floor(n / 4)).alias("q1"), at(F.floor(n / 2)).alias("median"), at(F.floor(n * 3 / 4)).alias("q3"), F.max(x).alias("high"), F.count("*").alias("n"))

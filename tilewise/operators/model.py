@@ -10,12 +10,12 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewise.functions import scoring
 
-from .shared import cut_lineage
+from .shared import cut_lineage, numbered_within
 
 
 def fit_head(rows: DataFrame, vector: str, y: str, c: float = 1.0):
@@ -75,12 +75,11 @@ def leave_one_out(rows: DataFrame, group: str, key: str, vector: str, y: str, th
 
 def cross_validated_auc(rows: DataFrame, key: str, vector: str, y: str, folds: int = 5) -> DataFrame:
     """Area under the ROC curve of out-of-fold scores; rows are dealt to folds in order within each class."""
-    w = Window.partitionBy(y).orderBy(F.xxhash64(F.lit(1202), key), key)
-    dealt = rows.withColumn("fold", (F.row_number().over(w) - 1) % folds).cache()
+    dealt = numbered_within(rows, y, [F.xxhash64(F.lit(1202), key), F.col(key)], "_rn", "_n").withColumn("fold", (F.col("_rn") - 1) % folds).drop("_rn", "_n")
+    dealt = cut_lineage(dealt)
     parts = [with_score(dealt.where(F.col("fold") == f), vector, *fit_head(dealt.where(F.col("fold") != f), vector, y)).select(F.col(y).alias("label"), "score") for f in range(folds)]
     out = reduce(DataFrame.unionByName, parts)
     auc = BinaryClassificationEvaluator(rawPredictionCol="score").evaluate(out)
-    dealt.unpersist()
     return rows.sparkSession.createDataFrame([(round(auc, 6), folds)], "auc double, folds int")
 
 

@@ -82,3 +82,10 @@ def running(df: DataFrame, order: list, sums: dict) -> DataFrame:
 def numbered(df: DataFrame, order: list, name: str = "row") -> DataFrame:
     """df with the place of each row, from 1, in a total order."""
     return running(df, order, {name: F.lit(1)}).withColumn(name, F.col(name).cast("long"))
+
+
+def numbered_within(df: DataFrame, group: str, order: list, name: str = "row", size: str = "size") -> DataFrame:
+    """df with the place of each row, from 1, in a total order within its group, and the group's size; of groups there are few, of any size."""
+    rows = numbered(df, [F.col(group), *order], "_at")
+    groups = sized(rows.groupBy(F.col(group).alias("_group")).agg((F.min("_at") - 1).alias("_before"), F.count("*").alias(size)))
+    return rows.join(groups, F.col(group).eqNullSafe(F.col("_group"))).withColumn(name, F.col("_at") - F.col("_before")).select(*df.columns, name, size)

@@ -46,31 +46,32 @@ def _neighbours(df: DataFrame, dy: float, dx: float) -> DataFrame:
     return df.withColumn("_cx", F.explode(F.sequence(_cell(F.col("lon"), dx) - 1, _cell(F.col("lon"), dx) + 1)))
 
 
-def range_join(left: DataFrame, right: DataFrame, metres: float, strict: bool = False, max_lat: float = 30.0) -> DataFrame:
+def range_join(left: DataFrame, right: DataFrame, metres: float, strict: bool = False, max_lat: float = 30.0, by: tuple[str, ...] = ()) -> DataFrame:
     """Pairs within so many metres; both sides have lat and lon, right's come out as r_lat and r_lon; adds distance_m.
 
-    max_lat: the largest latitude, north or south, of the data; cells are wide enough up to there.
+    max_lat: the largest latitude, north or south, of the data; cells are wide enough up to there. by: columns of both
+    sides that have to be equal.
     """
     dy = metres / C.METRES_PER_DEGREE * 1.01
     dx = dy / math.cos(math.radians(max_lat))
     other = _neighbours(right, dy, dx).withColumnsRenamed({"lat": "r_lat", "lon": "r_lon"})
-    pairs = left.withColumn("_cy", _cell(F.col("lat"), dy)).withColumn("_cx", _cell(F.col("lon"), dx)).join(other, ["_cy", "_cx"])
+    pairs = left.withColumn("_cy", _cell(F.col("lat"), dy)).withColumn("_cx", _cell(F.col("lon"), dx)).join(other, ["_cy", "_cx", *by])
     pairs = pairs.withColumn("distance_m", geo.haversine_m(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon")))
     return pairs.where(F.col("distance_m") < metres if strict else F.col("distance_m") <= metres).drop("_cy", "_cx")
 
 
-def nearest_within(left: DataFrame, right: DataFrame, key: str, r_key: str, metres: float) -> DataFrame:
+def nearest_within(left: DataFrame, right: DataFrame, key: str, r_key: str, metres: float, by: tuple[str, ...] = ()) -> DataFrame:
     """The nearest right row (ties: smaller r_key) of each left row that has one within so many metres."""
-    pairs = range_join(left, right, metres)
+    pairs = range_join(left, right, metres, by=by)
     return pairs.groupBy(key).agg(F.min(F.struct("distance_m", r_key)).alias("_best")).select(key, F.col(f"_best.{r_key}").alias(r_key), F.col("_best.distance_m").alias("distance_m"))
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, r_key: str, start_m: float = 500.0, growth: float = 4.0) -> DataFrame:
-    """The nearest right row of each left row, however far: the radius grows for those that are still without one."""
-    left, right = cut_lineage(left.select(key, "lat", "lon")), right.select(r_key, "lat", "lon")
+def nearest(left: DataFrame, right: DataFrame, key: str, r_key: str, start_m: float = 500.0, growth: float = 4.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """The nearest right row (with equal columns `by`) of each left row, however far: the radius grows for those that are still without one."""
+    left, right = cut_lineage(left.select(key, "lat", "lon", *by)), cut_lineage(right.select(r_key, "lat", "lon", *by))
     found, rest, metres = None, left, start_m
     while metres < 80_000_000:  # beyond half the globe all is one cell
-        got = cut_lineage(nearest_within(rest, right, key, r_key, metres))
+        got = cut_lineage(nearest_within(rest, right, key, r_key, metres, by))
         found = got if found is None else found.unionByName(got)
         rest = cut_lineage(rest.join(got.select(key), key, "left_anti"))
         if rest.isEmpty():
@@ -109,10 +110,8 @@ def exclude_near(left: DataFrame, right: DataFrame, key: str, metres: float) ->
 
 def nearest_same(left: DataFrame, right: DataFrame, group: str, key: str, r_key: str) -> DataFrame:
     """Each left row with the nearest right row of the same group: distance_m and r_key, null where the group has none."""
-    other = right.select(group, r_key, F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
-    pairs = left.join(other, group).withColumn("distance_m", geo.haversine_m(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon")))
-    best = pairs.groupBy(key).agg(F.min(F.struct("distance_m", r_key)).alias("_b")).select(key, f"_b.{r_key}", "_b.distance_m")
-    return left.join(best, key, "left")
+    some = left.join(right.select(group).distinct(), group, "left_semi")  # the others would look for one all over the globe
+    return left.join(nearest(some, right, key, r_key, by=(group,)), key, "left")
 
 
 def best_building(segments: DataFrame, buildings: DataFrame, cell: float = 0.002) -> DataFrame:
