@@ -142,6 +142,14 @@ def test_packing(docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_packing_sources_without_a_weight_come_last():
+    plan = packing.Schedule([300, 200, 0, 500], [3.0, 0.0, 1.0, 0.0])
+    assert [plan.served(q, 300)[1] for q in range(4)] == [300, 0, 0, 0]
+    assert [plan.served(q, 1000)[1] for q in range(4)] == [300, 200, 0, 500]
+    half = [plan.served(q, 650)[1] for q in range(4)]
+    assert half[0] == 300 and abs(half[1] - 100) <= 1 and abs(half[3] - 250) <= 1 and sum(half) == 650
+
+
 def test_language_id(docs, empty, spark):
     model = language_id.fit(docs.where("lang is not null"), min_count=2)
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(docs.select("doc_id", "text"), model).collect()}

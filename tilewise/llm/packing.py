@@ -15,7 +15,7 @@ Windows are cut freely, so all but the last are full; what is left after the las
 lengths are powers of two. No token is padding.
 
 Defined results: a null or empty text is a document of one token (the end id); the null source is a queue of its own;
-null ids are carried; rows that repeat are packed as often as they occur; an empty table gives an empty one; very long
+null ids are carried; sources without a weight come last; rows that repeat are packed as often as they occur; an empty table gives an empty one; very long
 texts are cut like others; columns other than id, text and source are not read.
 """
 
@@ -134,11 +134,14 @@ class Schedule:
     def __init__(self, sizes: list[int], weights: list[float] | None):
         w = [Fraction(x) for x in (weights or sizes)]
         self.total, self.sizes = sum(sizes), sizes
-        had, at, live = [Fraction(0)] * len(sizes), Fraction(0), [i for i, s in enumerate(sizes) if s and w[i]]
-        if any(s and not w[i] for i, s in enumerate(sizes)):
-            raise ValueError("a source with tokens has the weight 0")
+        had, at = [Fraction(0)] * len(sizes), Fraction(0)
+        later = [i for i, s in enumerate(sizes) if s and w[i] <= 0]
+        live = [i for i, s in enumerate(sizes) if s and w[i] > 0]
+        for i in later:
+            w[i] = Fraction(sizes[i])
         self.phases: list[tuple[Fraction, int, list[int], list[int]]] = []
-        while live:
+        while live or later:
+            live, later = (live, later) if live else (later, [])
             whole = sum(w[i] for i in live)
             share = [w[i] / whole if i in live else Fraction(0) for i in range(len(sizes))]
             until = min((sizes[i] - had[i]) / share[i] for i in live)
@@ -214,7 +217,8 @@ def cut(batch: dict, plan: Schedule, length: int) -> dict:
 def pack(docs: DataFrame, tokenizer: str, weights: dict | None = None, length: int = LENGTH, text: str = "text", source: str = "source", id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """PIECES of all documents (with_ids: and each piece's ids as 16-bit binary).
 
-    weights: the target proportion of each source; without them the proportions are those of the sources' tokens, so that
+    weights: the target proportion of each source; sources that they don't name, or with none above 0, come when the others
+    have run dry, in proportion to their tokens; without weights the proportions are those of the sources' tokens, so that
     all queues end together and every window has the mixture of the whole.
     """
     rows = tokenised(docs, tokenizer, text, source, id_col)
