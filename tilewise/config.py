@@ -9,6 +9,7 @@ METRES_PER_DEGREE, METRES_PER_DEGREE_SITE = 111_320.0, 111_000.0
 CONFIRMED_M, HALO_M, LABEL_M, SNAP_M, EXCLUDE_M, SNAP_BOX = 200.0, 300.0, 500.0, 170.0, 240.0, 0.003
 KWP_PER_M2, KWP_PER_M2_BUILDING = 0.15, 1 / 6
 SATURATED, GROWING = (8, 300.0), (3, 50.0)
+# Weights of the composite
 WEIGHTS = {"nir": -0.40, "swir": -0.30, "lst": -0.20, "nightlight": 0.10}
 BUILT_UP_CLASS, BUILT_UP_KEEP = 50, 0.05
 CLOUD_CLASSES, CLOUD_BITS = (1, 3, 8, 9, 10), (3, 4)
@@ -19,4 +20,5 @@ COMMERCIAL = ("commercial", "industrial", "warehouse", "supermarket", "retail",
 PRIVATE_KEYS = ("is_residential", "building_osm_id", "address", "addr:street", "addr:housenumber", "owner", "owner_name", "occupant")
 Z_BOUND = 5.0
 PANEL_BRIGHTNESS, PANEL_BLUE = (25, 140), (-25, 60)
+# Usual use of a household by its size
 USUAL_KWH = {1: (80, 180), 2: (120, 280), 3: (180, 380), 4: (240, 480), 5: (300, 580), 6: (380, 700)}

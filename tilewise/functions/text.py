@@ -17,6 +17,7 @@ def first_number(text, pattern: str) -> Column:
     return F.regexp_replace(F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")), ",", "").try_cast("double")
 
 
+# Patterns of published figures
 INSTALLATIONS = r"(?i)(\d{1,3}(?:[,]\d{3})*|\d+)\s*(?:net[- ]metering)?\s*installations?"
 MEGAWATTS = r"(?i)(\d{1,4}(?:\.\d+)?)\s*(?:MW|megawatts?)"
 
