@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewise.functions import geo, text
@@ -31,14 +31,23 @@ def nearby(points: DataFrame, tiles: DataFrame, metres: float = 1500.0, k: int =
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("pid", "rank", "tile", "tier", "distance_m")
 
 
+def _grams(c: str) -> Column:
+    """The distinct substrings of one to three letters."""
+    of = lambda k: F.expr(f"CASE WHEN length({c}) >= {k} THEN transform(sequence(1, length({c}) - {k} + 1), i -> substring({c}, i, {k})) ELSE array() END")
+    return F.array_distinct(F.concat(of(1), of(2), of(3)))
+
+
 def match_names(asked: DataFrame, names: DataFrame) -> DataFrame:
     """Each asked name (q) with a known one (name, ord): equal, else a prefix, else contained either way; ties by ord.
 
-    Names are compared by their letters and digits. Known names are a gazetteer, sent to every task.
+    Names are compared by their letters and digits; a name without any matches nothing. What is contained begins with up
+    to three letters that the other holds somewhere, so candidates are met by those.
     """
     a, b = asked.withColumn("_q", text.name_key(F.col("q"))), names.withColumn("_n", text.name_key(F.col("name")))
     kind = F.when(F.col("_n") == F.col("_q"), 0).when(F.col("_n").startswith(F.col("_q")), 1).when(F.col("_n").contains(F.col("_q")) | F.col("_q").contains(F.col("_n")), 2)
-    pairs = a.join(b, F.col("_n").contains(F.col("_q")) | F.col("_q").contains(F.col("_n"))).withColumn("kind", kind)
+    inside_q = a.withColumn("_g", F.explode(_grams("_q"))).join(b.withColumn("_g", F.substring("_n", 1, 3)), "_g").where(F.col("_q").contains(F.col("_n")))
+    inside_n = a.withColumn("_g", F.substring("_q", 1, 3)).join(b.withColumn("_g", F.explode(_grams("_n"))), "_g").where(F.col("_n").contains(F.col("_q")))
+    pairs = inside_q.unionByName(inside_n).withColumn("kind", kind)
     return first_per(pairs, ["q"], [F.col("kind"), F.col("ord")]).select("q", "name", "kind")
 
 

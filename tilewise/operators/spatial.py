@@ -25,13 +25,15 @@ def _cell(x: Column, size: float) -> Column:
 
 def contains_join(points: DataFrame, polygons: DataFrame, holes: str = "exclude", cell: float = 0.02) -> DataFrame:
     """points (lon, lat, ...) with each polygon (polygons: array, ...) that holds them; inner, one row per match."""
-    box = geo.bbox_of(F.col("polygons"))
-    cells = polygons.withColumn("_box", box).withColumn("_cy", F.explode(F.sequence(_cell(F.col("_box.south"), cell), _cell(F.col("_box.north"), cell))))
+    polygons = cut_lineage(polygons.withColumns({"_box": geo.bbox_of(F.col("polygons")), "_pid": F.monotonically_increasing_id()}))
+    # cells carry a number and a box; what is in the box then meets the rings
+    cells = polygons.select("_pid", "_box").withColumn("_cy", F.explode(F.sequence(_cell(F.col("_box.south"), cell), _cell(F.col("_box.north"), cell))))
     cells = cells.withColumn("_cx", F.explode(F.sequence(_cell(F.col("_box.west"), cell), _cell(F.col("_box.east"), cell))))
     placed = points.withColumn("_cy", _cell(F.col("lat"), cell)).withColumn("_cx", _cell(F.col("lon"), cell))
     near = placed.join(cells, ["_cy", "_cx"])
     inside = F.col("lon").between(F.col("_box.west"), F.col("_box.east")) & F.col("lat").between(F.col("_box.south"), F.col("_box.north"))
-    return near.where(inside).where(geo.in_polygons(F.col("lon"), F.col("lat"), F.col("polygons"), holes)).drop("_cy", "_cx", "_box", "polygons")
+    met = near.where(inside).drop("_cy", "_cx", "_box").join(polygons.drop("_box"), "_pid")
+    return met.where(geo.in_polygons(F.col("lon"), F.col("lat"), F.col("polygons"), holes)).drop("_pid", "polygons")
 
 
 def first_containing(points: DataFrame, polygons: DataFrame, key: str, ord_col: str, name: str, holes: str = "exclude", default: str | None = None) -> DataFrame:

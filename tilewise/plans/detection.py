@@ -367,11 +367,14 @@ def q_verdict_class(spark, d):
     return G.table(spark, d, "conversations").select("conv_id", "turn", text.verdict_class(t).alias("verdict"))
 
 
-@query("""WITH t AS (SELECT page_id, 'In all ' || (page_id * 37) || ',456 installations and ' || (page_id % 90) || '.5 MW of power' AS t FROM pages) SELECT page_id, replace(nullif(regexp_extract(t, '(?i)(\\d{1,3}(?:[,]\\d{3})*|\\d+)\\s*(?:net[- ]metering)?\\s*installations?', 1), ''), ',', '')::DOUBLE AS installations, nullif(regexp_extract(t, '(?i)(\\d{1,4}(?:\\.\\d+)?)\\s*(?:MW|megawatts?)', 1), '')::DOUBLE AS megawatts FROM t""")
+@query(r"""WITH h AS (SELECT page_id, html || '<script>1 installations</script><p>In all <b>' || (page_id * 37) || ',456</b> installations and ' || (page_id % 90) || '.5 MW of power</p>' AS h FROM pages),
+t AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(h, '(?is)<script\b.*?</script>|<style\b.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM h)
+SELECT page_id, replace(nullif(regexp_extract(t, '(?i)(\d{1,3}(?:[,]\d{3})*|\d+)\s*(?:net[- ]metering)?\s*installations?', 1), ''), ',', '')::DOUBLE AS installations, nullif(regexp_extract(t, '(?i)(\d{1,4}(?:\.\d+)?)\s*(?:MW|megawatts?)', 1), '')::DOUBLE AS megawatts, length(t) AS n_chars FROM t""")
 def q_scrape_numbers(spark, d):
-    html = F.concat(F.lit("<script>1 installations</script><p>In all <b>"), (F.col("page_id") * 37).cast("string"), F.lit(",456</b> installations and "), (F.col("page_id") % 90).cast("string"), F.lit(".5 MW of power</p>"))
-    t = text.plain_text(html)
-    return G.table(spark, d, "pages").select("page_id", text.first_number(t, text.INSTALLATIONS).alias("installations"), text.first_number(t, text.MEGAWATTS).alias("megawatts"))
+    """The figures in whole pages, each with a sentence of its own at the end."""
+    html = F.concat("html", F.lit("<script>1 installations</script><p>In all <b>"), (F.col("page_id") * 37).cast("string"), F.lit(",456</b> installations and "), (F.col("page_id") % 90).cast("string"), F.lit(".5 MW of power</p>"))
+    rows = G.table(spark, d, "pages").select("page_id", text.plain_text(html).alias("t"))
+    return rows.select("page_id", text.first_number(F.col("t"), text.INSTALLATIONS).alias("installations"), text.first_number(F.col("t"), text.MEGAWATTS).alias("megawatts"), F.length("t").cast("long").alias("n_chars"))
 
 
 @query("""WITH n AS (SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN 'Santa ' || p_name WHEN 1 THEN 'Sto. ' || p_name WHEN 2 THEN p_name || ' City' ELSE p_name END AS name FROM part)
