@@ -61,3 +61,20 @@ def test_each_stage_against_brute_force(spark, sf_dir):
 def test_run_is_the_stages(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir)
     assert {"doc_id", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(rows.columns) and rows.count() > 100
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, _row string, node long, component_id long, copies int, text_key long"
+
+
+def test_run_on_empty_null_and_clashing_tables(spark, tmp_path):
+    words = "the river runs over stones and under the old bridge to the quiet sea".split()
+    text = lambda i: " ".join(words[(i * 7 + j * (i + 3)) % len(words)] + "abcdefgh"[(i + j) % 8] for j in range(40))
+    some = [(i, text(i), "en", f"s{i % 3}", 1, "r", 2, 3, 4, 5) for i in range(12)]
+    some += [(100, None, None, None, None, None, None, None, None, None), (None, None, None, "s0", None, None, None, None, None, None), (101, "", "en", "s1", 0, "", 0, 0, 0, 0), (102, text(1), "en", None, 1, "r", 2, 3, 4, 5), (103, text(1), "en", None, 1, "r", 2, 3, 4, 5)]
+    for name, rows in (("empty", []), ("null", some[12:14]), ("clash", some)):
+        spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        if name != "clash":
+            assert got == []
+        else:  # copies of one text are one document; what has no letters goes
+            assert {r["doc_id"] for r in got} <= {*range(12), 103} - {1} and {r["doc_id"] for r in got} & set(range(12))
