@@ -74,7 +74,7 @@ def test_groups_and_chains(spark, k, num, den):
 @pytest.mark.parametrize("nearest", [1, 4])
 def test_near_groups_in_chunks_and_rounds(spark, monkeypatch, nearest):
     # many texts around the threshold under the same keys, in chunks of a few: some pairs are left to the last round
-    for name, value in (("CHUNK", 7), ("SET_CHUNK", 5), ("NEAREST", nearest), ("ROUNDS", 1), ("FREQUENT", 4)):
+    for name, value in (("CHUNK", 7), ("SET_CHUNK", 5), ("NEAREST", nearest), ("ROUNDS", 1), ("FREQUENT", 4), ("SHARED_AT_ONCE", 300)):
         monkeypatch.setattr(parity_join, name, value)
     rng, rows = random.Random(17), []
     for g in range(3):

@@ -29,6 +29,7 @@ ones among k collide with probability k^2 / 2^65.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -47,8 +48,8 @@ SKETCH, CHUNK, SET_CHUNK, SET_ELEMENTS = 512, 4000, 500, 1 << 20
 #: Open classes that a class gives under a key; rounds over sketches before the one over whole sets; classes of a key from
 #: which its members may leave it aside.
 NEAREST, ROUNDS, FREQUENT = 4, 2, 32
-#: Most rows of 24 bytes that are broadcast to find the members of shared keys.
-SHARED_ROWS = 2_500_000
+#: Most rows of 24 bytes that are broadcast to find the members of shared keys, and at once: more go part after part.
+SHARED_ROWS, SHARED_AT_ONCE = 2_500_000, 1_000_000
 #: Most bytes of sketches that are broadcast.
 SKETCH_BYTES = 4 << 20
 #: Band edges grow by a half.
@@ -344,6 +345,17 @@ def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
 
 
+def _members(keyed: DataFrame, shared: DataFrame) -> DataFrame:
+    """(key, node, lo, hi) of keyed (key, node) for the keys in shared (key, lo, hi), each once."""
+    n = shared.count()
+    if n > SHARED_ROWS:
+        return stored(keyed.join(shared, "key").distinct(), "members")
+    parts = max(1, -(-n // SHARED_AT_ONCE))
+    of = lambda rows, i: rows.where(F.pmod(F.shiftright("key", 20), F.lit(parts)) == i)
+    found = [stored(of(keyed, i).join(F.broadcast(of(shared, i)), "key").distinct(), "members") for i in range(parts)]
+    return reduce(DataFrame.unionAll, found)
+
+
 def _infrequent(members: DataFrame, num: int, den: int) -> DataFrame:
     """(key, node) of members (key, node, n), without the most frequent keys of each class and band, as many as are spare."""
     spare = F.array(*[F.lit(band_shape(band, num, den)[2]) for band in range(min(len(EDGES) - 1, 1 << BAND_BITS))])
@@ -361,7 +373,7 @@ def near_components(docs: DataFrame, words: int = WORDS, threshold: tuple[int, i
     keyed = rows.where("node is not null and doc_id is not null").select("node", F.explode("keys").alias("key"))
     # keys under which there is more than one class; copies of one class are summed up before the shuffle
     shared = stored(keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi"), "shared-keys")
-    members = stored(keyed.join(sized(shared, SHARED_ROWS), "key").distinct(), "members")
+    members = _members(keyed, shared)
     whole, rows = rows, stored(rows.drop("keys"), "classes-of-rows")
     discard(whole)  # the keys have done their work
     near = members.select(F.explode(F.array(F.struct(F.least("node", "lo").alias("a"), F.greatest("node", "lo").alias("b")), F.struct(F.least("node", "hi").alias("a"), F.greatest("node", "hi").alias("b")))).alias("p")).select("p.*").where("a < b")
