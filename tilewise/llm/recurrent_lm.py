@@ -143,11 +143,17 @@ class Model:
         ends = np.cumsum(np.bincount(cls))
         return order, [(c, int(hi - k), int(hi)) for c, (hi, k) in enumerate(zip(ends, np.diff(ends, prepend=0), strict=True)) if k]
 
+    def _small(self, weights: str, bias: str) -> bool:
+        """Whether no sum of exponentials can leave the range of a float: states lie between -1 and 1, so the weights bound them."""
+        spread = np.abs(self.p[weights]).sum(0 if weights == "Wc" else 2)
+        return (spread + self.p[bias]).max() < 60 and (self.p[bias].max(-1) - spread.max()).min() > -60
+
     def output(self, h: np.ndarray, cls: np.ndarray, item: np.ndarray) -> np.ndarray:
         """log P(class) + log P(item | class) for each state."""
         logits = h @ self.p["Wc"]
         logits += self.p["bc"]
-        logits -= logits.max(1, keepdims=True)
+        if not self._small("Wc", "bc"):
+            logits -= logits.max(1, keepdims=True)
         out = logits[np.arange(len(h)), cls]
         out -= np.log(np.exp(logits, out=logits).sum(1))
         order, parts = self._by_class(cls)
@@ -155,7 +161,8 @@ class Model:
         for c, lo, hi in parts:
             np.matmul(states[lo:hi], self.p["Wi"][c].T, out=within[lo:hi])
             within[lo:hi] += self.p["bi"][c]
-        within -= within.max(1, keepdims=True)
+        if not self._small("Wi", "bi"):
+            within -= within.max(1, keepdims=True)
         inside = within[np.arange(len(h)), item[order]]
         inside -= np.log(np.exp(within, out=within).sum(1))
         out[order] += inside
@@ -215,7 +222,8 @@ class Model:
         scale = out.dtype.type(1 / many)
         soft = out @ p["Wc"]
         soft += p["bc"]
-        soft -= soft.max(1, keepdims=True)
+        if not self._small("Wc", "bc"):
+            soft -= soft.max(1, keepdims=True)
         np.exp(soft, out=soft)
         soft /= soft.sum(1, keepdims=True)
         loss = -float(np.log(soft[rows, c] + 1e-12).sum())
@@ -229,7 +237,8 @@ class Model:
         for k, lo, hi in parts:
             np.matmul(states[lo:hi], p["Wi"][k].T, out=inner[lo:hi])
             inner[lo:hi] += p["bi"][k]
-        inner -= inner.max(1, keepdims=True)
+        if not self._small("Wi", "bi"):
+            inner -= inner.max(1, keepdims=True)
         np.exp(inner, out=inner)
         inner /= inner.sum(1, keepdims=True)
         loss -= float(np.log(inner[rows, i[order]] + 1e-12).sum())
