@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, language_id, mixing, packing, parity_join, recurrent_lm, suffix_dedup, vp_search, warc
+from . import exact_dedup, filter_audit, hard_negatives, html_text, language_id, mixing, packing, parity_join, recurrent_lm, suffix_dedup, token_files, vp_search, warc
 
 QUERIES = {
     "op1_vp_search": vp_search.op1,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_language_id": language_id.op8,
     "op9_warc": warc.op9,
     "op10_recurrent_lm": recurrent_lm.op10,
+    "op11_token_files": token_files.op11,
+    "op12_filter_audit": filter_audit.op12,
+    "op13_hard_negatives": hard_negatives.op13,
 }
 ORACLE_SQL = {
     "op3_parity_join": parity_join.OP3_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op6_suffix_dedup": suffix_dedup.OP6_SQL,
     "op9_warc": warc.OP9_SQL,
+    "op12_filter_audit": filter_audit.OP12_SQL,
+    "op13_hard_negatives": hard_negatives.OP13_SQL,
 }
