@@ -47,7 +47,7 @@ def odd(spark):
 
 
 def test_odd_texts_repeats_and_nulls(spark, odd, monkeypatch):
-    monkeypatch.setattr(token_files, "PARTS", 500)  # the table of parts is emptied many times
+    monkeypatch.setattr(token_files, "PIECES", 500)  # the table of pieces is emptied many times
     rows, docs = odd
     path = new_path(spark, "odd")
     index = token_files.write(docs, path, VOCABULARY, partitions=5).collect()

@@ -10,9 +10,10 @@ the tasks of one shuffle; ranges end anywhere, also among rows of one id, so no
 file with its first and last id, documents, tokens and the tokens of all files before it, comes from the narrow columns
 of those files. A document's place among all tokens is its place in its file plus the file's place.
 
-A text is split at spaces and line feeds, which this tokenizer drops and never crosses, and the parts are encoded with
-`tokenizers`, each distinct one once while it is held; a share of the texts drawn by a hash is also encoded whole, and a
-difference is an error.
+Encoding is the library's own steps, taken apart: texts are cut into pieces by the pattern in the tokenizer's file, and the
+model of that file encodes each distinct piece once while a worker holds it, many at a time. What has characters on which
+the pattern engines might differ (anything beyond Latin letters) goes through the whole tokenizer, and so does all text where
+the file asks for other steps. A share of the texts drawn by a hash is also encoded whole, and a difference is an error.
 
 Defined results: a null or empty text is the end id alone; null ids come first, and rows of one id in the order of a hash
 of their texts; repeated rows are written as often as they occur; an empty table gives an empty one (with files that have
@@ -22,7 +23,9 @@ not read, so their names don't matter.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -37,38 +40,85 @@ from .common import new_path, sized, table
 END_ID = 1
 #: Rows a row group, bytes a stripe, and the share of ids that a Bloom filter lets through by mistake.
 INDEX_ROWS, STRIPE_BYTES, FALSE_SHARE = 1000, 16 << 20, 0.01
-#: Parts a worker holds, the longest of them, and bytes of text encoded at a time.
-PARTS, PART_CHARS, SLICE_BYTES = 300_000, 64, 4 << 20
+#: Pieces a worker holds, the longest of them, and bytes of text encoded at a time.
+PIECES, PIECE_CHARS, SLICE_BYTES = 500_000, 64, 4 << 20
 #: One text in so many is encoded whole as well.
 CHECK_EVERY = 500
 ENCODED = "doc_id long, pid int, before long, n_tokens int, ids array<int>"
 
 
+#: White space between chunks that are taken by themselves, and characters that the whole tokenizer should see.
+BREAK, ODD = re.compile(r"[ \t\n\r\f\v]+"), re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0\u0130\u0250-\U0010ffff]")
+#: How byte-level vocabularies write each byte.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _SHOWN)}
+
+
 class Encoder:
-    """Ids of whole texts by a tokenizer that drops white space and takes what is between spaces by itself."""
+    """Ids of whole texts by a tokenizer of the tokenizers library."""
+
+    held: dict = {}
+
+    @classmethod
+    def of(cls, path: str, end_id: int) -> Encoder:
+        """The worker's own, which outlives a task."""
+        if (path, end_id) not in cls.held:
+            cls.held[path, end_id] = cls(path, end_id)
+        return cls.held[path, end_id]
 
     def __init__(self, path: str, end_id: int = END_ID):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.known, self.end = Tokenizer.from_file(path), {}, np.array([end_id], "<i4").tobytes()
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        steps = json.loads(self.tokenizer.to_str())
+        normal = [x["type"] for x in (steps["normalizer"] or {}).get("normalizers", [])]
+        cut = (steps["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.plain = normal == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cut] == ["Split", "ByteLevel"] and cut[0]["behavior"] == "Removed" and cut[0]["invert"] and not cut[1]["use_regex"] and not cut[1]["add_prefix_space"]
+        if self.plain:
+            self.find = regex.compile(cut[0]["pattern"]["Regex"]).findall
+            self.pieces = Tokenizer(self.tokenizer.model)
+            self.pieces.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<i4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces of the pattern; as words of one text, so that the library goes through them at once."""
+        shown = [p.encode().decode("latin-1").translate(BYTES) for p in pieces]
+        out = self.pieces.encode(" ".join(shown), add_special_tokens=False)
+        ids, ends = np.array(out.ids, "<i4").tobytes(), np.searchsorted(np.array(out.word_ids, np.int64), np.arange(len(pieces)), "right").tolist()
+        return [ids[4 * a : 4 * b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _cut(self, text: str) -> list[str]:
+        """The pieces of a text; one that begins with a space is a chunk for the whole tokenizer."""
+        if not ODD.search(text):
+            return self.find(text.lower())
+        out: list[str] = []
+        for chunk in BREAK.split(text):
+            if ODD.search(chunk):
+                out.append(" " + chunk)
+            else:
+                out += self.find(chunk.lower())
+        return out
+
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, with the end id."""
-        if len(self.known) > PARTS:
+        if len(self.known) > PIECES:
             self.known = {}
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*split) - self.known.keys())
-        got = dict(zip(new, self._ids(new), strict=True))
-        self.known |= {p: x for p, x in got.items() if len(p) <= PART_CHARS}
-        find = (self.known if all(len(p) <= PART_CHARS for p in new) else self.known | got).get
-        out = [b"".join(map(find, parts)) for parts in split]
+        plain = [self.plain and not any(s in t for s in self.special) for t in (t or "" for t in texts)]
+        cut = [self._cut(t or "") if p else [] for t, p in zip(texts, plain, strict=True)]
+        new = list(set().union(*cut) - self.known.keys())
+        odd, usual = [p for p in new if p[0] == " "], [p for p in new if p[0] != " "]
+        got = dict(zip(odd, self._whole([p[1:] for p in odd]), strict=True)) | dict(zip(usual, self._encoded(usual), strict=True))
+        self.known |= {p: x for p, x in got.items() if len(p) <= PIECE_CHARS}
+        find = (self.known if all(len(p) <= PIECE_CHARS for p in new) else self.known | got).get
+        out = [b"".join(map(find, pieces)) if p else self._whole([t or ""])[0] for t, p, pieces in zip(texts, plain, cut, strict=True)]
         for t, x in zip(texts, out, strict=True):
-            if t and zlib.crc32(t.encode()) % CHECK_EVERY == 0 and self._ids([t])[0] != x:
-                raise ValueError("this tokenizer doesn't take what is between spaces by itself")
+            if t and zlib.crc32(t.encode()) % CHECK_EVERY == 0 and self._whole([t])[0] != x:
+                raise ValueError("the pieces of a text have other ids than the text")
         return [x + self.end for x in out]
 
 
@@ -88,7 +138,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, text: str = "text", id_col
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, pid, done = Encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
+        encoder, pid, done = Encoder.of(tokenizer, end_id), TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in slices(batch, 1):
                 ids = encoder.batch(part.column(1).to_pylist())
