@@ -11,7 +11,9 @@ of first bytes, a whole bucket at a time. The common prefixes of neighbours then
 elsewhere. Every byte under such a string goes; starts of different runs are brought together again by text.
 
 An anchor whose runs of different bytes would fill more than a shard (a large group of near copies) is not sorted in one
-task: its strings are hashed one by one and counted over the cluster, which sums up equal ones before the shuffle.
+task: its strings are dealt again, by the smallest hash among longer grams, and fall into runs with finer anchors, for which
+all of the above holds. Only strings that stay together under grams of three quarters of their length, in more bytes than
+a shard holds, are hashed one by one and counted over the cluster, which sums up equal ones before the shuffle.
 
 Defined results: a null text is empty; texts of fewer than LENGTH bytes lose nothing; equal texts of LENGTH bytes or more
 lose everything; rows that repeat count as copies; a null id is carried; an empty table gives an empty one; columns other
@@ -34,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import sized, stored, table
 
 LENGTH, GRAM, SHARD_BYTES, HOT_BYTES = 400, 100, 4 << 20, 16 << 20
+#: Times GRAM: the grams by which hot anchors are dealt again; strings that are hashed in one batch.
+FINER, STRINGS = (2, 3), 50_000
 _U = np.uint64
 _B = 0x9E3779B97F4A7C15
 
@@ -237,15 +241,63 @@ def count_strings(pieces: DataFrame, length: int) -> DataFrame:
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, r, c, data in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                h = [xxhash.xxh3_64_intdigest(data[i : i + length]) - 2**63 for i in range(c)]
-                yield pa.RecordBatch.from_arrays([pa.array([a] * c), pa.array([r] * c), pa.array(list(range(c))), pa.array(h)], names=["anchor", "run", "lo", "string"])
+            for k in range(batch.num_rows):
+                a, r, c, data = (x[k].as_py() for x in batch.columns)
+                for lo in range(0, c, STRINGS):
+                    n = min(STRINGS, c - lo)
+                    h = [xxhash.xxh3_64_intdigest(data[i : i + length]) - 2**63 for i in range(lo, lo + n)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, a)), pa.array(np.full(n, r)), pa.array(np.arange(lo, lo + n)), pa.array(h)], names=["anchor", "run", "lo", "string"])
 
     strings = stored(pieces.dropDuplicates(["anchor", "run"]).mapInArrow(hashes, "anchor long, run long, lo long, string long"), "strings")
     many = strings.groupBy("anchor", "string").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     return strings.join(sized(stored(many, "many")), ["anchor", "string"], "left_semi").select("anchor", "run", "lo", (F.col("lo") + 1).alias("hi"))
 
 
+def repeats_under(pieces: DataFrame, length: int, gram: int, shard_bytes: int, hot_bytes: int, finer: tuple[int, ...] = FINER) -> DataFrame:
+    """REPEATS of the strings in stored PIECES: sorted in shards, those of hot anchors under finer ones first."""
+    pieces = pieces.dropDuplicates(["anchor", "run"])
+    load = stored(pieces.groupBy("anchor").agg(F.sum(F.octet_length("bytes")).alias("bytes")), "load")
+    total = load.agg(F.sum("bytes")).first()[0] or 0
+    hot = stored(load.where(F.col("bytes") > hot_bytes).select("anchor"), "hot-anchors")
+    found = sort_shards(pieces.join(sized(hot), "anchor", "left_anti"), max(1, -(-total // shard_bytes)), length)
+    if hot.isEmpty():
+        return found
+    crowded = pieces.join(sized(hot), "anchor", "left_semi")
+    if not finer:
+        return found.unionByName(count_strings(crowded, length))
+    return found.unionByName(_dealt_again(crowded, length, gram, shard_bytes, hot_bytes, finer))
+
+
+SUBRUNS = "up long, up_run long, at long, sub long, run long, starts long, again boolean, bytes binary"
+
+
+def _dealt_again(pieces: DataFrame, length: int, gram: int, shard_bytes: int, hot_bytes: int, finer: tuple[int, ...]) -> DataFrame:
+    """REPEATS of PIECES, whose strings are dealt by anchors of finer[0] * gram bytes within their own."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors = Anchors(length, finer[0] * gram)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                up, run, _, data = (x[k].as_py() for x in batch.columns)
+                out: list[list] = [[] for _ in range(8)]
+                for v, s, c, h, again in anchors.of(data):
+                    for column, x in zip(out, (up, run, s, v, h, c, again, data[s : s + c + length - 1]), strict=True):
+                        column.append(x)
+                kinds = [pa.int64()] * 6 + [pa.bool_(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=[f.split()[0] for f in SUBRUNS.split(", ")])
+
+    subs = pieces.select("anchor", "run", "starts", "bytes").mapInArrow(find, SUBRUNS)
+    subs = stored(subs.withColumn("anchor", F.xxhash64("up", "sub")).drop("sub"), "finer-runs")
+    places = subs.select("up", "up_run", "at", "anchor", "run", "starts")
+    seen = subs.groupBy("anchor").agg(F.min("run").alias("r0"), F.max("run").alias("r1"), F.bool_or("again").alias("again")).where("again or r0 <> r1").select("anchor")
+    again = places.groupBy("anchor", "run").agg(F.count("*").alias("n"))
+    found = repeats_under(stored(subs.select("anchor", "run", "starts", "bytes").join(stored(seen, "seen-anchors"), "anchor", "left_semi"), "pieces"), length, gram, shard_bytes, hot_bytes, finer[1:])
+    # a run that occurs twice goes as a whole, of the others the parts that were found
+    whole = places.join(again.where("n > 1").select("anchor", "run"), ["anchor", "run"]).select("up", "up_run", F.col("at").alias("lo"), (F.col("at") + F.col("starts")).alias("hi"))
+    parts = places.join(again.where("n = 1").select("anchor", "run"), ["anchor", "run"]).join(found, ["anchor", "run"]).select("up", "up_run", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi"))
+    return whole.unionByName(parts).select(F.col("up").alias("anchor"), F.col("up_run").alias("run"), "lo", "hi")
+
+
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """text_key, spans (sorted, apart): the bytes to remove from each text that loses any; docs: doc_id, text, text_key."""
     runs = runs_of(docs, length, gram)
@@ -255,15 +307,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes
     runs = stored(runs.join(sized(seen, 1_000_000), "anchor"), "shared-runs")
     kinds = runs.groupBy("anchor", "run", "sort").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "start", "starts")).alias("one"))
     kinds = stored(kinds.select("anchor", "run", "sort", "n", "one.*"), "run-kinds")
-    # what is to be sorted, and which anchors are too large for a shard
+    # what is to be sorted
     asked = kinds.where("sort")
-    load = stored(asked.groupBy("anchor").agg(F.sum(F.col("starts") + length - 1).alias("bytes")), "load")
-    total = load.agg(F.sum("bytes")).first()[0] or 0
-    pieces = stored(bytes_of(docs, asked, length), "pieces")
-    hot = stored(load.where(F.col("bytes") > hot_bytes).select("anchor"), "hot-anchors")
-    found = sort_shards(pieces.join(sized(hot), "anchor", "left_anti"), max(1, -(-total // shard_bytes)), length)
-    if not hot.isEmpty():
-        found = found.unionByName(count_strings(pieces.join(sized(hot), "anchor", "left_semi"), length))
+    found = repeats_under(stored(bytes_of(docs, asked, length), "pieces"), length, gram, shard_bytes, hot_bytes)
     # a run that occurs twice goes as a whole; of the others go the parts that the suffix arrays found
     whole = kinds.where("n > 1").select("anchor", "run", F.lit(0).cast("long").alias("lo"), F.col("starts").alias("hi"))
     gone = stored(whole.unionByName(found.join(kinds.where("sort and n = 1").select("anchor", "run"), ["anchor", "run"])), "repeats")
@@ -301,7 +347,9 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, te
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_substrings(table(spark, sf_dir, "documents"))
+    """And removed_share: of the document's bytes, those that are removed."""
+    out = dedup_substrings(table(spark, sf_dir, "documents"))
+    return out.withColumn("removed_share", F.when(F.col("n_bytes") > 0, F.col("n_removed") / F.col("n_bytes")).otherwise(0.0))
 
 
 OP6_SQL = r"""
@@ -315,5 +363,5 @@ sp AS (SELECT doc_id, min(i) AS lo, max(i) + 400 AS hi FROM k GROUP BY doc_id, k
 c AS (SELECT doc_id, lo, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS fr FROM sp UNION ALL SELECT doc_id, n, coalesce(hi, 0) FROM d LEFT JOIN (SELECT doc_id, max(hi) AS hi FROM sp GROUP BY doc_id) USING (doc_id)),
 t AS (SELECT doc_id, string_agg(hex(b[fr + 1 : lo]), '' ORDER BY fr) AS kept FROM c JOIN d USING (doc_id) WHERE lo > fr GROUP BY doc_id),
 r AS (SELECT doc_id, sum(hi - lo) AS removed, count(*) AS spans FROM sp GROUP BY doc_id)
-SELECT doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id) LEFT JOIN t USING (doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256, CASE WHEN n > 0 THEN coalesce(removed, 0) / n::DOUBLE ELSE 0e0 END AS removed_share FROM d LEFT JOIN r USING (doc_id) LEFT JOIN t USING (doc_id)
 """
