@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tilewise.llm import parity_join
 from tilewise.llm.parity_join import keys, near_components, one_of_each, op3, same_size, shingles, sketch
@@ -136,3 +137,18 @@ def test_sketches_bound_the_difference_at_any_size():
         size = min(len(x), len(y))
         apart = int(np.bitwise_count(same_size([x], size) ^ same_size([y], size)).sum())
         assert apart <= len(a ^ b) and (len(a ^ b) - apart) % 2 == 0 and apart >= 0.6 * len(a ^ b)
+
+
+def test_sets_of_a_group_are_sent_once_a_chunk(spark):
+    """1,500 near copies, all paired with the smallest and the largest of them: no class is in more than 100 rows with sets, where each pair had held both."""
+    n = 1500
+    pairs = spark.range(1, n).selectExpr("0L as a", "id as b").union(spark.range(1, n - 1).selectExpr("id as a", f"cast({n - 1} as long) as b"))
+    dealt = parity_join.around_hubs(pairs).cache()
+    assert {(min(r["hub"], r["other"]), max(r["hub"], r["other"])) for r in dealt.collect()} == {tuple(r) for r in pairs.collect()}
+    sets = spark.range(n).selectExpr("id as node", "array(id) as set")
+    rows = parity_join.with_sets(dealt, sets)
+    assert rows.count() == dealt.count() + dealt.select("hub", "chunk").distinct().count()
+    of = rows.selectExpr("coalesce(other, hub) as node").groupBy("node").count().agg(F.max("count")).first()[0]
+    assert of <= 100
+    chunk = rows.groupBy("hub", "chunk").count().agg(F.max("count"), F.avg("count")).first()
+    assert chunk[0] < 160 and chunk[1] > 50

@@ -52,6 +52,8 @@ NEAREST, ROUNDS, FREQUENT = 4, 2, 32
 SHARED_ROWS, SHARED_AT_ONCE = 2_500_000, 1_000_000
 #: Most bytes of sketches that are broadcast.
 SKETCH_BYTES = 4 << 20
+#: Pairs of one class that are verified together: its set is sent once for so many.
+PARTNERS = 100
 #: Band edges grow by a half.
 EDGES = [1]
 while EDGES[-1] < 1 << 40:
@@ -323,17 +325,47 @@ def open_by_sketch(pairs: DataFrame, sketches: DataFrame, num: int, den: int) ->
     return stored(pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long"), "open")
 
 
+def around_hubs(pairs: DataFrame, partners: int = PARTNERS) -> DataFrame:
+    """hub, chunk, other: each pair by its end with more pairs, whose others are dealt to chunks of about so many."""
+    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n")), "ends")
+    one, two = (ends.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}")) for k in ("a", "b"))
+    both = pairs.join(sized(one), "a").join(sized(two), "b")
+    first = F.col("n_a") >= F.col("n_b")
+    both = both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("other"), F.ceil(F.greatest("n_a", "n_b") / partners).alias("chunks"))
+    return both.select("hub", F.pmod(F.xxhash64("other"), F.col("chunks")).alias("chunk"), "other")
+
+
+def with_sets(dealt: DataFrame, sets: DataFrame) -> DataFrame:
+    """hub, chunk, other, set: the hub's set once a chunk, with a null other, then those of the others; no class's set is sent once a pair."""
+    own = dealt.select("hub", "chunk").distinct().join(sets, F.col("hub") == F.col("node")).select("hub", "chunk", F.lit(None).cast("long").alias("other"), "set")
+    return own.unionByName(dealt.join(sets, F.col("other") == F.col("node")).select("hub", "chunk", "other", "set"))
+
+
 def verified(pairs: DataFrame, samples: DataFrame, docs: DataFrame, words: int, num: int, den: int, text: str, id_col: str) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough; samples: node, doc_id."""
     if pairs.isEmpty():
         return pairs
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = whole_sets(docs, stored(samples.join(nodes, "node", "left_semi"), "wanted"), words, text, id_col)
-    one, two = (sets.select(F.col("node").alias(k), F.col("set").alias(f"set_{k}")) for k in ("a", "b"))
-    both = pairs.join(one, "a").join(two, "b")
-    same = F.size(F.array_intersect("set_a", "set_b"))
-    rows = both.select("a", "b", same.alias("i"), (F.size("set_a") + F.size("set_b") - same).alias("u"))
-    return stored(rows.where(F.col("i") * den >= F.col("u") * num).select("a", "b"), "links")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
+        for batch in batches:
+            a, b = [], []
+            for hub, other, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                x = x.values.to_numpy()
+                if other is None:
+                    own = x  # the rows of a chunk lie together, the hub's before the others
+                    continue
+                same = len(np.intersect1d(own, x, assume_unique=True))
+                if same * den >= (len(own) + len(x) - same) * num:
+                    a.append(min(hub, other))
+                    b.append(max(hub, other))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    rows = with_sets(stored(around_hubs(pairs), "around-hubs"), sets)
+    rows = rows.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "other")
+    return stored(rows.mapInArrow(compare, "a long, b long"), "links")
 
 
 def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
