@@ -35,6 +35,9 @@ BLOCK_TAGS = frozenset("address article aside blockquote body br button caption
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT_TAGS = frozenset("script style noscript template svg math textarea select object canvas audio video iframe head title".split())
 FOREIGN_TAGS = frozenset(("svg", "math"))
+#: HTML that ends an open svg or math, and elements of those that may hold HTML.
+LEAVES_FOREIGN = (BLOCK_TAGS | frozenset("a b big br center code em embed font hr i img listing nobr ruby s small span strike strong sub sup tt u var".split())) - frozenset(("a", "title", "option", "label", "button", "select"))
+HOLDS_HTML = frozenset(("foreignobject", "annotation-xml", "desc", "title", "mi", "mo", "mn", "ms", "mtext"))
 #: What a head may hold; anything else ends it.
 HEAD_TAGS = frozenset("base link meta noscript script style template title".split())
 #: Most elements above one another that are told apart, as in browsers; most blocks and most padded blocks that are scored at once.
@@ -103,6 +106,8 @@ class Reader(HTMLParser):
         self.top = Path(None, [])
         self.blocks, self.parts, self.linked, self.silent, self.links = [], [], 0, 0, 0
         self.feed(html)
+        if self.rawdata.startswith(("<!", "<?")):
+            self.rawdata = ""  # a comment, declaration or CDATA without an end goes on to the end of the page
         self.close()
         self._flush()
         return self.blocks
@@ -125,7 +130,18 @@ class Reader(HTMLParser):
         while self.stack and self.stack[-1][0] in tags:
             self._pop(len(self.stack) - 1)
 
+    def _leave_foreign(self) -> None:
+        """Ends an svg or math that isn't closed where HTML begins inside it, as browsers do."""
+        for i in range(len(self.stack) - 1, -1, -1):
+            if self.stack[i][0] in HOLDS_HTML:
+                return
+            if self.stack[i][0] in FOREIGN_TAGS:
+                self._pop(i)
+                return
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in LEAVES_FOREIGN and self.silent:
+            self._leave_foreign()
         if tag not in HEAD_TAGS:
             self._close(("head", "title"))
         if tag in BLOCK_TAGS:
@@ -137,7 +153,7 @@ class Reader(HTMLParser):
                 if tag in CLOSED_BY.get(above, ()):
                     self._pop(i)
                     break
-                if above in ("div", "article", "section", "ul", "ol", "table", "td", "li", "nav", "footer", "main", "body"):
+                if above in FOREIGN_TAGS or above in HOLDS_HTML or above in ("div", "article", "section", "ul", "ol", "table", "td", "li", "nav", "footer", "main", "body"):
                     break
         if tag in VOID_TAGS:
             return
