@@ -130,6 +130,10 @@ class Reader(HTMLParser):
         while self.stack and self.stack[-1][0] in tags:
             self._pop(len(self.stack) - 1)
 
+    def _breaks(self, tag: str) -> bool:
+        """Whether a tag ends the block before it; the title of an svg doesn't."""
+        return tag in BLOCK_TAGS and not (tag == "title" and any(above in FOREIGN_TAGS for above, _, _ in self.stack))
+
     def _leave_foreign(self) -> None:
         """Ends an svg or math that isn't closed where HTML begins inside it, as browsers do."""
         for i in range(len(self.stack) - 1, -1, -1):
@@ -144,7 +148,7 @@ class Reader(HTMLParser):
             self._leave_foreign()
         if tag not in HEAD_TAGS:
             self._close(("head", "title"))
-        if tag in BLOCK_TAGS:
+        if self._breaks(tag):
             self._flush()
             if tag not in ("option", "hr", "button", "legend"):
                 self._close(("option", "optgroup", "select"))
@@ -175,7 +179,7 @@ class Reader(HTMLParser):
             self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in BLOCK_TAGS:
+        if self._breaks(tag):
             self._flush()
         if self.deep[tag] > 0:
             self.deep[tag] -= 1
