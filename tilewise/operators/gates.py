@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewise import config as C
@@ -60,3 +65,57 @@ def refuse_degraded(log: DataFrame, share: float = C.DEGRADED_SHARE) -> DataFram
     if n and bad / n > share:
         raise ValueError(f"{bad} of {n} records failed")
     return log
+
+
+#: Bytes of a file that are read at once.
+RANGE = 8 << 20
+
+
+def file_sums(spark: SparkSession, path: str) -> DataFrame:
+    """file (relative to path), length, sha256 of every file below a folder; content is read by tasks, range by range."""
+    from pyarrow import fs
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = []
+            for name in batch.column(0).to_pylist():
+                where, at = fs.FileSystem.from_uri(name)
+                digest = hashlib.sha256()
+                with where.open_input_stream(at) as f:
+                    while part := f.read(RANGE):
+                        digest.update(part)
+                sums.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums, pa.string())], names=["path", "length", "sha256"])
+
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files, entries = [], where.listFiles(root, True)  # names and lengths alone; Spark's own file sources leave out empty files
+    while entries.hasNext():
+        entry = entries.next()
+        files.append((re.sub(r"^file:/+", "file:///", entry.getPath().toString()), entry.getLen()))
+    rows = spark.createDataFrame(files, "path string, length long").mapInArrow(hashed, "path string, length long, sha256 string")
+    top = re.escape(root.toUri().getPath().rstrip("/"))
+    return rows.select(F.regexp_extract("path", f"{top}/(.*)$", 1).alias("file"), "length", "sha256")
+
+
+def compare_folders(spark: SparkSession, one: str, other: str) -> DataFrame:
+    """file, rule of each file that isn't the same in both: missing (in other), extra (not in one) or different."""
+    a, b = file_sums(spark, one), file_sums(spark, other)
+    both = a.alias("a").join(b.alias("b"), "file", "full_outer")
+    rule = F.when(F.col("b.sha256").isNull(), "missing").when(F.col("a.sha256").isNull(), "extra").when(F.col("a.sha256") != F.col("b.sha256"), "different")
+    return both.select("file", rule.alias("rule")).where("rule is not null")
+
+
+def release(spark: SparkSession, folder: str, expected: DataFrame, mirror: str | None = None) -> DataFrame:
+    """file, rule of everything that keeps a folder from being released; no row means that it may be.
+
+    expected: file, sha256 (a pin; null: any content), at_least (bytes; null: one). Files are missing, too short or not what
+    they are pinned to; and, where a mirror is given, missing there, extra there or different.
+    """
+    found = file_sums(spark, folder)
+    met = expected.alias("e").join(found.alias("f"), "file", "left")
+    rules = {"missing": F.col("f.sha256").isNull(), "too short": F.col("f.length") < F.coalesce(F.col("e.at_least"), F.lit(1)), "not as pinned": F.col("f.sha256") != F.col("e.sha256")}
+    out = violations(met, "file", rules)
+    if mirror:
+        out = out.unionByName(compare_folders(spark, folder, mirror).select("file", F.concat(F.lit("mirror: "), "rule").alias("rule")))
+    return out

@@ -31,19 +31,24 @@ def _shared_dir(spark: SparkSession) -> str:
     return _local[0]
 
 
+def new_path(spark: SparkSession, what: str = "rows") -> str:
+    """A path in the shared folder that no other call gets; it goes with release()."""
+    path = f"{_shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    _written.append(lambda: hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True))
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """df, written once to the shared folder and read again, so that its size is that of its files and no executor is needed for it."""
-    spark = df.sparkSession
-    path = f"{_shared_dir(spark).rstrip('/')}/rows-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    _written.append(lambda: hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True))
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @atexit.register
 def release() -> None:
-    """Deletes what cut_lineage() has written so far; DataFrames that read it can't be used any more."""
+    """Deletes what was written so far; DataFrames that read it can't be used any more."""
     while _written:
         try:
             _written.pop()()

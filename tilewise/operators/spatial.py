@@ -1,9 +1,11 @@
 """Spatial joins as equi-joins on cells.
 
-A cell is a square of degrees. Points fall into one cell; a polygon is in all cells its box meets; for a distance the one
-side is put into its own and the eight cells around it, each at least that distance wide. What shares a cell is then
-tested exactly. No join here compares all pairs, so each works on tables of any size; where one side is small, Spark
-turns the equi-join into a broadcast by itself.
+A cell is a piece of a band of latitude. Points fall into one cell; a polygon is in all cells its box meets; for a distance
+the one side is put into its own and the cells around it, each at least that distance wide. Bands have their own number of
+cells: as many as go round the globe where the band and its neighbours come nearest to a pole, so the cells are wide
+enough at every latitude, and the last one of a band lies beside the first. What shares a cell is then tested exactly. No
+join here compares all pairs, so each works on tables of any size; where one side is small, Spark turns the equi-join into
+a broadcast by itself.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from tilewise import config as C
 from tilewise.functions import geo
 
-from .shared import cut_lineage, first_per
+from .shared import cut_lineage, first_per, sized
 
 
 def _cell(x: Column, size: float) -> Column:
@@ -43,21 +45,36 @@ def first_containing(points: DataFrame, polygons: DataFrame, key: str, ord_col:
     return points.join(best, key, "left").withColumn(name, F.coalesce(F.col(name), F.lit(default)))
 
 
-def _neighbours(df: DataFrame, dy: float, dx: float) -> DataFrame:
+def _band_cells(band: Column, metres: float, dy: float) -> Column:
+    """How many cells a band (dy degrees high) is cut into, for points of it and its neighbours so many metres apart."""
+    pole = F.least(F.lit(90.0), F.greatest(F.abs(band - 1), F.abs(band + 2)) * dy)
+    half = math.sin(min(metres / C.EARTH_M / 2, math.pi / 2))
+    widest = F.degrees(F.asin(F.lit(half) / F.greatest(F.cos(F.radians(pole)), F.lit(half)))) * 2.000001
+    return F.greatest(F.lit(1), F.floor(F.lit(360.0) / widest)).cast("long")
+
+
+def _column(lon: Column, cells: Column) -> Column:
+    return F.least(F.floor(F.pmod(lon, F.lit(360.0)) / 360.0 * cells).cast("long"), cells - 1)
+
+
+def _neighbours(df: DataFrame, metres: float, dy: float) -> DataFrame:
+    """df once for each cell, of its own band and of those above and below, that may hold a point so near."""
     df = df.withColumn("_cy", F.explode(F.sequence(_cell(F.col("lat"), dy) - 1, _cell(F.col("lat"), dy) + 1)))
-    return df.withColumn("_cx", F.explode(F.sequence(_cell(F.col("lon"), dx) - 1, _cell(F.col("lon"), dx) + 1)))
+    n = _band_cells(F.col("_cy"), metres, dy)
+    at = _column(F.col("lon"), n)
+    return df.withColumn("_cx", F.explode(F.array_distinct(F.array(*[F.pmod(at + k, n) for k in (-1, 0, 1)]))))
 
 
-def range_join(left: DataFrame, right: DataFrame, metres: float, strict: bool = False, max_lat: float = 30.0, by: tuple[str, ...] = ()) -> DataFrame:
+def range_join(left: DataFrame, right: DataFrame, metres: float, strict: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """Pairs within so many metres; both sides have lat and lon, right's come out as r_lat and r_lon; adds distance_m.
 
-    max_lat: the largest latitude, north or south, of the data; cells are wide enough up to there. by: columns of both
-    sides that have to be equal.
+    Complete at every latitude and across longitude 180; right is the side that is put into several cells. by: columns of
+    both sides that have to be equal. A row without coordinates has no pair.
     """
-    dy = metres / C.METRES_PER_DEGREE * 1.01
-    dx = dy / math.cos(math.radians(max_lat))
-    other = _neighbours(right, dy, dx).withColumnsRenamed({"lat": "r_lat", "lon": "r_lon"})
-    pairs = left.withColumn("_cy", _cell(F.col("lat"), dy)).withColumn("_cx", _cell(F.col("lon"), dx)).join(other, ["_cy", "_cx", *by])
+    dy = max(math.degrees(metres / C.EARTH_M) * 1.000001, 1e-6)
+    other = _neighbours(right, metres, dy).withColumnsRenamed({"lat": "r_lat", "lon": "r_lon"})
+    own = left.withColumn("_cy", _cell(F.col("lat"), dy))
+    pairs = own.withColumn("_cx", _column(F.col("lon"), _band_cells(F.col("_cy"), metres, dy))).join(other, ["_cy", "_cx", *by])
     pairs = pairs.withColumn("distance_m", geo.haversine_m(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon")))
     return pairs.where(F.col("distance_m") < metres if strict else F.col("distance_m") <= metres).drop("_cy", "_cx")
 
@@ -68,41 +85,73 @@ def nearest_within(left: DataFrame, right: DataFrame, key: str, r_key: str, metr
     return pairs.groupBy(key).agg(F.min(F.struct("distance_m", r_key)).alias("_best")).select(key, F.col(f"_best.{r_key}").alias(r_key), F.col("_best.distance_m").alias("distance_m"))
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, r_key: str, start_m: float = 500.0, growth: float = 4.0, by: tuple[str, ...] = ()) -> DataFrame:
-    """The nearest right row (with equal columns `by`) of each left row, however far: the radius grows for those that are still without one."""
-    left, right = cut_lineage(left.select(key, "lat", "lon", *by)), cut_lineage(right.select(r_key, "lat", "lon", *by))
-    found, rest, metres = None, left, start_m
-    while metres < 80_000_000:  # beyond half the globe all is one cell
-        got = cut_lineage(nearest_within(rest, right, key, r_key, metres, by))
-        found = got if found is None else found.unionByName(got)
-        rest = cut_lineage(rest.join(got.select(key), key, "left_anti"))
-        if rest.isEmpty():
-            return found
-        metres *= growth
-    # the other side is empty
-    none = rest.select(key, F.lit(None).cast(right.schema[r_key].dataType).alias(r_key), F.lit(None).cast("double").alias("distance_m"))
-    return found.unionByName(none)
+#: Depths of the tree over the globe: cubes with sides of 2 / 2**depth of its radius, the last about 390 m.
+DEPTHS = (0, 3, 6, 9, 12, 15)
+_AXES, _AT, _UP = ("_x", "_y", "_z"), ("_ix", "_iy", "_iz"), ("_px", "_py", "_pz")
+
+
+def _on_globe(df: DataFrame) -> DataFrame:
+    """df with its points on the unit sphere, where neither poles nor longitude 180 are special."""
+    lat, lon = F.radians("lat"), F.radians("lon")
+    return df.withColumns({"_x": F.cos(lat) * F.cos(lon), "_y": F.cos(lat) * F.sin(lon), "_z": F.sin(lat)})
 
 
-def nearest_k(left: DataFrame, right: DataFrame, key: str, r_key: str, k: int, start_m: float = 500.0, growth: float = 4.0) -> DataFrame:
-    """The k nearest right rows (ties: smaller r_key) of each left row by rank, or all if there are fewer: key, r_key, rank, distance_m.
+def _cubes(df: DataFrame, depth: int) -> DataFrame:
+    at = lambda c: F.least(F.floor((F.col(c) + 1) * 2.0 ** (depth - 1)), F.lit(2.0**depth - 1)).cast("long")
+    return df.withColumns({i: at(c) for i, c in zip(_AT, _AXES, strict=True)})
 
-    The radius grows for the left rows that have fewer than k within it.
+
+def _descend(left: DataFrame, right: DataFrame, key: str, r_key: str, k: int, by: tuple[str, ...]) -> DataFrame:
+    """(key, r_key, distance_m) pairs that hold the k nearest right rows of each left row, however far they are.
+
+    Each left row goes down a tree of cubes with counts of right rows. At each depth it knows of a distance within which
+    k right rows lie (the cubes in order of their farthest corners, up to k rows); cubes that begin beyond it are left
+    out, so a row goes on with a few cubes, however many right rows are as far away. Only in the last cubes it meets rows.
+    """
+    right = cut_lineage(_cubes(_on_globe(right), DEPTHS[-1]))
+    leaves = cut_lineage(right.groupBy(*by, *_AT).agg(F.count("*").alias("_n")))
+    open_ = _on_globe(left).select(key, *by, *_AXES, *[F.lit(0).cast("long").alias(i) for i in _AT])
+    for above, depth in zip(DEPTHS, DEPTHS[1:], strict=False):
+        up = {i: F.shiftright(i, DEPTHS[-1] - depth) for i in _AT}
+        cubes = leaves.groupBy(*by, *[c.alias(i) for i, c in up.items()]).agg(F.sum("_n").alias("_n"))
+        cubes = cubes.withColumns({p: F.shiftright(i, depth - above) for p, i in zip(_UP, _AT, strict=True)})
+        met = open_.withColumnsRenamed(dict(zip(_AT, _UP, strict=True))).join(sized(cubes), [*by, *_UP])
+        side, low, high = 2.0 ** (1 - depth), F.lit(0.0), F.lit(0.0)
+        for c, i in zip(_AXES, _AT, strict=True):
+            begin = F.col(i) * side - 1
+            low += F.pow(F.greatest(begin - F.col(c), F.col(c) - begin - side, F.lit(0.0)), 2)
+            high += F.pow(F.greatest(F.col(c) - begin, begin + side - F.col(c)), 2)
+        met = met.withColumns({"_low": F.sqrt(low), "_high": F.sqrt(high)})
+        same = Window.partitionBy(key, *by)
+        upto = F.sum("_n").over(same.orderBy("_high").rangeBetween(Window.unboundedPreceding, 0))
+        enough = F.min(F.when(F.col("_upto") >= k, F.col("_high"))).over(same)
+        met = met.withColumn("_upto", upto).withColumn("_enough", enough)
+        # the rounding of a distance gets micrometres to spare
+        open_ = cut_lineage(met.where(F.col("_enough").isNull() | (F.col("_low") <= F.col("_enough") + 1e-12)).select(key, *by, *_AXES, *_AT))
+    pairs = open_.select(key, *by, *_AT).join(left, [key, *by]).join(right.select(r_key, *by, *_AT, F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon")), [*by, *_AT])
+    return pairs.select(key, r_key, geo.haversine_m(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon")).alias("distance_m"))
+
+
+def nearest_k(left: DataFrame, right: DataFrame, key: str, r_key: str, k: int, start_m: float = 500.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """The k nearest right rows (with equal columns `by`; ties: smaller r_key) of each left row by rank, or all if there are fewer: key, r_key, rank, distance_m.
+
+    Left rows with k within start_m are done by cells; the others go down a tree (_descend), each on its own way, so far
+    rows cost as little as near ones. Rows without coordinates have no neighbours; key should be unique.
     """
-    rest, right = cut_lineage(left.select(key, "lat", "lon")), cut_lineage(right.select(r_key, "lat", "lon"))
-    need, found, metres = right.limit(k).count(), None, start_m
-    by = Window.partitionBy(key)
-    while need and metres < 80_000_000:
-        ranked = range_join(rest, right, metres).withColumn("rank", F.row_number().over(by.orderBy("distance_m", r_key))).where(F.col("rank") <= k)
-        got = cut_lineage(ranked.withColumn("_n", F.count("*").over(by)).where(F.col("_n") >= need).select(key, r_key, "rank", "distance_m"))
-        found = got if found is None else found.unionByName(got)
-        rest = cut_lineage(rest.join(got.select(key).distinct(), key, "left_anti"))
-        if rest.isEmpty():
-            break
-        metres *= growth
-    if found is None:
-        return rest.limit(0).select(key, F.lit(None).cast(right.schema[r_key].dataType).alias(r_key), F.lit(None).cast("int").alias("rank"), F.lit(None).cast("double").alias("distance_m"))
-    return found
+    placed = lambda df, c: cut_lineage(df.select(c, "lat", "lon", *by).where("lat is not null and lon is not null"))
+    left, right = placed(left, key), placed(right, r_key)
+    of = Window.partitionBy(key)
+    ranked = lambda pairs: pairs.withColumn("rank", F.row_number().over(of.orderBy("distance_m", r_key))).where(F.col("rank") <= k).select(key, r_key, "rank", "distance_m")
+    near = ranked(range_join(left, right, start_m, by=by))
+    near = cut_lineage(near.withColumn("_n", F.count("*").over(of)).where(F.col("_n") == k).drop("_n"))
+    rest = cut_lineage(left.join(near.select(key).distinct(), key, "left_anti"))
+    return near if rest.isEmpty() else near.unionByName(ranked(_descend(rest, right, key, r_key, k, by)))
+
+
+def nearest(left: DataFrame, right: DataFrame, key: str, r_key: str, start_m: float = 500.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """The nearest right row (with equal columns `by`) of each left row, however far: key, r_key, distance_m, null where right has none."""
+    found = nearest_k(left, right, key, r_key, 1, start_m, by).drop("rank")
+    return left.select(key).join(found, key, "left")
 
 
 def exclude_near(left: DataFrame, right: DataFrame, key: str, metres: float) -> DataFrame:
@@ -112,8 +161,7 @@ def exclude_near(left: DataFrame, right: DataFrame, key: str, metres: float) ->
 
 def nearest_same(left: DataFrame, right: DataFrame, group: str, key: str, r_key: str) -> DataFrame:
     """Each left row with the nearest right row of the same group: distance_m and r_key, null where the group has none."""
-    some = left.join(right.select(group).distinct(), group, "left_semi")  # the others would look for one all over the globe
-    return left.join(nearest(some, right, key, r_key, by=(group,)), key, "left")
+    return left.join(nearest_k(left, right, key, r_key, 1, by=(group,)).drop("rank"), key, "left")
 
 
 def best_building(segments: DataFrame, buildings: DataFrame, cell: float = 0.002) -> DataFrame:

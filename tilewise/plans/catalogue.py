@@ -1,6 +1,7 @@
 """All queries of the domain, and their SQL."""
 
-from . import assembly, detection, evaluation, reports, site
+from . import assembly, detection, evaluation, rasters, reports, site
 
-QUERIES = detection.QUERIES | evaluation.QUERIES | assembly.QUERIES | site.QUERIES | reports.QUERIES
-SQL = detection.SQL | evaluation.SQL | assembly.SQL | site.SQL | reports.SQL
+_PARTS = (detection, evaluation, assembly, site, reports, rasters)
+QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
+SQL = {k: v for part in _PARTS for k, v in part.SQL.items()}
