@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import numbered_within, running
+from .shared import cut_lineage, numbered_within, running, sized
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -88,11 +88,19 @@ def holdout(sources: DataFrame, share: float = 0.2, seed: int = 4242, at_least:
 
 
 def five_numbers(rows: DataFrame, group: str, x: str) -> DataFrame:
-    """Minimum, nearest-rank quartiles (places 0, n/4, n/2, 3n/4) and maximum per group."""
-    ranked = numbered_within(rows.select(group, x), group, [F.col(x)], "_i", "_n").withColumn("_i", F.col("_i") - 1)
-    at = lambda place: F.max(F.when(F.col("_i") == place, F.col(x)))
-    n = F.col("_n")
-    return ranked.groupBy(group).agg(F.min(x).alias("low"), at(F.floor(n / 4)).alias("q1"), at(F.floor(n / 2)).alias("median"), at(F.floor(n * 3 / 4)).alias("q3"), F.max(x).alias("high"), F.count("*").alias("n"))
+    """Minimum, nearest-rank quartiles (places 0, n/4, n/2, 3n/4) and maximum per group, without the rows whose x is null.
+
+    Equal values are counted first; the running counts are over distinct values, whatever a group's size.
+    """
+    per = rows.where(F.col(x).isNotNull()).groupBy(F.col(group).alias("_g"), F.col(x).alias("_x")).agg(F.count("*").alias("_c"))
+    upto = cut_lineage(running(per, [F.col("_g"), F.col("_x")], {"_upto": F.col("_c")}))
+    sizes = sized(cut_lineage(upto.groupBy(F.col("_g").alias("_h")).agg(F.min(F.col("_upto") - F.col("_c")).alias("_before"), F.sum("_c").alias("n"))))
+    ranked = upto.join(sizes, F.col("_g").eqNullSafe(F.col("_h"))).withColumn("_last", F.col("_upto") - F.col("_before"))
+    # the value at a place is the smallest one that reaches beyond it
+    at = lambda place: F.min(F.when(F.col("_last") > place, F.col("_x")))
+    n = F.col("n")
+    out = ranked.groupBy(F.col("_g").alias(group), "n").agg(F.min("_x").alias("low"), at(F.floor(n / 4)).alias("q1"), at(F.floor(n / 2)).alias("median"), at(F.floor(n * 3 / 4)).alias("q3"), F.max("_x").alias("high"))
+    return out.select(group, "low", "q1", "median", "q3", "high", "n")
 
 
 def centroid(rows: DataFrame, group: str, vector: str) -> DataFrame:

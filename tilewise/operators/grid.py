@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewise import config as C
@@ -33,6 +33,26 @@ def grid_metres(spark: SparkSession, bbox, tile_metres: float = 240.0) -> DataFr
     return grid(spark, bbox, lat, lat / math.cos(math.radians((s + n) / 2)))
 
 
+def grids(boxes: DataFrame, key: str, stride_lat: float = C.STRIDE_LAT, stride_lon=C.STRIDE_LON) -> DataFrame:
+    """key, iy, ix, lat, lon, tile_id of the centres in every box (key, south, west, north, east), as grid() gives them for one.
+
+    stride_lon may be a column. A box that is empty or has a null side has no cells.
+    """
+    half = stride_lon / 2
+    steps = lambda a, b, stride, off: F.ceil((F.col(b) - (F.col(a) + off)) / stride).cast("long")
+    ny, nx = steps("south", "north", F.lit(stride_lat), F.lit(stride_lat / 2)), steps("west", "east", stride_lon if isinstance(stride_lon, Column) else F.lit(stride_lon), half if isinstance(stride_lon, Column) else F.lit(half))
+    rows = boxes.withColumns({"_ny": ny, "_nx": nx}).where("_ny > 0 and _nx > 0")
+    rows = rows.withColumn("iy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_ny") - 1))).withColumn("ix", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nx") - 1)))
+    rows = rows.withColumn("lat", F.col("south") + F.lit(stride_lat / 2) + F.col("iy") * F.lit(stride_lat)).withColumn("lon", F.col("west") + half + F.col("ix") * stride_lon)
+    return rows.select(key, "iy", "ix", "lat", "lon", geo.tile_id(F.col("lat"), F.col("lon")).alias("tile_id"))
+
+
+def grids_metres(boxes: DataFrame, key: str, tile_metres: float = 240.0) -> DataFrame:
+    """grids() with a stride in metres, the longitude's at each box's middle latitude."""
+    lat = tile_metres / C.METRES_PER_DEGREE
+    return grids(boxes, key, lat, F.lit(lat) / F.cos(F.radians((F.col("south") + F.col("north")) / 2)))
+
+
 def todo(tiles: DataFrame, log: DataFrame) -> DataFrame:
     """Tiles that the log has no record of, failed ones included."""
     return tiles.join(log.select("tile_id").where("tile_id is not null").distinct(), "tile_id", "left_anti")

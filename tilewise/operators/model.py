@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
@@ -15,6 +12,8 @@ from pyspark.sql import functions as F
 
 from tilewise.functions import scoring
 
+from . import heads
+from .evaluate import roc_auc
 from .shared import cut_lineage, numbered_within
 
 
@@ -61,26 +60,24 @@ def isotonic(rows: DataFrame, key: str) -> DataFrame:
 
 
 def leave_one_out(rows: DataFrame, group: str, key: str, vector: str, y: str, threshold: float = 0.5) -> DataFrame:
-    """Recall and precision on each group by a head fitted on the others; one fit per group, of which there are few."""
-    parts = []
-    for g in sorted(r[0] for r in rows.select(group).distinct().collect()):
-        head = fit_head(rows.where(F.col(group) != g), vector, y)
-        parts.append(with_score(rows.where(F.col(group) == g), vector, *head).select(group, y, "score"))
+    """Recall and precision on each group by a head fitted on the others, all heads in the same steps; a null group is in the training rows of all.
+
+    A group that no head could be fitted for, since the others have one class alone, has no row.
+    """
+    scored = heads.out_of_fold(heads.by_source(rows, group), "fold", vector, y).where("score is not null")
     hit, pos = F.col("score") >= threshold, F.col(y) == 1
-    out = reduce(DataFrame.unionByName, parts).groupBy(group).agg(F.count_if(hit & pos).alias("tp"), F.count_if(hit & ~pos).alias("fp"), F.count_if(~hit & pos).alias("fn"), F.count_if(~pos).alias("n_neg"))
+    out = scored.groupBy(group).agg(F.count_if(hit & pos).alias("tp"), F.count_if(hit & ~pos).alias("fp"), F.count_if(~hit & pos).alias("fn"), F.count_if(~pos).alias("n_neg"))
     tp = F.col("tp")
     recall = F.when(tp + F.col("fn") > 0, tp / (tp + F.col("fn")))
     return out.select(group, "tp", "fp", "fn", "n_neg", recall.alias("recall"), F.when((tp + F.col("fp") > 0) & (F.col("n_neg") >= 3), tp / (tp + F.col("fp"))).alias("precision"))
 
 
 def cross_validated_auc(rows: DataFrame, key: str, vector: str, y: str, folds: int = 5) -> DataFrame:
-    """Area under the ROC curve of out-of-fold scores; rows are dealt to folds in order within each class."""
-    dealt = numbered_within(rows, y, [F.xxhash64(F.lit(1202), key), F.col(key)], "_rn", "_n").withColumn("fold", (F.col("_rn") - 1) % folds).drop("_rn", "_n")
-    dealt = cut_lineage(dealt)
-    parts = [with_score(dealt.where(F.col("fold") == f), vector, *fit_head(dealt.where(F.col("fold") != f), vector, y)).select(F.col(y).alias("label"), "score") for f in range(folds)]
-    out = reduce(DataFrame.unionByName, parts)
-    auc = BinaryClassificationEvaluator(rawPredictionCol="score").evaluate(out)
-    return rows.sparkSession.createDataFrame([(round(auc, 6), folds)], "auc double, folds int")
+    """Area under the ROC curve of out-of-fold scores; rows are dealt to folds in order within each class, heads are fitted in the same steps."""
+    dealt = numbered_within(rows, y, [F.xxhash64(F.lit(1202), key), F.col(key)], "_rn", "_n").withColumn("fold", ((F.col("_rn") - 1) % folds).cast("int")).drop("_rn", "_n")
+    scored = heads.out_of_fold(dealt, "fold", vector, y).where("score is not null")
+    auc = roc_auc(scored.select(F.col(y).alias("y"), "score"))
+    return auc.select(F.round("auc", 6).alias("auc"), F.lit(folds).alias("folds"))
 
 
 def _between(r) -> tuple[np.ndarray, np.ndarray]:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tilewise import config as C
 from tilewise.functions import geo
 
-from .shared import cut_lineage, first_per, sized
+from .shared import cut_lineage, sized
 
 
 def _cell(x: Column, size: float) -> Column:
@@ -167,18 +167,27 @@ def nearest_same(left: DataFrame, right: DataFrame, group: str, key: str, r_key:
 def best_building(segments: DataFrame, buildings: DataFrame, cell: float = 0.002) -> DataFrame:
     """Each segment (seg_id, lon, lat, ring) with one building (osm_id, ord, ring).
 
-    A building that holds the segment's centroid goes before one whose box overlaps more; then the first by ord.
+    A building that holds the segment's centroid goes before one whose box overlaps more; then the first by ord. Cells
+    carry ids and boxes alone. Two boxes meet in several cells, but count in that of the lower left corner of what they
+    share; rings are fetched for the pairs whose building's box holds the centroid.
     """
-    def cells(df, prefix):
+
+    def cells(df, prefix, *carried):
         box = geo.bbox_of(F.array(F.array(F.col("ring"))))
-        df = df.withColumn(f"{prefix}box", box)
+        df = df.where(F.size("ring") > 0).select(*carried, box.alias(f"{prefix}box"))
         df = df.withColumn("_cy", F.explode(F.sequence(_cell(F.col(f"{prefix}box.south"), cell), _cell(F.col(f"{prefix}box.north"), cell))))
         return df.withColumn("_cx", F.explode(F.sequence(_cell(F.col(f"{prefix}box.west"), cell), _cell(F.col(f"{prefix}box.east"), cell))))
 
-    b = cells(buildings.select("osm_id", "ord", F.col("ring")), "b_").withColumnRenamed("ring", "b_ring")
-    s = cells(segments.select("seg_id", "lon", "lat", "ring"), "s_")
-    pairs = s.join(b, ["_cy", "_cx"]).dropDuplicates(["seg_id", "osm_id"])
-    pairs = pairs.withColumn("inside", geo.in_ring(F.col("lon"), F.col("lat"), F.col("b_ring"))).withColumn("overlap", geo.bbox_overlap(F.col("s_box"), F.col("b_box")))
-    pairs = pairs.where(F.col("inside") | (F.col("overlap") > 0))
-    order = [F.desc("inside"), F.when(F.col("inside"), F.col("ord")), F.desc(F.when(~F.col("inside"), F.col("overlap"))), F.col("ord")]
-    return first_per(pairs, ["seg_id"], order).select("seg_id", "osm_id", "inside", "overlap")
+    pairs = cells(segments, "s_", "seg_id", "lon", "lat").join(cells(buildings, "b_", "osm_id", "ord"), ["_cy", "_cx"])
+    s, b = F.col("s_box"), F.col("b_box")
+    meet = (s["west"] <= b["east"]) & (b["west"] <= s["east"]) & (s["south"] <= b["north"]) & (b["south"] <= s["north"])
+    here = (_cell(F.greatest(s["south"], b["south"]), cell) == F.col("_cy")) & (_cell(F.greatest(s["west"], b["west"]), cell) == F.col("_cx"))
+    held = F.col("lon").between(b["west"], b["east"]) & F.col("lat").between(b["south"], b["north"])
+    pairs = cut_lineage(pairs.where(meet & here).select("seg_id", "osm_id", "ord", "lon", "lat", geo.bbox_overlap(s, b).alias("overlap"), held.alias("held")))
+    rings = buildings.select(F.col("osm_id").alias("_id"), F.col("ring").alias("_ring"))
+    tested = pairs.where("held").join(rings, F.col("osm_id") == F.col("_id")).withColumn("inside", geo.in_ring(F.col("lon"), F.col("lat"), F.col("_ring"))).drop("_id", "_ring")
+    both = tested.unionByName(pairs.where("not held").withColumn("inside", F.lit(False))).where(F.col("inside") | (F.col("overlap") > 0))
+    # the smallest of (outside, less overlap unless inside, ord) is the best; tasks send one row a segment
+    order = F.struct((~F.col("inside")).alias("out"), F.when(F.col("inside"), 0.0).otherwise(-F.col("overlap")).alias("less"), "ord", "osm_id", "overlap")
+    best = both.groupBy("seg_id").agg(F.min(order).alias("x"))
+    return best.select("seg_id", "x.osm_id", (~F.col("x.out")).alias("inside"), "x.overlap")

@@ -57,15 +57,16 @@ def q_scan_firstwins(spark, d):
 _METRO = "SELECT i AS iy, j AS ix, printf('%.5f_%.5f', (1440e-2 + 216e-5 / 2e0) + i * 216e-5, (12092e-2 + 224e-5 / 2e0) + j * 224e-5) AS tile_id FROM range(176) a(i), range(94) b(j)"
 
 
-@query(_METRO)
+@query(f"WITH {G.BOXES} SELECT area, iy, ix, printf('%.5f_%.5f', lat, lon) AS tile_id FROM cells")
 def q_grid(spark, d):
-    return grid.grid(spark).select("iy", "ix", "tile_id")
+    """The grids of all areas at once."""
+    return grid.grids(G.boxes(spark, d), "area").select("area", "iy", "ix", "tile_id")
 
 
-@query("""WITH c AS (SELECT 240e0 / 111320e0 AS dy), s AS (SELECT dy, dy / cos(radians((103e-1 + 104e-1) / 2e0)) AS dx FROM c)
-SELECT i AS iy, j AS ix FROM s, range(200) a(i), range(200) b(j) WHERE i < ceil((104e-1 - (103e-1 + dy / 2)) / dy) AND j < ceil((1240e-1 - (1239e-1 + dx / 2)) / dx)""")
+@query(f"""WITH {G.BOXES}, s AS (SELECT *, 240e0 / 111320e0 AS dy, (240e0 / 111320e0) / cos(radians((south + north) / 2)) AS dx FROM boxes)
+SELECT area, i AS iy, j AS ix FROM s, range(20) a(i), range(20) b(j) WHERE i < ceil((north - (south + dy / 2)) / dy) AND j < ceil((east - (west + dx / 2)) / dx)""")
 def q_grid_metric(spark, d):
-    return grid.grid_metres(spark, (10.3, 123.9, 10.4, 124.0)).select("iy", "ix")
+    return grid.grids_metres(G.boxes(spark, d), "area").select("area", "iy", "ix")
 
 
 @query(f"WITH {G.LOG}, grid AS ({_METRO}) SELECT * FROM grid WHERE tile_id NOT IN (SELECT tile_id FROM log)")

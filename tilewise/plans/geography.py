@@ -54,6 +54,18 @@ def osm(spark: SparkSession, sf_dir: str) -> DataFrame:
 OSM = """osm AS (SELECT c_custkey AS osm_id, 1440e-2 + ((c_custkey * 6007) % 38000) / 100000e0 AS lat, 12092e-2 + ((c_custkey * 7001) % 21000) / 100000e0 AS lon, lower(c_mktsegment) AS location, c_acctbal, c_nationkey FROM customer)"""
 
 
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas to scan: area, south, west, north, east, two to four cells wide and up to ten high."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("area"), *_place("s_suppkey", 6007, 7001))
+    return s.select("area", F.col("lat").alias("south"), F.col("lon").alias("west"), (F.col("lat") + (F.col("area") % 11) * F.lit(0.002)).alias("north"), (F.col("lon") + F.lit(0.004) + (F.col("area") % 3) * F.lit(0.0025)).alias("east"))
+
+
+BOXES = """boxes AS (SELECT area, lat AS south, lon AS west, lat + (area % 11) * 2e-3 AS north, lon + 4e-3 + (area % 3) * 25e-4 AS east
+ FROM (SELECT s_suppkey AS area, 1440e-2 + ((s_suppkey * 6007) % 38000) / 100000e0 AS lat, 12092e-2 + ((s_suppkey * 7001) % 21000) / 100000e0 AS lon FROM supplier)),
+cells AS (SELECT area, i AS iy, j AS ix, south + 216e-5 / 2e0 + i * 216e-5 AS lat, west + 224e-5 / 2e0 + j * 224e-5 AS lon FROM boxes, range(20) a(i), range(20) b(j)
+ WHERE i < ceil((north - (south + 216e-5 / 2e0)) / 216e-5) AND j < ceil((east - (west + 224e-5 / 2e0)) / 224e-5))"""
+
+
 def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rectangles: osm_id, ord, lat, lon (centre), ring, footprint_m2, building_type, kwp."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_type", "p_retailprice", *_place("p_partkey", 5003, 9001))
@@ -116,6 +128,15 @@ def haversine(a: str, b: str) -> str:
     return f"2e0 * 6371000e0 * asin(sqrt(least(1e0, pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lon - {a}.lon) / 2), 2))))"
 
 
+def clear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores that tell the classes apart for the most part, of the same examples: ord, src, y, score."""
+    rows = scores(spark, sf_dir)
+    return rows.withColumn("score", ((F.col("ord") * 7 + F.col("y")) % 560 + F.col("y") * 440) / F.lit(1000.0))
+
+
+CLEAR_SCORES = """scores AS (SELECT d.doc_id AS ord, d.source AS src, l.quality AS y, ((d.doc_id * 7 + l.quality) % 560 + l.quality * 440) / 1000e0 AS score FROM documents d JOIN labels l USING (doc_id) WHERE l.quality IS NOT NULL)"""
+
+
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents as scored examples: ord, src, y, score."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("src"), "n_chars").join(table(spark, sf_dir, "labels").where("quality is not null"), "doc_id")

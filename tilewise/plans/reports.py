@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tilewise.functions import scoring
-from tilewise.operators import assembly, evaluate, gates, grid, raster, rollup
+from tilewise.operators import assembly, evaluate, gates, grid, raster, rollup, sampling
 
 from . import geography as G
 from .detection import DET_CITY, _in_city
@@ -28,12 +28,12 @@ _PRF = "tp / nullif(tp + fp, 0)::DOUBLE AS precision, tp / nullif(tp + fn, 0)::D
 _COUNTS = "count(*) FILTER (y = 1 AND score >= t) AS tp, count(*) FILTER (y = 0 AND score >= t) AS fp, count(*) FILTER (y = 1 AND score < t) AS fn, count(*) FILTER (y = 0 AND score < t) AS tn"
 
 
-@query(f"""WITH {G.SCORES}, t AS (SELECT DISTINCT 'high_precision' AS point, score AS t FROM scores UNION ALL SELECT 'target', i / 100e0 FROM range(101) r(i) UNION ALL SELECT 'deployed', 85e-2),
+@query(f"""WITH {G.CLEAR_SCORES}, t AS (SELECT DISTINCT 'high_precision' AS point, score AS t FROM scores UNION ALL SELECT 'target', i / 100e0 FROM range(101) r(i) UNION ALL SELECT 'deployed', 85e-2),
 c AS (SELECT point, t, {_COUNTS} FROM t, scores GROUP BY point, t), p AS (SELECT *, {_PRF} FROM c),
 f AS (SELECT *, row_number() OVER (PARTITION BY point ORDER BY t) AS k FROM p WHERE point = 'deployed' OR precision >= CASE WHEN point = 'target' THEN 99e-2 ELSE 9e-1 END AND recall >= 5e-1)
 SELECT point, round(t, 6) AS threshold, tp, fp, fn, tn, round(precision, 6) AS precision, round(recall, 6) AS recall FROM f WHERE k = 1""")
 def q_operating_points(spark, d):
-    rows = evaluate.operating_points(G.scores(spark, d))
+    rows = evaluate.operating_points(G.clear_scores(spark, d))
     return rows.select("point", F.round("threshold", 6).alias("threshold"), "tp", "fp", "fn", "tn", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
@@ -73,9 +73,10 @@ def q_status_at_cut(spark, d):
     return rollup.building_status(of, tiles)
 
 
-@query("SELECT i AS iy, j AS ix FROM range(176) a(i), range(94) b(j) WHERE i * 94 + j < 500")
+@query(f"WITH {G.BOXES} SELECT area, iy, ix FROM cells QUALIFY row_number() OVER (PARTITION BY area ORDER BY iy, ix) <= 5")
 def q_grid_limit(spark, d):
-    return grid.first_cells(grid.grid(spark), 500).select("iy", "ix")
+    """The first five cells of each area's grid."""
+    return sampling.bottom_k(grid.grids(G.boxes(spark, d), "area"), "area", [F.col("iy"), F.col("ix")], 5).select("area", "iy", "ix")
 
 
 @query(f"""WITH {G.OSM}, e AS (SELECT osm_id, CASE WHEN osm_id % 5 = 0 THEN NULL WHEN osm_id % 5 = 1 THEN 0e0 ELSE lat END AS lat0, CASE WHEN osm_id % 5 = 0 THEN NULL WHEN osm_id % 5 = 1 THEN 0e0 ELSE lon END AS lon0, CASE WHEN osm_id % 7 = 0 THEN NULL ELSE lat END AS clat, CASE WHEN osm_id % 7 = 0 THEN NULL ELSE lon END AS clon FROM osm)

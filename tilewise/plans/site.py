@@ -70,10 +70,10 @@ def q_hash_prefix(spark, d):
     return G.table(spark, d, "documents").select("doc_id", text.hash_matches(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), "0").alias("ok"))
 
 
-@query("SELECT i AS iy, j AS ix, round(121e0 * 0 + (12092e-2 + 224e-5 / 2e0 + j * 224e-5) - 112e-5, 7) AS west, round((1440e-2 + 216e-5 / 2e0 + i * 216e-5) + 108e-5, 7) AS north, 5 AS points FROM range(176) a(i), range(94) b(j)")
+@query(f"WITH {G.BOXES} SELECT area, iy, ix, round(lon - 112e-5, 7) AS west, round(lat + 108e-5, 7) AS north, 5 AS points FROM cells")
 def q_cell_rings(spark, d):
     ring = geo.cell_ring(F.col("lat"), F.col("lon"))
-    return grid.grid(spark).select("iy", "ix", F.round(ring[0][0], 7).alias("west"), F.round(ring[2][1], 7).alias("north"), F.size(ring).alias("points"))
+    return grid.grids(G.boxes(spark, d), "area").select("area", "iy", "ix", F.round(ring[0][0], 7).alias("west"), F.round(ring[2][1], 7).alias("north"), F.size(ring).alias("points"))
 
 
 @query(f"WITH {G.SEGMENTS} SELECT seg_id, round(lon - 11e-4 + (seg_id % 400) / 400e0 * 22e-4, 7) AS west, round(lat + 11e-4 - (seg_id % 300) / 400e0 * 22e-4, 7) AS north FROM segments")
