@@ -1,10 +1,11 @@
 """Mixture-controlled packing of tokenised documents into sequences of at most 2048 tokens.
 
-Deficit round robin over one queue per source: in each window every source is served its share of the window, cut to
-whole tokens, and what it is owed (its deficit, below one token) is carried to the next window. The service a source has
-had after T tokens of output is therefore floor(T * P_i) - floor(T * P_(i-1)), P being the running sum of the target
-proportions, so any partition can work out the deficits it starts with: they are carried across partitions without a
-pass that goes through the windows one after another. When a queue runs dry, the others share its place by weight.
+Deficit round robin over one queue per source: while tokens are put out, every queue earns its share of each, and what it
+has earned and not yet been served is its deficit, which goes on from window to window. The next token is that of the
+queue that was first owed half of it, so no deficit grows, and no queue is served ahead of the others. What the queues
+have had after T tokens of output is therefore known without going through them: all tokens that are due by then, and at
+most one a queue more or less. So any partition can work out the deficits it starts with: they are carried across
+partitions without a pass from window to window. When a queue runs dry, the others share its place by weight.
 
 Jobs: (1) tokenise, one pass over the texts, written once to the shared folder as 16-bit ids with each document's place
 in its partition's queue; (2) sum tokens per (partition, source) and run those sums over the partitions; (3) cut each
@@ -25,8 +26,6 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from fractions import Fraction
-from itertools import accumulate
-from math import lcm
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +37,8 @@ from .common import stored, table
 LENGTH, END_ID = 2048, 1
 #: Entries of a worker's table of chunks that have been tokenised.
 CHUNKS = 300_000
+#: Windows whose counts a worker remembers.
+WINDOWS = 50_000
 TOKENS = "doc_id long, source string, pid int, before long, n long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
@@ -127,8 +128,8 @@ def tokenised(docs: DataFrame, tokenizer: str, text: str, source: str, id_col: s
 class Schedule:
     """When each queue is served: sizes and weights by queue, in their order in a window.
 
-    Between two moments at which a queue runs dry the proportions stand still; each such phase has the tokens put out
-    before it, and for each queue what it has had by then and its running share of the rest.
+    Between two moments at which a queue runs dry the proportions stand still. Token m of a queue is due when the queue has
+    earned m + 1/2 tokens; tokens are put out in the order of those times, on a tie by queue.
     """
 
     def __init__(self, sizes: list[int], weights: list[float] | None):
@@ -139,35 +140,68 @@ class Schedule:
         live = [i for i, s in enumerate(sizes) if s and w[i] > 0]
         for i in later:
             w[i] = Fraction(sizes[i])
-        self.phases: list[tuple[Fraction, int, list[int], list[int]]] = []
+        phases = []
         while live or later:
             live, later = (live, later) if live else (later, [])
             whole = sum(w[i] for i in live)
-            share = [w[i] / whole if i in live else Fraction(0) for i in range(len(sizes))]
+            share = [Fraction(0)] * len(sizes)
+            for i in live:
+                share[i] = w[i] / whole
             until = min((sizes[i] - had[i]) / share[i] for i in live)
-            # what queues 0..i have had at t is (base[i] + slope[i] * t) // scale
-            had_upto, share_upto = (list(accumulate(x)) for x in (had, share))
-            lines = [(h - s * at, s) for h, s in zip(had_upto, share_upto, strict=True)]
-            scale = lcm(*(x.denominator for line in lines for x in line))
-            self.phases.append((at, scale, [int(h * scale) for h, _ in lines], [int(s * scale) for _, s in lines]))
+            phases.append((at, had, share))
             had, at = [h + s * until for h, s in zip(had, share, strict=True)], at + until
             live = [i for i in live if had[i] < sizes[i]]
+        self.phases = len(phases)
+        self.start = np.array([float(p[0]) for p in phases])
+        self.had, self.share = (np.array([[float(x) for x in p[k]] for p in phases]).reshape(-1, len(sizes)) for k in (1, 2))
+        self.upto = np.concatenate([self.had[1:], np.array([sizes], float)]) if phases else np.zeros((0, len(sizes)))
+        self.size, self.known = np.array(sizes, np.int64), {}
+
+    def _due(self, m: np.ndarray) -> np.ndarray:
+        """When token m[i] of each queue i is due, after so many tokens of output; it goes up with m."""
+        x, queue = m + 0.5, np.arange(len(m))
+        phase = np.minimum((self.upto < x).sum(0), self.phases - 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            # what is due at the same time goes by queue, whatever the last bits of the division
+            return np.round(self.start[phase] + (x - self.had[phase, queue]) / self.share[phase, queue], 6)
+
+    def counts(self, t: int) -> tuple[list[int], list[int]]:
+        """How many of the first t tokens each queue has had, and the queues before each."""
+        if (found := self.known.get(t)) is None:
+            phase = max(0, int(np.searchsorted(self.start, t, "right")) - 1)
+            earned = self.had[phase] + self.share[phase] * (t - self.start[phase])
+            n = np.clip(np.floor(earned + 0.5).astype(np.int64), 0, self.size)
+            after = lambda: np.where(n < self.size, self._due(n), np.inf)
+            before = lambda: np.where(n > 0, self._due(n - 1), -np.inf)
+            queue = np.arange(len(n))
+            while (short := t - int(n.sum())) > 0:
+                due = after()
+                n[np.lexsort((queue, due))[: min(short, int(np.isfinite(due).sum()))]] += 1
+            while (over := int(n.sum()) - t) > 0:
+                due = before()
+                n[np.lexsort((queue, due))[::-1][: min(over, int(np.isfinite(due).sum()))]] -= 1
+            # the t that are due first: none that is in is due after one that isn't
+            while True:
+                a, b = after(), before()
+                i, j = int(np.lexsort((queue, a))[0]), int(np.lexsort((queue, b))[-1])
+                if (a[i], i) >= (b[j], j):
+                    break
+                n[i] += 1
+                n[j] -= 1
+            if len(self.known) > WINDOWS:
+                self.known = {}
+            found = self.known[t] = (n.tolist(), (np.cumsum(n) - n).tolist())
+        return found
 
     def served(self, queue: int, t: int) -> tuple[int, int]:
-        """(tokens of the queues before this one, tokens of this one) among the first t that are put out."""
-        phase = self.phases[0]
-        for p in self.phases[1:]:
-            if p[0] > t:
-                break
-            phase = p
-        _, scale, base, slope = phase
-        lower = (base[queue - 1] + slope[queue - 1] * t) // scale if queue else 0
-        return lower, (base[queue] + slope[queue] * t) // scale - lower
+        """(tokens of the queues before this one, tokens of this one) among the first t that are put out; both go up with t."""
+        had, below = self.counts(t)
+        return below[queue], had[queue]
 
     def window_of(self, queue: int, token: int, length: int) -> int:
         """The window in which this token of the queue is put out."""
         lo, hi = 0, -(-self.total // length) - 1
-        guess = int(token * self.total / max(1, self.sizes[queue]) / length) if len(self.phases) == 1 else (lo + hi) // 2
+        guess = int(token * self.total / max(1, self.sizes[queue]) / length) if self.phases == 1 else (lo + hi) // 2
         a, b = max(lo, guess - 2), min(hi, guess + 2)
         if a > lo and self.served(queue, a * length)[1] > token or self.served(queue, min(self.total, (b + 1) * length))[1] <= token:
             a, b = lo, hi
