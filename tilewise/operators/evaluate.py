@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilewise.functions import scoring
+
 from .shared import cut_lineage, numbered_within, running, sized
 
 
@@ -108,14 +110,33 @@ def centroid(rows: DataFrame, group: str, vector: str) -> DataFrame:
     return rows.select(group, F.posexplode(vector).alias("dim", "x")).groupBy(group, "dim").agg(F.avg(F.col("x").cast("double")).alias("mean"))
 
 
-def centroid_shift(rows: DataFrame, group: str, vector: str, reference) -> DataFrame:
-    """Cosine and Euclidean distance of each group's centroid from the reference group's."""
-    c = centroid(rows, group, vector)
+def _apart_from(c: DataFrame, group: str, reference) -> DataFrame:
+    """Cosine and Euclidean distance of the centroids in c (group, dim, mean) from that of the reference group."""
     ref = c.where(F.col(group) == reference).select("dim", F.col("mean").alias("ref"))
     sums = c.where(F.col(group) != reference).join(ref, "dim").groupBy(group).agg(F.sum(F.col("mean") * F.col("ref")).alias("ab"), F.sum(F.pow("mean", F.lit(2))).alias("aa"), F.sum(F.pow("ref", F.lit(2))).alias("bb"), F.sum(F.pow(F.col("mean") - F.col("ref"), 2)).alias("dd"))
     return sums.select(group, (F.lit(1.0) - F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))).alias("cosine"), F.sqrt("dd").alias("euclidean"))
 
 
+def centroid_shift(rows: DataFrame, group: str, vector: str, reference) -> DataFrame:
+    """Cosine and Euclidean distance of each group's centroid from the reference group's."""
+    return _apart_from(centroid(rows, group, vector), group, reference)
+
+
+def domain_shift(rows: DataFrame, group: str, vector: str, reference, anchor) -> DataFrame:
+    """group, n, cosine, euclidean, geo_cosine, floor, verdict of every group but the two: how far its vectors lie from those that were trained on.
+
+    cosine and euclidean: between its centroid and the reference's; geo_cosine: between its centroid and the anchor's, which
+    is of the same place as the reference but scanned as the groups are; floor: the anchor's own cosine distance, which the
+    verdict measures geo_cosine against. Centroids are made once, in one pass. Without reference or anchor there are no rows.
+    """
+    c = cut_lineage(centroid(rows, group, vector))
+    n = rows.groupBy(group).agg(F.count("*").alias("n"))
+    trained, scanned = cut_lineage(_apart_from(c, group, reference)), _apart_from(c, group, anchor).select(group, F.col("cosine").alias("geo_cosine"))
+    floor = trained.where(F.col(group) == anchor).select(F.col("cosine").alias("floor"))  # one row
+    out = n.join(trained, group).join(scanned, group).where(~F.col(group).isin(reference, anchor)).crossJoin(F.broadcast(floor))
+    return out.select(group, "n", "cosine", "euclidean", "geo_cosine", "floor", scoring.shift_verdict(F.col("geo_cosine"), F.col("floor")).alias("verdict"))
+
+
 def audit(results: DataFrame, expected: DataFrame, limit: float) -> DataFrame:
     """Per audit group: expected and judged counts, false positives, share, and whether to roll back."""
     got = results.groupBy("grp").agg(F.count("*").alias("judged"), F.count_if(F.col("label") == "fp").alias("fp"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewise.functions import geo, text
 
-from .shared import first_per, numbered
-from .spatial import range_join
+from .shared import cut_lineage, first_per, numbered, sized
+from .spatial import contains_join, nearest_k, range_join
 
 
 def pick_building(points: DataFrame, buildings: DataFrame, near_m: float = 50.0, within_m: float = 200.0) -> DataFrame:
@@ -67,3 +69,27 @@ def pages(rows: DataFrame, order: list, per_page: int = 9) -> DataFrame:
 
 def top_per_group(rows: DataFrame, group: str, order: list, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= k)
+
+
+def context(points: DataFrame, cities: DataFrame, counts: DataFrame, cases: DataFrame, tiles: DataFrame, metres: float = 1500.0, k: int = 3) -> DataFrame:
+    """One row a point: its city, the city's counts and rank, the k nearest cases, and the tiles around it.
+
+    points: pid, lat, lon, psgc; cities: psgc, city, ord, polygons; counts: city, n_high, n_candidate, density; cases:
+    case_id, lat, lon; tiles: tier, lat, lon. The city is that of the point's code, or else the first by ord that holds the
+    point; without one the counts are null. rank and ranked: the city's place by density among those that have one. cases:
+    array of (rank, case_id, distance_m). What is found is brought together by pid in one grouping, not by a join each.
+    """
+    points = cut_lineage(points)
+    coded = points.join(cities.select("psgc", F.col("city").alias("_city")), "psgc", "left").select("pid", "lat", "lon", "_city")
+    named = coded.where("_city is not null").select("pid", F.col("_city").alias("city"))
+    held = contains_join(coded.where("_city is null").select("pid", "lat", "lon"), cities.select("city", "ord", "polygons"))
+    city = named.unionByName(held.groupBy("pid").agg(F.min_by("city", "ord").alias("city")))
+    ranks = sized(cut_lineage(density_rank(counts, "city", "density").select("city", "rank", "total")))
+    of = city.join(counts.select("city", "n_high", "n_candidate"), "city", "left").join(ranks, "city", "left").select("pid", "city", "n_high", "n_candidate", "rank", F.col("total").alias("ranked"))
+    near = nearest_k(points, cases, "pid", "case_id", k).groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("rank", "case_id", "distance_m"))).alias("cases"))
+    around = range_join(tiles.select("tier", "lat", "lon"), points.select("pid", "lat", "lon"), metres)
+    around = around.groupBy("pid").agg(F.count_if(F.col("tier") == "high").alias("high_around"), F.count_if(F.col("tier") == "candidate").alias("candidates_around"))
+    parts = [points.select("pid"), of, near, around]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    one = rows.groupBy("pid").agg(*[F.max(c).alias(c) for c in ("city", "n_high", "n_candidate", "rank", "ranked", "cases", "high_around", "candidates_around")])
+    return one.na.fill(0, ["high_around", "candidates_around"])

@@ -1,11 +1,11 @@
-"""Queries over outlines, zones, raster windows, calibration by group, folds and negatives, each with its SQL where there is one."""
+"""Queries over outlines, zones, raster windows, calibration by group, folds, negatives, contexts and shifts, each with its SQL where there is one."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from tilewise import config as C
-from tilewise.operators import contours, heads, sampling, zonal
+from tilewise.operators import contours, evaluate, heads, lookup, sampling, spatial, zonal
 from tilewise.operators.shared import new_path
 from tilewise.sources import tiled_raster
 
@@ -142,3 +142,31 @@ def q_random_points(spark, d):
     """As many random points as there are suppliers, away from all map tags."""
     out = sampling.random_points(G.osm(spark, d), G.table(spark, d, "supplier").count())
     return out.withColumns({"lat": F.round("lat", 9), "lon": F.round("lon", 9)})
+
+
+@query(f"""WITH {G.DET}, {G.OSM}, {G.CITIES}, pts AS (SELECT s_suppkey AS pid, 1440e-2 + ((s_suppkey * 3001) % 38000) / 100000e0 AS lat, 12092e-2 + ((s_suppkey * 9007) % 21000) / 100000e0 AS lon, CASE WHEN s_suppkey % 3 = 0 THEN NULL WHEN s_suppkey % 7 = 0 THEN 99 ELSE s_nationkey END AS psgc FROM supplier),
+{G.in_city('pts', 'pid', 'exclude')}, by_place AS (SELECT pid, arg_min(city, ord) AS city FROM inside GROUP BY pid), c AS (SELECT p.pid, coalesce(n_name, b.city) AS city FROM pts p LEFT JOIN nation ON psgc = n_nationkey LEFT JOIN by_place b ON b.pid = p.pid),
+{G.in_city('det', 'ord', 'ignore', 'held').replace('p.ord, e.city, e.ord FROM', 'p.ord AS k, e.city, e.ord FROM', 1)}, f AS (SELECT k, arg_min(city, ord) AS city FROM held GROUP BY k),
+n AS (SELECT city, count(*) FILTER (tier = 'high') AS n_high, count(*) FILTER (tier = 'candidate') AS n_candidate FROM f JOIN det ON det.ord = k GROUP BY city), r AS (SELECT city, row_number() OVER (ORDER BY n_high DESC, city) AS rank, count(*) OVER () AS ranked FROM n WHERE n_high > 0),
+d AS (SELECT pid, osm_id, {G.haversine('p', 'o')} AS m FROM pts p, osm o), k AS (SELECT pid, string_agg(osm_id::VARCHAR, ',' ORDER BY m, osm_id) AS cases FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY pid ORDER BY m, osm_id) <= 3) GROUP BY pid),
+t AS (SELECT pid, count(*) FILTER (tier = 'high') AS high_around, count(*) FILTER (tier = 'candidate') AS candidates_around FROM pts p JOIN det x ON {G.haversine('p', 'x')} <= 1500 GROUP BY pid)
+SELECT p.pid, c.city, n_high, n_candidate, rank, ranked, cases, coalesce(high_around, 0) AS high_around, coalesce(candidates_around, 0) AS candidates_around FROM pts p LEFT JOIN c USING (pid) LEFT JOIN n ON n.city = c.city LEFT JOIN r ON r.city = c.city LEFT JOIN k USING (pid) LEFT JOIN t USING (pid)""")
+def q_context(spark, d):
+    """City, counts, rank, nearest cases and tiles around, of every point, by code or else by place."""
+    s = G.table(spark, d, "supplier")
+    k = F.col("s_suppkey")
+    points = s.select(k.alias("pid"), *G._place("s_suppkey", 3001, 9007), F.when(k % 3 == 0, None).when(k % 7 == 0, 99).otherwise(F.col("s_nationkey")).cast("long").alias("psgc"))
+    cities = G.cities(spark, d).withColumn("psgc", F.col("ord"))
+    found = spatial.first_containing(G.det(spark, d).select("ord", "lat", "lon", "tier"), cities.withColumnRenamed("ord", "city_ord"), "ord", "city_ord", "city", "ignore").where("city is not null")
+    counts = found.groupBy("city").agg(F.count_if(F.col("tier") == "high").alias("n_high"), F.count_if(F.col("tier") == "candidate").alias("n_candidate")).withColumn("density", F.col("n_high").cast("double"))
+    out = lookup.context(points, cities, counts, G.osm(spark, d).select(F.col("osm_id").alias("case_id"), "lat", "lon"), G.det(spark, d))
+    return out.withColumn("cases", F.array_join(F.transform("cases", lambda c: c["case_id"].cast("string")), ","))
+
+
+@query("""WITH x AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) t(i) GROUP BY label, i), p AS (SELECT a.label, b.label AS other, 1 - sum(a.m * b.m) / sqrt(sum(a.m * a.m) * sum(b.m * b.m)) AS cosine, sqrt(sum(pow(a.m - b.m, 2))) AS euclidean FROM x a JOIN x b USING (i) GROUP BY 1, 2),
+f AS (SELECT cosine AS floor FROM p WHERE label = 1 AND other = 0), n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label)
+SELECT label, n, round(r.cosine, 6) AS cosine, round(r.euclidean, 6) AS euclidean, round(g.cosine, 6) AS geo_cosine, round(floor, 6) AS floor, CASE WHEN g.cosine <= floor + 5e-3 THEN 'within-envelope' WHEN g.cosine > floor + 3e-2 THEN 'severe-OOD' ELSE 'moderate-shift' END AS verdict
+FROM n JOIN (SELECT * FROM p WHERE other = 0) r USING (label) JOIN (SELECT * FROM p WHERE other = 1) g USING (label), f WHERE label > 1""")
+def q_domain_shift(spark, d):
+    out = evaluate.domain_shift(G.table(spark, d, "embeddings"), "label", "embedding", 0, 1)
+    return out.select("label", "n", *[F.round(c, 6).alias(c) for c in ("cosine", "euclidean", "geo_cosine", "floor")], "verdict")
