@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tilewise.operators import gates
-from tilewise.sources import versions
+from tilewise.sources import sinks, versions
 from tilewise.streaming import ingest
 
 ROWS = "tile string, score double, city string"
@@ -114,3 +114,10 @@ def test_upserts_and_a_batch_that_comes_again(spark, tmp_path):
         f.unlink()
     (Path(out) / "batch=1" / "part-half.parquet").write_bytes(b"half")
     assert run() == second
+
+
+def test_a_layer_in_one_value_has_a_limit(spark):
+    df = spark.createDataFrame([(121.0, 14.5, i) for i in range(5)], "lon double, lat double, n int")
+    assert json.loads(sinks.feature_collection(df, {"cut": 1}, most=5).first()[0])["_meta"] == {"cut": 1, "count": 5}
+    with pytest.raises(ValueError, match="more than 4 features"):
+        sinks.feature_collection(df, {}, most=4)

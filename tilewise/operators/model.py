@@ -130,7 +130,8 @@ def mmd2(rows: DataFrame, first, key: str, vector: str, block: int = 500) -> Dat
     """Unbiased squared MMD with an RBF kernel at the median distance, between all rows of two sets.
 
     Vectors are dealt to blocks by a hash of the key. Tasks go through pairs of blocks and give counts and sums, so no
-    pair of vectors becomes a row.
+    pair of vectors becomes a row. It is exact and so goes through all pairs, five times: made for the samples of some
+    10,000 vectors that such distances are reported for, not for whole collections.
     """
     rows = rows.select(F.col(key).alias("k"), first.alias("a"), F.col(vector).cast("array<double>").alias("v"))
     blocks = max(1, -(-rows.count() // block))

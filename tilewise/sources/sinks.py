@@ -17,8 +17,17 @@ def write_features(df: DataFrame, path: str, **names) -> None:
     point_features(df, **names).write.mode("overwrite").text(path)
 
 
-def feature_collection(df: DataFrame, meta: dict, **names) -> DataFrame:
-    """A published layer as one JSON text with a _meta object. For layers made for a browser: it is one value."""
+#: Features of a layer in one value.
+MOST_FEATURES = 200_000
+
+
+def feature_collection(df: DataFrame, meta: dict, most: int = MOST_FEATURES, **names) -> DataFrame:
+    """A published layer as one JSON text with a _meta object. For layers made for a browser: it is one value, so more features than `most` are an error.
+
+    Larger layers go to write_features or versions.publish, which all tasks write.
+    """
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"a layer of more than {most} features is no single value; write it with write_features")
     features = point_features(df, **names).agg(F.array_sort(F.collect_list("value")).alias("f"))
     head = F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in meta.items()], F.size("f").alias("count")))
     return features.select(F.concat(F.lit('{"type":"FeatureCollection","_meta":'), head, F.lit(',"features":['), F.array_join("f", ","), F.lit("]}")).alias("value"))
