@@ -17,13 +17,13 @@ from .shared import first_per, numbered
 def training_sources(parts: list[tuple[str, DataFrame]], excluded: DataFrame | None = None) -> DataFrame:
     """Sources of several kinds as one table: (prefix, rows with key, y, lat, lon), named prefix_0001 and so on.
 
-    Keys in excluded (key) are left out; the number follows the key's order within its kind.
+    Keys in excluded (key) are left out; the number follows the key's order within its kind and has four digits at least.
     """
     tagged = []
     for prefix, rows in parts:
         rows = rows if excluded is None else rows.join(excluded.select("key"), "key", "left_anti")
         rows = numbered(rows, [F.col("key")], "_n")
-        tagged.append(rows.select(F.concat(F.lit(f"{prefix}_"), F.lpad(F.col("_n").cast("string"), 4, "0")).alias("src"), "key", "y", "lat", "lon"))
+        tagged.append(rows.select(F.concat(F.lit(f"{prefix}_"), F.format_string("%04d", "_n")).alias("src"), "key", "y", "lat", "lon"))
     return reduce(DataFrame.unionByName, tagged)
 
 
