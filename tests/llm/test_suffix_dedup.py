@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import tracemalloc
 from collections import Counter
 
@@ -38,6 +39,35 @@ def test_suffix_array_and_prefixes():
         assert common_prefixes(x, order, 400).tolist() == want
 
 
+def test_long_repeats_are_not_gone_through_again_and_again():
+    rng = np.random.default_rng(5)
+
+    def seconds(x):
+        started = time.process_time()
+        order = suffix_array(x, 400)
+        common_prefixes(x, order, 400)
+        return time.process_time() - started
+
+    alone = rng.integers(97, 123, 400_000, dtype=np.uint8)
+    twice = np.tile(alone[:100_000], 4)
+    assert min(seconds(twice) for _ in range(3)) < 8 * min(seconds(alone) for _ in range(3))
+
+
+def test_words_of_all_lengths_and_bytes():
+    rng = random.Random(6)
+    for trial in range(60):
+        letters = [b"a", b"\x00\xff", bytes(range(256))][trial % 3]
+        data = bytes(rng.choice(letters) for _ in range(rng.randrange(1, 400))) * (1 + trial % 2)
+        x = np.frombuffer(data, np.uint8)
+        for depth in (1, 3, 80, 81, 150, 400):
+            order = suffix_array(x, depth)
+            assert sorted(order.tolist()) == list(range(len(data)))
+            words = [data[i : i + depth] for i in order]
+            assert words == sorted(words)
+            want = [0] + [next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b))) for a, b in zip(words, words[1:])]
+            assert common_prefixes(x, order, depth).tolist() == want
+
+
 def test_repeated_starts():
     a, b = repeated_starts([b"abcabcabd", b"xabcab"], [7, 4], 3)
     assert a.tolist() == [True, True, True, True, True, True, False] and b.tolist() == [False, True, True, True]
