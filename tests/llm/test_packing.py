@@ -77,3 +77,11 @@ def test_packed_windows_hold_what_the_loop_serves(spark):
     full = sum(sizes.values()) // 256
     got = [[sum(p["length"] for p in pieces if p["source"] == q and (p["sequence_id"] == k if k < full else p["sequence_id"] >= full)) for q in queues] for k in range(len(want))]
     assert got == want
+
+
+def test_a_worker_keeps_what_its_encoder_knows():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = packing.Encoder.of(path)
+    first = encoder.batch(["Some words, and some more.", None])
+    assert packing.Encoder.of(path) is encoder and " words," in encoder.known
+    assert packing.Encoder.of(path).batch(["Some words, and some more.", None]) == first == packing.Encoder(path).batch(["Some words, and some more.", None])

@@ -54,6 +54,15 @@ class Encoder:
     spaces falls apart before each of them (no piece of the pattern goes on over one), and its parts are looked up.
     """
 
+    held: dict = {}
+
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        """The worker's own, which outlives a task with all the parts that it knows."""
+        if path not in cls.held:
+            cls.held[path] = cls(path)
+        return cls.held[path]
+
     def __init__(self, path: str, end_id: int = END_ID):
         import public_tokenizers
         import tiktoken
@@ -110,7 +119,7 @@ def tokenised(docs: DataFrame, tokenizer: str, text: str, source: str, id_col: s
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, pid, done = Encoder(tokenizer), TaskContext.get().partitionId(), {}
+        encoder, pid, done = Encoder.of(tokenizer), TaskContext.get().partitionId(), {}
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 ids, texts, sources = (c.to_pylist() for c in batch.slice(lo, 500).columns)
