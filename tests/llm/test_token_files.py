@@ -65,6 +65,19 @@ def test_odd_texts_repeats_and_nulls(spark, odd, monkeypatch):
     assert sorted(map(str, token_files.digests(token_files.read(spark, again)).collect())) == sorted(map(str, got))
 
 
+def test_chunks_that_are_held_are_not_cut_again(monkeypatch):
+    monkeypatch.setattr(token_files, "PIECES", 40)
+    encoder = token_files.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [" ".join(f"W{i}'s, the" for i in range(k, k + 30)) + "\t\nİ é ß  日本 x" * (k % 2) for k in range(0, 300, 15)] + ["", None, " \n", "a" * 100 + "'S", "so, it.s a..b ,c d,.e f_.g, h.,", "no,runs.here, 's. 1,2.3 ²,½."]
+    want = [encoder._whole([t or ""])[0] + encoder.end for t in texts]
+    assert [x for t in texts for x in encoder.batch([t])] == want == encoder.batch(texts)
+    held = []
+    find, encoder.find = encoder.find, lambda t: held.append(t) or find(t)
+    assert encoder.batch([texts[0]] * 3) == want[:1] * 3
+    held.clear()
+    assert encoder.batch([texts[0]] * 3) == want[:1] * 3 and not held
+
+
 def test_one_id_is_dealt_to_several_files(spark):
     docs = spark.range(400).selectExpr("cast(5 as long) as doc_id", "concat('text ', id) as text")
     index = token_files.write(docs, new_path(spark, "one"), VOCABULARY, partitions=4).collect()

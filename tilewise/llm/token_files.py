@@ -10,9 +10,9 @@ the tasks of one shuffle; ranges end anywhere, also among rows of one id, so no
 file with its first and last id, documents, tokens and the tokens of all files before it, comes from the narrow columns
 of those files. A document's place among all tokens is its place in its file plus the file's place.
 
-Encoding is the library's own steps, taken apart: texts are cut into pieces by the pattern in the tokenizer's file, and the
-model of that file encodes each distinct piece once while a worker holds it, many at a time. What has characters on which
-the pattern engines might differ (anything beyond Latin letters) goes through the whole tokenizer, and so does all text where
+Encoding is the library's own steps, taken apart: texts are cut at white space, over which no piece of the pattern goes, and
+each distinct chunk is encoded once while a worker holds it, many at a time: the pattern in the tokenizer's file cuts it into
+pieces, which the model of that file encodes. What has characters on which the pattern engines might differ (anything beyond Latin letters) goes through the whole tokenizer, and so does all text where
 the file asks for other steps. A share of the texts drawn by a hash is also encoded whole, and a difference is an error.
 
 Defined results: a null or empty text is the end id alone; null ids come first, and rows of one id in the order of a hash
@@ -40,7 +40,7 @@ from .common import new_path, sized, table
 END_ID = 1
 #: Rows a row group, bytes a stripe, and the share of ids that a Bloom filter lets through by mistake.
 INDEX_ROWS, STRIPE_BYTES, FALSE_SHARE = 1000, 16 << 20, 0.01
-#: Pieces a worker holds, the longest of them, and bytes of text encoded at a time.
+#: Chunks a worker holds, the longest of them, and bytes of text encoded at a time.
 PIECES, PIECE_CHARS, SLICE_BYTES = 500_000, 64, 4 << 20
 #: One text in so many is encoded whole as well.
 CHECK_EVERY = 500
@@ -71,7 +71,7 @@ class Encoder:
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.known, self.end = Tokenizer.from_file(path), {}, np.array([end_id], "<i4").tobytes()
+        self.tokenizer, self.known, self.older, self.end = Tokenizer.from_file(path), {}, {}, np.array([end_id], "<i4").tobytes()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         steps = json.loads(self.tokenizer.to_str())
         normal = [x["type"] for x in (steps["normalizer"] or {}).get("normalizers", [])]
@@ -85,37 +85,54 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<i4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _encoded(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces of the pattern; as words of one text, so that the library goes through them at once."""
-        shown = [p.encode().decode("latin-1").translate(BYTES) for p in pieces]
+    def _encoded(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks of plain text; their pieces are words of one text, so that the library goes through them at once."""
+        cut = []
+        for c in chunks:
+            word = c.rstrip(".,!?;:")
+            # letters alone are one piece, and so are marks alone
+            cut.append([c] if c.isalpha() else [word, c[len(word) :]] if word.isalpha() else self.find(c))
+        get, older, ids, new = self.known.get, self.older.get, {}, []
+        for p in {p for ps in cut for p in ps}:
+            if (x := get(p) or older(p)) is None:
+                new.append(p)
+            else:
+                ids[p] = x
+        shown = [p.encode().decode("latin-1").translate(BYTES) for p in new]
         out = self.pieces.encode(" ".join(shown), add_special_tokens=False)
-        ids, ends = np.array(out.ids, "<i4").tobytes(), np.searchsorted(np.array(out.word_ids, np.int64), np.arange(len(pieces)), "right").tolist()
-        return [ids[4 * a : 4 * b] for a, b in zip([0, *ends], ends, strict=False)]
+        flat, ends = np.array(out.ids, "<i4").tobytes(), np.searchsorted(np.array(out.word_ids, np.int64), np.arange(len(new)), "right").tolist()
+        ids |= zip(new, (flat[4 * a : 4 * b] for a, b in zip([0, *ends], ends, strict=False)), strict=True)
+        return [ids[ps[0]] if len(ps) == 1 else b"".join(map(ids.__getitem__, ps)) for ps in cut]
 
     def _cut(self, text: str) -> list[str]:
-        """The pieces of a text; one that begins with a space is a chunk for the whole tokenizer."""
+        """The chunks of a text; one that begins with a space is for the whole tokenizer."""
         if not ODD.search(text):
-            return self.find(text.lower())
-        out: list[str] = []
-        for chunk in BREAK.split(text):
-            if ODD.search(chunk):
-                out.append(" " + chunk)
-            else:
-                out += self.find(chunk.lower())
-        return out
+            return text.lower().split()
+        return [" " + c if ODD.search(c) else c.lower() for c in BREAK.split(text) if c]
+
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of chunks that aren't held, which are held from now on unless they are long."""
+        if len(self.known) > PIECES:
+            self.older, self.known = self.known, {}  # what goes on occurring is taken up again
+        got = {c: self.older[c] for c in chunks & self.older.keys()}
+        odd, usual = [c for c in chunks if c[0] == " " and c not in got], [c for c in chunks if c[0] != " " and c not in got]
+        got |= zip(odd, self._whole([c[1:] for c in odd]), strict=True)
+        got |= zip(usual, self._encoded(usual), strict=True)
+        self.known |= {c: x for c, x in got.items() if len(c) <= PIECE_CHARS}
+        return got
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, with the end id."""
-        if len(self.known) > PIECES:
-            self.known = {}
         plain = [self.plain and not any(s in t for s in self.special) for t in (t or "" for t in texts)]
         cut = [self._cut(t or "") if p else [] for t, p in zip(texts, plain, strict=True)]
-        new = list(set().union(*cut) - self.known.keys())
-        odd, usual = [p for p in new if p[0] == " "], [p for p in new if p[0] != " "]
-        got = dict(zip(odd, self._whole([p[1:] for p in odd]), strict=True)) | dict(zip(usual, self._encoded(usual), strict=True))
-        self.known |= {p: x for p, x in got.items() if len(p) <= PIECE_CHARS}
-        find = (self.known if all(len(p) <= PIECE_CHARS for p in new) else self.known | got).get
-        out = [b"".join(map(find, pieces)) if p else self._whole([t or ""])[0] for t, p, pieces in zip(texts, plain, cut, strict=True)]
+        found = [list(map(self.known.get, chunks)) for chunks in cut]
+        short = [i for i, ids in enumerate(found) if None in ids]
+        new = {c for i in short for c, x in zip(cut[i], found[i], strict=True) if x is None}
+        if new:
+            got = self._learn(new)
+            for i in short:
+                found[i] = [got[c] if x is None else x for c, x in zip(cut[i], found[i], strict=True)]
+        out = [b"".join(ids) if p else self._whole([t or ""])[0] for t, p, ids in zip(texts, plain, found, strict=True)]
         for t, x in zip(texts, out, strict=True):
             if t and zlib.crc32(t.encode()) % CHECK_EVERY == 0 and self._whole([t])[0] != x:
                 raise ValueError("the pieces of a text have other ids than the text")
