@@ -23,6 +23,7 @@ not read, so their names don't matter.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -123,6 +124,15 @@ class Encoder:
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, with the end id."""
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here refers to itself, and each collection would go through all lists of chunks
+        try:
+            return self._batch(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _batch(self, texts: list[str | None]) -> list[bytes]:
         plain = [self.plain and not any(s in t for s in self.special) for t in (t or "" for t in texts)]
         cut = [self._cut(t or "") if p else [] for t, p in zip(texts, plain, strict=True)]
         found = [list(map(self.known.get, chunks)) for chunks in cut]
