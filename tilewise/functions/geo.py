@@ -77,7 +77,15 @@ def _shoelace(ring, sx, sy) -> Column:
 
 
 def mean_lat(ring) -> Column:
-    return F.aggregate(ring, F.lit(0.0), lambda s, p: s + p[1]) / F.size(ring)
+    """The sum carries what each addition rounds off, so the mean doesn't depend on the order of the vertices."""
+
+    def add(a, p):
+        s, x, t = a["s"], p[1], a["s"] + p[1]
+        off = F.when(F.abs(s) >= F.abs(x), (s - t) + x).otherwise((x - t) + s)
+        return F.struct(t.alias("s"), (a["c"] + off).alias("c"))
+
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c"))
+    return F.aggregate(ring, start, add, lambda a: a["s"] + a["c"]) / F.size(ring)
 
 
 def ring_area_m2(ring) -> Column:
