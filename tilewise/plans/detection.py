@@ -177,7 +177,8 @@ pair AS (SELECT s.seg_id, b.osm_id, b.ord, least(s.lon + s.half, b.lon + b.half)
 
 @query(f"WITH {_SEGB}, ranked AS (SELECT *, row_number() OVER (PARTITION BY seg_id ORDER BY inside DESC, CASE WHEN inside THEN ord END NULLS FIRST, CASE WHEN NOT inside THEN w * h END DESC NULLS LAST, ord) AS rn FROM pair WHERE inside OR (w > 0 AND h > 0)) SELECT seg_id, osm_id, inside FROM ranked WHERE rn = 1")
 def q_segment_building(spark, d):
-    return spatial.best_building(G.segments(spark, d), G.buildings(spark, d)).select("seg_id", "osm_id", "inside")
+    squares = G.segments(spark, d).select("seg_id", "lon", "lat", "half"), G.buildings(spark, d).select("osm_id", "ord", "lon", "lat", "half")
+    return spatial.best_building(*squares).select("seg_id", "osm_id", "inside")
 
 
 def _rollup(spark, d):
